@@ -57,3 +57,12 @@ def q04_global_importance(spark, sf_dir):
     return rounded(explore.global_importance(ctx.linear_shap(spark, sf_dir), top_n=10))
 
 FLAGSHIP = "q04_global_importance"
+
+
+@register("x08_counterfactual_search")
+def x08_counterfactual_search(spark, sf_dir):
+    """Top-5 feasible counterfactuals per case and run."""
+    found = ctx.counterfactuals_found(spark, sf_dir)
+    return rounded(found.select("run_id", "case_id", "cf_rank", "cand", "original_class", "target_class",
+                                "distance", "total_price", "line_count", "sum_qty", "avg_discount",
+                                "segment", "priority", "priority_num"))

@@ -28,3 +28,103 @@ def linear_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = clean_cases(spark, sf_dir)
     means = attribution.background_means(cases, SCORECARD)
     return attribution.linear_shap(cases, SCORECARD, means)
+
+
+# ------------------------------------------------------------------ runs
+from pyspark.sql import functions as F  # noqa: E402
+
+from lodestar.operators import search as cf_search  # noqa: E402
+
+# Two explanation runs over the same cases (run_id, model_name, seed, created_at).
+RUNS = (("run-a", "scorecard", 42, "2024-01-01 00:00:00"), ("run-b", "scorecard", 7, "2024-02-01 00:00:00"))
+N_CANDIDATES = 64
+TOTAL_CFS = 5
+
+
+def search_context(cases: DataFrame) -> cf_search.SearchContext:
+    return cf_search.fit_context(cases, SPEC)
+
+
+def counterfactuals_found(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
+    """X4-X8 for every run over every case: run columns + search output."""
+    cases = clean_cases(spark, sf_dir)
+    sctx = search_context(cases)
+    out = None
+    for run_id, model_name, seed, created_at in runs:
+        found = cf_search.search(cases, SPEC, sctx, SCORECARD, n_candidates=N_CANDIDATES, seed=seed,
+                                 total_cfs=TOTAL_CFS)
+        found = found.withColumns({"run_id": F.lit(run_id), "model_name": F.lit(model_name),
+                                   "created_at": F.lit(created_at).cast("timestamp")})
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# ------------------------------------------------------------ artifacts
+from lodestar.operators import cluster as clu  # noqa: E402
+from lodestar.operators import encode as enc  # noqa: E402
+from lodestar.operators import rules as rl  # noqa: E402
+
+ENC_NUMERIC = list(SPEC.actionable_numeric)
+ENC_CATEGORICAL = list(SPEC.actionable_categorical)
+K = 6
+LLOYD_STEPS = 3
+
+
+def counterfactual_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
+    """The `counterfactuals` artifact (X9 records + provenance). The id
+    encodes (case, run, rank) so it is unique and reproducible without
+    any global numbering."""
+    found = counterfactuals_found(spark, sf_dir, runs)
+    run_index = F.create_map(*sum(([F.lit(r[0]), F.lit(i)] for i, r in enumerate(runs)), []))
+    feats = sorted(c for c in SPEC.features)
+    opts = {"ignoreNullFields": "false"}
+    return found.select(
+        (F.col("case_id") * 100 + run_index[F.col("run_id")] * 10 + F.col("cf_rank")).cast("bigint").alias("id"),
+        "model_name", "run_id", F.col("case_id").alias("instance_id"),
+        F.to_json(F.struct(*[F.col(f"orig.{c}").alias(c) for c in feats]), opts).alias("original_features"),
+        F.to_json(F.struct(*[F.col(c) for c in feats]), opts).alias("counterfactual_features"),
+        F.col("original_class").cast("int").alias("original_class"),
+        F.col("target_class").cast("int").alias("target_class"),
+        "distance", "created_at")
+
+
+def encoded_run(cfs: DataFrame, run_id: str):
+    """E1-E10 on one run's stored records."""
+    parsed = enc.parse_pairs(cfs.filter(F.col("run_id") == F.lit(run_id)))
+    encoder = enc.fit_encoder(parsed, ENC_NUMERIC, ENC_CATEGORICAL)
+    return encoder, encoder.transform(parsed)
+
+
+def distil_run(cfs: DataFrame, run_id: str, k: int = K, steps: int = LLOYD_STEPS):
+    """R15 for one run: encode -> frozen-init Lloyd -> labelled rows."""
+    encoder, encoded = encoded_run(cfs, run_id)
+    encoded = encoded.persist()
+    centres = clu.initial_centres(encoded, k, id_col="id", column="vector", seed=42)
+    fit = clu.lloyd(encoded, centres, steps=steps)
+    labelled = clu.assign(encoded, fit.centres)
+    return encoder, fit, labelled
+
+
+def distilled(spark: SparkSession, sf_dir: str, runs=RUNS):
+    """Per run: labelled rows, sizes, feature + transition profiles, rules."""
+    cfs = counterfactual_table(spark, sf_dir, runs).persist()
+    parts = {"labelled": [], "sizes": [], "features": [], "transitions": [], "rules": []}
+    keys = ["model_name", "run_id"]
+    for run_id, model_name, _, created_at in runs:
+        encoder, fit, labelled = distil_run(cfs, run_id)
+        sizes = rl.cluster_sizes(labelled, keys)
+        feats = rl.feature_profile(labelled, ENC_NUMERIC, ENC_CATEGORICAL, keys)
+        trans = rl.transition_profile(labelled, keys)
+        rules = rl.rule_quality(rl.extract_rules(sizes, feats, trans, ENC_NUMERIC, keys))
+        rules = rules.withColumn("created_at", F.lit(created_at).cast("timestamp"))
+        for name, df in (("labelled", labelled), ("sizes", sizes), ("features", feats),
+                         ("transitions", trans), ("rules", rules)):
+            parts[name].append(df)
+    out = {}
+    for name, dfs in parts.items():
+        u = dfs[0]
+        for d in dfs[1:]:
+            u = u.unionByName(d)
+        out[name] = u
+    out["counterfactuals"] = cfs
+    return out

@@ -95,3 +95,87 @@ shap AS (
 
 def with_prefix(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
+
+
+# ---------------------------------------------------------------- search
+# Search roles of the order case table.
+ACTIONABLE = ["total_price", "line_count", "sum_qty", "avg_discount", "segment", "priority"]
+INTEGRAL = ["line_count", "sum_qty"]
+FROZEN = ["nation", "region", "acct_bal", "status"]
+PERMITTED = {"sum_qty": (1.0, 300.0)}
+FORBIDDEN = {"segment": ["FURNITURE"]}
+DIST_NUMERIC = ["total_price", "acct_bal", "line_count", "sum_qty", "avg_discount"]
+N_CANDIDATES = 64
+MAX_VARIED = 3
+TOTAL_CFS = 5
+# (run_id, model_name, seed, created_at)
+RUNS = [("run-a", "scorecard", 42, "2024-01-01 00:00:00"), ("run-b", "scorecard", 7, "2024-02-01 00:00:00")]
+
+
+def runs_cte(runs=None) -> str:
+    runs = runs or RUNS
+    vals = ", ".join(f"('{r}', '{m}', {s}, TIMESTAMP '{t}')" for r, m, s, t in runs)
+    return f"\nruns AS (SELECT * FROM (VALUES {vals}) t(run_id, model_name, seed, created_at))"
+
+
+def draw(k: int) -> str:
+    return f"(CAST('0x' || substr(h{k // 4}, {8 * (k % 4) + 1}, 8) AS BIGINT) / {d(4294967296.0)})"
+
+
+def search_cte(runs=None, n_candidates: int = N_CANDIDATES, k: int = TOTAL_CFS) -> str:
+    nd = len(ACTIONABLE)
+    ctx_cols = ", ".join(f"MIN({c}) AS lo_{c}, MAX({c}) AS hi_{c}" for c in NUMERIC)
+    doms = ", ".join(f"list_sort(list(DISTINCT {c})) AS dom_{c}" for c in ACTIONABLE if c in CATEGORICAL)
+    origs = ", ".join(f"{c} AS o_{c}" for c in NUMERIC + CATEGORICAL)
+    hashes = ", ".join(
+        f"md5(CAST(case_id AS VARCHAR) || '|' || CAST(cand AS VARCHAR) || '|' || CAST(seed AS VARCHAR) || '|{b}') AS h{b}"
+        for b in range((2 * nd + 3) // 4))
+    draws = ", ".join(f"{draw(i)} AS u{i}" for i in range(2 * nd))
+    ranks = []
+    for i in range(nd):
+        terms = [f"CAST((u{j} < u{i}) OR (u{j} = u{i} AND {'TRUE' if j < i else 'FALSE'}) AS INTEGER)"
+                 for j in range(nd) if j != i]
+        ranks.append(f"(({' + '.join(terms)}) < 1 + cand % {MAX_VARIED}) AS var{i}")
+    news = []
+    for i, c in enumerate(ACTIONABLE):
+        v = f"u{nd + i}"
+        if c in NUMERIC:
+            lo, hi = (f"{d(PERMITTED[c][0])}", f"{d(PERMITTED[c][1])}") if c in PERMITTED else (f"lo_{c}", f"hi_{c}")
+            drawn = f"({lo} + {v} * ({hi} - {lo}))"
+            if c in INTEGRAL:
+                drawn = f"ROUND({drawn})"
+            news.append(f"CASE WHEN var{i} THEN {drawn} ELSE o_{c} END AS {c}")
+        else:
+            news.append(f"CASE WHEN var{i} THEN dom_{c}[CAST(FLOOR({v} * len(dom_{c})) AS BIGINT) + 1] ELSE o_{c} END AS {c}")
+    keep = [c for c in NUMERIC + CATEGORICAL if c not in ACTIONABLE and c != "priority_num"]
+    frozen = " AND ".join(f"({c} IS NOT DISTINCT FROM o_{c})" for c in FROZEN)
+    rng = " AND ".join(f"({c} >= {d(lo)} AND {c} <= {d(hi)})" for c, (lo, hi) in PERMITTED.items())
+    forb = " AND ".join(f"COALESCE({c} NOT IN ({', '.join(repr(v) for v in vals)}), TRUE)" for c, vals in FORBIDDEN.items())
+    dep = f"({priority_case('priority')} IS NULL OR priority_num = {priority_case('priority')})"
+    ordn = f"COALESCE({priority_case('priority')} >= {priority_case('o_priority')}, TRUE)"
+    terms = [f"ABS({c} - o_{c}) / GREATEST(hi_{c} - lo_{c}, {d(1.0)})" for c in DIST_NUMERIC]
+    terms += [f"CAST({c} IS DISTINCT FROM o_{c} AS DOUBLE)" for c in CATEGORICAL]
+    dist = terms[0]
+    for t in terms[1:]:
+        dist = f"({dist} + {t})"
+    dist = f"({dist} / {d(float(len(terms)))})"
+    return runs_cte(runs) + f""",
+sctx AS (SELECT {ctx_cols} FROM cases),
+sdom AS (SELECT {doms} FROM cases),
+base AS (SELECT case_id, prediction AS original_class, {origs} FROM scored2),
+cand0 AS (SELECT b.*, r.run_id, r.model_name, r.seed, r.created_at, unnest(range(0, {n_candidates})) AS cand
+          FROM base b CROSS JOIN runs r),
+cand1 AS (SELECT *, {hashes} FROM cand0),
+cand2 AS (SELECT *, {draws} FROM cand1),
+cand3 AS (SELECT *, {', '.join(ranks)} FROM cand2),
+cand4 AS (SELECT case_id, run_id, model_name, seed, created_at, cand, original_class,
+                 {', '.join('o_' + c for c in NUMERIC + CATEGORICAL)}, lo_total_price, hi_total_price,
+                 {', '.join(f'lo_{c}, hi_{c}' for c in NUMERIC if c != 'total_price')},
+                 {', '.join(news)}, {', '.join(f'o_{c} AS {c}' for c in keep)}
+          FROM cand3 CROSS JOIN sctx CROSS JOIN sdom),
+cand5 AS (SELECT *, COALESCE({priority_case('priority')}, o_priority_num) AS priority_num FROM cand4),
+cand6 AS (SELECT *, CAST({margin_sql()} > 0 AS INTEGER) AS prediction FROM cand5),
+valid AS (SELECT *, {dist} AS distance FROM cand6
+          WHERE prediction = 1 - original_class AND {frozen} AND {dep} AND {ordn} AND {forb} AND {rng}),
+found AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id, case_id ORDER BY distance, cand) AS cf_rank
+          FROM valid QUALIFY cf_rank <= {k})"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.prefix import cases_cte, scored_cte, shap_cte, with_prefix
+from oracle.prefix import cases_cte, scored_cte, search_cte, shap_cte, with_prefix
 
 
 def r6(x: str) -> str:
@@ -34,3 +34,14 @@ ORACLE = {
 
 def oracle_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLE.items()}
+
+
+def q_search() -> str:
+    return with_prefix(cases_cte(), scored_cte(), search_cte()) + f"""
+SELECT run_id, case_id, cf_rank, cand, original_class, prediction AS target_class, {r6('distance')} AS distance,
+       {r6('total_price')} AS total_price, {r6('line_count')} AS line_count, {r6('sum_qty')} AS sum_qty,
+       {r6('avg_discount')} AS avg_discount, segment, priority, {r6('priority_num')} AS priority_num
+FROM found"""
+
+
+ORACLE["x08_counterfactual_search"] = q_search
