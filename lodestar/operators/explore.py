@@ -207,3 +207,20 @@ def listing(counterfactuals: DataFrame) -> DataFrame:
     return (counterfactuals.select("id", "instance_id", "distance").join(per_cf, "id", "left")
             .withColumn("changes", F.coalesce("changes", F.lit("")))
             .orderBy("instance_id", "distance", "id"))
+
+
+def signature(original="original_features", counterfactual="counterfactual_features"):
+    """V3: sorted names of changed features over the key union (Python
+    equality on JSON values, so 9 == 9.0)."""
+    o = _json_map(F.col(original))
+    c = _json_map(F.col(counterfactual))
+    keys = F.array_sort(F.array_union(F.map_keys(o), F.map_keys(c)))
+    return F.filter(keys, lambda k: ~_values_equal(o[k], c[k]))
+
+
+def value_text(v):
+    """Canonical text of a JSON scalar: numbers with 6 fixed decimals
+    (engine independent), other values as they are, null as 'None'."""
+    n = v.try_cast("double")
+    num = F.round(n * F.lit(1e6), 0) / F.lit(1e6)
+    return F.when(n.isNotNull(), num.cast("decimal(38,6)").cast("string")).otherwise(F.coalesce(v, F.lit("None")))

@@ -56,7 +56,6 @@ def q04_global_importance(spark, sf_dir):
     """Q4: which features drive the score (mean |shap|, top 10)."""
     return rounded(explore.global_importance(ctx.linear_shap(spark, sf_dir), top_n=10))
 
-FLAGSHIP = "q04_global_importance"
 
 
 @register("x08_counterfactual_search")
@@ -66,3 +65,144 @@ def x08_counterfactual_search(spark, sf_dir):
     return rounded(found.select("run_id", "case_id", "cf_rank", "cand", "original_class", "target_class",
                                 "distance", "total_price", "line_count", "sum_qty", "avg_discount",
                                 "segment", "priority", "priority_num"))
+
+
+# ---------------------------------------------------------------- artifacts
+def _cfs(spark, sf_dir):
+    return ctx.counterfactual_table(spark, sf_dir)
+
+
+@register("x09_counterfactual_records")
+def x09_counterfactual_records(spark, sf_dir):
+    """X9 + V3: stored records with provenance and intervention signature."""
+    cfs = _cfs(spark, sf_dir)
+    sig = explore.signature()
+    return rounded(cfs.select("id", "model_name", "run_id", "instance_id", "original_class", "target_class",
+                              "distance", "created_at", F.array_join(sig, ",").alias("signature"),
+                              F.size(sig).alias("n_changed")))
+
+
+@register("x10_uncovered_cases")
+def x10_uncovered_cases(spark, sf_dir):
+    """Cases of each run without any counterfactual."""
+    from lodestar.operators import search as S
+    cases = ctx.clean_cases(spark, sf_dir)
+    found = ctx.counterfactuals_found(spark, sf_dir)
+    out = None
+    for run_id, *_ in ctx.RUNS:
+        part = S.uncovered(cases, found.filter(F.col("run_id") == run_id), "case_id").withColumn("run_id", F.lit(run_id))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("e03_corpus_ranges")
+def e03_corpus_ranges(spark, sf_dir):
+    """Per run and numeric feature, the corpus range max(range, 1)."""
+    cfs = _cfs(spark, sf_dir).persist()
+    rows = []
+    for run_id, *_ in ctx.RUNS:
+        encoder, _ = ctx.encoded_run(cfs, run_id)
+        rows += [(run_id, f, float(r)) for f, r in encoder.ranges.items()]
+    # the fitted state is model-sized (features per run)
+    return rounded(spark.createDataFrame(rows, "run_id string, feature string, feature_range double"))
+
+
+@register("e08_transition_vocabulary")
+def e08_transition_vocabulary(spark, sf_dir):
+    """E7 + E8: the sorted transition vocabulary learned per run."""
+    cfs = _cfs(spark, sf_dir).persist()
+    rows = []
+    for run_id, *_ in ctx.RUNS:
+        encoder, _ = ctx.encoded_run(cfs, run_id)
+        rows += [(run_id, i, t) for i, t in enumerate(encoder.vocabulary)]
+    return spark.createDataFrame(rows, "run_id string, position int, token string")
+
+
+@register("e09_change_vectors")
+def e09_change_vectors(spark, sf_dir):
+    """Per counterfactual deltas, flags, tokens and vector summary."""
+    cfs = _cfs(spark, sf_dir).persist()
+    out = None
+    for run_id, *_ in ctx.RUNS:
+        encoder, encoded = ctx.encoded_run(cfs, run_id)
+        part = encoded.select("id", "run_id", *[f"{f}__delta" for f in ctx.ENC_NUMERIC],
+                              (sum([F.col(f"{f}__changed") for f in ctx.ENC_NUMERIC + ctx.ENC_CATEGORICAL], F.lit(0.0)))
+                              .alias("n_changed"),
+                              F.array_join("tokens", ";").alias("tokens"),
+                              F.size("vector").alias("width"),
+                              F.aggregate("vector", F.lit(0.0), lambda a, v: a + v).alias("vector_sum"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
+def _distilled(spark, sf_dir):
+    return ctx.distilled(spark, sf_dir)
+
+
+@register("c2_cluster_assignment")
+def c2_cluster_assignment(spark, sf_dir):
+    """C2 + C3 + C5 + C6: frozen-init Lloyd clusters: size, share, inertia per cluster."""
+    lab = _distilled(spark, sf_dir)["labelled"]
+    per = lab.groupBy("run_id", "cluster_id").agg(F.count(F.lit(1)).alias("size"),
+                                                   F.sum("sq_distance").alias("inertia"))
+    tot = lab.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
+    return rounded(per.join(tot, "run_id").withColumn("share", F.col("size") / F.col("total")).drop("total"))
+
+
+@register("c4_silhouette")
+def c4_silhouette(spark, sf_dir):
+    """C4: exact silhouette (squared Euclidean) per run, no point pairs."""
+    from lodestar.operators import cluster as clu
+    lab = _distilled(spark, sf_dir)["labelled"]
+    out = None
+    for run_id, *_ in ctx.RUNS:
+        part = clu.silhouette(lab.filter(F.col("run_id") == run_id)).withColumn("run_id", F.lit(run_id))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
+@register("r01_cluster_sizes")
+def r01_cluster_sizes(spark, sf_dir):
+    """R1 + R5: size, share, mean distance per cluster (ascending id)."""
+    return rounded(_distilled(spark, sf_dir)["sizes"].select("run_id", "cluster_id", "size", "share", "avg_distance"))
+
+
+@register("r03_feature_profile")
+def r03_feature_profile(spark, sf_dir):
+    """R2 + R3: change rate and mean normalised delta per cluster and feature."""
+    return rounded(_distilled(spark, sf_dir)["features"].select("run_id", "cluster_id", "feature", "change_rate",
+                                                                "avg_delta"))
+
+
+@register("r04_transition_profile")
+def r04_transition_profile(spark, sf_dir):
+    """Top-10 transitions per cluster by rate."""
+    return rounded(_distilled(spark, sf_dir)["transitions"].select("run_id", "cluster_id", "token", "rate", "rank"))
+
+
+@register("r08_rules")
+def r08_rules(spark, sf_dir):
+    """Distilled rule text, support and quality per cluster."""
+    r = _distilled(spark, sf_dir)["rules"]
+    return rounded(r.select("run_id", "cluster_id", F.array_join("conditions", " | ").alias("conditions"),
+                            "support", "share", "avg_distance", "condition_count", "compactness",
+                            "distance_score", "quality_score"))
+
+
+@register("r14_rule_similarity")
+def r14_rule_similarity(spark, sf_dir):
+    """Jaccard similarity of all unordered rule pairs per run."""
+    from lodestar.operators import rules as rl
+    r = _distilled(spark, sf_dir)["rules"]
+    return rounded(rl.rule_pairs(r, ["model_name", "run_id"]).select("run_id", "cluster_a", "cluster_b", "similarity"))
+
+
+@register("r16_rule_sentences")
+def r16_rule_sentences(spark, sf_dir):
+    """R16: 'IF ... AND ... THEN ...' sentence per rule."""
+    from lodestar.operators import rules as rl
+    r = _distilled(spark, sf_dir)["rules"]
+    return r.select("run_id", "cluster_id", rl.rule_sentence(F.col("conditions")).alias("sentence"))
+
+
+FLAGSHIP = "r08_rules"

@@ -128,3 +128,60 @@ def distilled(spark: SparkSession, sf_dir: str, runs=RUNS):
         out[name] = u
     out["counterfactuals"] = cfs
     return out
+
+
+from lodestar.operators import metrics as mt  # noqa: E402
+
+
+def run_index(runs=RUNS):
+    return F.create_map(*sum(([F.lit(r[0]), F.lit(i)] for i, r in enumerate(runs)), []))
+
+
+def shap_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
+    """The `shap_values` artifact: linear SHAP of every explained case per run."""
+    long = linear_shap(spark, sf_dir)
+    names = [n for n, _ in SCORECARD.dummies()]
+    ord_map = F.create_map(*sum(([F.lit(n), F.lit(i)] for i, n in enumerate(names)), []))
+    out = None
+    for run_id, model_name, _, created_at in runs:
+        part = long.withColumns({"model_name": F.lit(model_name), "run_id": F.lit(run_id),
+                                 "created_at": F.lit(created_at).cast("timestamp")})
+        out = part if out is None else out.unionByName(part)
+    rid = ((F.col("instance_id") * 2 + run_index(runs)[F.col("run_id")]) * 16 + ord_map[F.col("feature_name")])
+    return out.withColumn("id", rid.cast("bigint")).select(
+        "id", "model_name", "run_id", "instance_id", "feature_name", "feature_value", "shap_value", "created_at")
+
+
+METRIC_NAMES = ("accuracy", "f1", "roc_auc", "n_cases")
+
+
+def metrics_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
+    """The `metrics` artifact (S5 shape): numeric metrics per run, long."""
+    scored = scored_cases(spark, sf_dir)
+    af = mt.accuracy_f1(scored)
+    auc = mt.roc_auc(scored)
+    n = scored.agg(F.count(F.lit(1)).cast("double").alias("n_cases"))
+    wide = af.withColumn("k", F.lit(1)).join(auc.withColumn("k", F.lit(1)), "k").join(n.withColumn("k", F.lit(1)), "k")
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric_name"), F.lit(i).alias("ord"),
+                                                    F.col(m).cast("double").alias("metric_value"))
+                                           for i, m in enumerate(METRIC_NAMES)])).alias("e")).select("e.*")
+    out = None
+    for i, (run_id, model_name, _, created_at) in enumerate(runs):
+        part = long.withColumns({"id": (F.lit(i * 100) + F.col("ord")).cast("bigint"), "model_name": F.lit(model_name),
+                                 "run_id": F.lit(run_id), "created_at": F.lit(created_at).cast("timestamp")})
+        out = part if out is None else out.unionByName(part)
+    return out.select("id", "model_name", "run_id", "metric_name", "metric_value", "created_at")
+
+
+def cluster_table(labelled: DataFrame) -> DataFrame:
+    """The `counterfactual_clusters` artifact."""
+    return labelled.select(F.col("id").alias("counterfactual_id"), "model_name", "run_id", "instance_id",
+                           F.col("cluster_id").cast("int").alias("cluster_id"), "created_at") \
+        .withColumn("id", F.col("counterfactual_id"))
+
+
+def rules_table(rules: DataFrame) -> DataFrame:
+    """The `global_rules` artifact."""
+    return rules.select((F.col("cluster_id") + run_index()[F.col("run_id")] * 100).cast("bigint").alias("id"),
+                        "model_name", "run_id", F.col("cluster_id").cast("int").alias("cluster_id"), "conditions",
+                        "support", F.col("share").alias("support_share"), "avg_distance", "quality_score", "created_at")

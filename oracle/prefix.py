@@ -94,7 +94,7 @@ shap AS (
 
 
 def with_prefix(*ctes: str) -> str:
-    return "WITH " + ",".join(ctes)
+    return "WITH " + ",".join(c.strip().lstrip(",") for c in ctes)
 
 
 # ---------------------------------------------------------------- search
@@ -179,3 +179,144 @@ valid AS (SELECT *, {dist} AS distance FROM cand6
           WHERE prediction = 1 - original_class AND {frozen} AND {dep} AND {ordn} AND {forb} AND {rng}),
 found AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id, case_id ORDER BY distance, cand) AS cf_rank
           FROM valid QUALIFY cf_rank <= {k})"""
+
+
+# ------------------------------------------------------------- artifacts
+ENC_NUMERIC = ["total_price", "line_count", "sum_qty", "avg_discount"]
+ENC_CATEGORICAL = ["segment", "priority"]
+K = 6
+STEPS = 3
+# Rule wording.
+NO_PATTERN = "No dominant intervention pattern"
+
+
+def run_index_sql(col: str = "run_id") -> str:
+    return "(CASE " + " ".join(f"WHEN {col} = '{r[0]}' THEN {i}" for i, r in enumerate(RUNS)) + " END)"
+
+
+def token_sql(f: str, a: str, b: str) -> str:
+    t = lambda x: f"replace(trim(COALESCE(CAST({x} AS VARCHAR), 'None')), ' ', '_')"
+    return f"('{f}__transition__' || {t(a)} || '__to__' || {t(b)})"
+
+
+def artifacts_cte() -> str:
+    """cfs: the counterfactual artifact as typed columns (o_* original)."""
+    cols = ", ".join(f"o_{c}, {c}" for c in NUMERIC + CATEGORICAL)
+    return f""",
+cfs AS (
+  SELECT CAST(case_id * 100 + {run_index_sql()} * 10 + cf_rank AS BIGINT) AS id, model_name, run_id,
+         case_id AS instance_id, original_class, prediction AS target_class, distance, created_at, {cols}
+  FROM found)"""
+
+
+def encode_cte() -> str:
+    rng = ", ".join(f"GREATEST(GREATEST(MAX(o_{c}), MAX({c})) - LEAST(MIN(o_{c}), MIN({c})), {d(1.0)}) AS r_{c}"
+                    for c in ENC_NUMERIC)
+    deltas = ", ".join(f"({c} - o_{c}) / r_{c} AS {c}__delta" for c in ENC_NUMERIC)
+    nflags = ", ".join(
+        f"CAST(NOT (ABS(o_{c} - {c}) <= {d(1e-8)} + {d(1e-5)} * ABS({c})) AS DOUBLE) AS {c}__changed"
+        for c in ENC_NUMERIC)
+    cflags = ", ".join(f"CAST(o_{c} IS DISTINCT FROM {c} AS DOUBLE) AS {c}__changed" for c in ENC_CATEGORICAL)
+    toks = ", ".join(f"CASE WHEN o_{c} IS DISTINCT FROM {c} THEN {token_sql(c, 'o_' + c, c)} END"
+                     for c in ENC_CATEGORICAL)
+    fixed = [f"{c}__delta" for c in ENC_NUMERIC] + [f"{c}__changed" for c in ENC_NUMERIC] + \
+            [f"{c}__changed" for c in ENC_CATEGORICAL]
+    return f""",
+eranges AS (SELECT run_id, {rng} FROM cfs GROUP BY run_id),
+enc0 AS (SELECT cfs.*, {deltas}, {nflags}, {cflags},
+                list_filter([{toks}], lambda t: t IS NOT NULL) AS tokens
+         FROM cfs JOIN eranges USING (run_id)),
+vocab AS (SELECT run_id, list_sort(list(DISTINCT t)) AS vocab
+          FROM (SELECT run_id, unnest(tokens) AS t FROM enc0) GROUP BY run_id),
+enc AS (SELECT enc0.*, list_concat([{', '.join(fixed)}],
+               list_transform(COALESCE(v.vocab, []), lambda t: CAST(list_contains(enc0.tokens, t) AS DOUBLE))) AS vector
+        FROM enc0 LEFT JOIN vocab v USING (run_id))"""
+
+
+def sqd(v: str, c: str) -> str:
+    return f"list_reduce(list_transform(range(1, len({v}) + 1), lambda i: ({v}[i] - {c}[i]) * ({v}[i] - {c}[i])), lambda x, y: x + y)"
+
+
+def cluster_cte(k: int = K, steps: int = STEPS) -> str:
+    u = f"(CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '|42|0'), 1, 8) AS BIGINT) / {d(4294967296.0)})"
+    parts = [f""",
+init AS (SELECT run_id, vector, MIN(struct_pack(u := {u}, id := id)) AS first FROM enc GROUP BY run_id, vector),
+c0 AS (SELECT run_id, CAST(ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY first.u, first.id) - 1 AS INTEGER) AS cluster_id,
+              vector AS centre FROM init QUALIFY cluster_id < {k})"""]
+    for i in range(steps + 1):
+        parts.append(f""",
+a{i} AS (SELECT e.run_id, e.id, e.vector, c.cluster_id, {sqd('e.vector', 'c.centre')} AS sq_distance
+        FROM enc e JOIN c{i} c USING (run_id)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY e.run_id, e.id ORDER BY sq_distance, c.cluster_id) = 1)""")
+        if i < steps:
+            parts.append(f""",
+m{i} AS (SELECT run_id, cluster_id, list(m ORDER BY pos) AS centre FROM (
+          SELECT run_id, cluster_id, pos, AVG(v) AS m FROM (
+            SELECT run_id, cluster_id, unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM a{i})
+          GROUP BY run_id, cluster_id, pos) GROUP BY run_id, cluster_id),
+c{i + 1} AS (SELECT c.run_id, c.cluster_id, COALESCE(m.centre, c.centre) AS centre
+        FROM c{i} c LEFT JOIN m{i} m USING (run_id, cluster_id))""")
+    parts.append(f""",
+labelled AS (SELECT enc.*, a.cluster_id, a.sq_distance FROM enc JOIN a{steps} a USING (run_id, id))""")
+    return "".join(parts)
+
+
+def rules_cte() -> str:
+    feats = ENC_NUMERIC + ENC_CATEGORICAL
+    fl = "\n    UNION ALL ".join(
+        f"SELECT model_name, run_id, cluster_id, '{f}' AS feature, {i} AS ord, CAST({f}__changed AS INTEGER) AS flag, "
+        f"{f + '__delta' if f in ENC_NUMERIC else 'CAST(NULL AS DOUBLE)'} AS delta FROM labelled"
+        for i, f in enumerate(feats))
+    readable = ("CASE WHEN len(string_split(token, '__transition__')) >= 2 AND "
+                "len(string_split(split_part(token, '__transition__', 2), '__to__')) >= 2 THEN "
+                "split_part(token, '__transition__', 1) || ': ' || "
+                "replace(split_part(split_part(token, '__transition__', 2), '__to__', 1), '_', ' ') || ' -> ' || "
+                "replace(split_part(split_part(token, '__transition__', 2), '__to__', 2), '_', ' ') ELSE token END")
+    is_num = "feature IN (" + ", ".join(f"'{c}'" for c in ENC_NUMERIC) + ")"
+    return f""",
+sizes AS (SELECT model_name, run_id, cluster_id, COUNT(*) AS size, AVG(distance) AS avg_distance,
+                 COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY model_name, run_id) AS share
+          FROM labelled GROUP BY model_name, run_id, cluster_id),
+fprof AS (SELECT model_name, run_id, cluster_id, feature, ord, SUM(flag) / COUNT(*) AS change_rate, AVG(delta) AS avg_delta
+          FROM ({fl}) GROUP BY ALL),
+tcount AS (SELECT model_name, run_id, cluster_id, token, COUNT(*) AS n
+           FROM (SELECT model_name, run_id, cluster_id, unnest(tokens) AS token FROM labelled) GROUP BY ALL),
+tprof AS (SELECT t.model_name, t.run_id, t.cluster_id, t.token, t.n / s.size AS rate,
+                 ROW_NUMBER() OVER (PARTITION BY t.model_name, t.run_id, t.cluster_id ORDER BY t.n / s.size DESC, t.token) AS rank
+          FROM tcount t JOIN sizes s USING (model_name, run_id, cluster_id)
+          QUALIFY rank <= 10),
+conds AS (
+  SELECT model_name, run_id, cluster_id, 0 AS section, -change_rate AS neg, ord,
+         CASE WHEN {is_num} AND avg_delta IS NOT NULL AND ABS(avg_delta) >= {d(0.05)}
+              THEN feature || ' tends to ' || (CASE WHEN avg_delta > 0 THEN 'increase' ELSE 'decrease' END)
+                   || ' (avg normalized delta ' || printf('%+.3f', avg_delta) || ')'
+              ELSE feature || ' changes (' || printf('%.0f', change_rate * 100) || '% of cluster)' END AS text
+  FROM fprof WHERE change_rate >= {d(0.80)}
+  UNION ALL
+  SELECT model_name, run_id, cluster_id, 1, 0.0, rank, {readable} || ' (' || printf('%.0f', rate * 100) || '%)'
+  FROM tprof WHERE rate >= {d(0.10)}),
+clists AS (SELECT model_name, run_id, cluster_id, list(text ORDER BY section, neg, ord) AS conditions
+           FROM conds GROUP BY ALL),
+rules AS (
+  SELECT s.model_name, s.run_id, s.cluster_id, s.size, CAST(s.size AS INTEGER) AS support, s.share, s.avg_distance,
+         COALESCE(c.conditions, ['{NO_PATTERN}']) AS conditions
+  FROM sizes s LEFT JOIN clists c USING (model_name, run_id, cluster_id)),
+rq AS (
+  SELECT *, len(conditions) AS condition_count,
+         CASE WHEN len(conditions) > 0 THEN {d(1.0)} / len(conditions) ELSE 0.0 END AS compactness,
+         GREATEST({d(0.0)}, LEAST({d(1.0)}, {d(1.0)} - COALESCE(avg_distance, CAST('nan' AS DOUBLE)))) AS distance_score
+  FROM rules),
+rq2 AS (SELECT *, {d(0.4)} * share + {d(0.3)} * compactness + {d(0.3)} * distance_score AS quality_score FROM rq),
+rtok AS (SELECT model_name, run_id, cluster_id, list_distinct(list_transform(conditions, lambda c: lower(trim(split_part(c, '(', 1))))) AS toks FROM rq2),
+pairs AS (
+  SELECT a.model_name, a.run_id, a.cluster_id AS cluster_a, b.cluster_id AS cluster_b,
+         CASE WHEN len(list_distinct(list_concat(a.toks, b.toks))) = 0 THEN 0.0
+              ELSE len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) END AS similarity
+  FROM rtok a JOIN rtok b ON a.model_name = b.model_name AND a.run_id = b.run_id AND a.cluster_id < b.cluster_id)"""
+
+
+def distil_prefix() -> str:
+    return with_prefix(cases_cte(), scored_cte(), search_cte(), artifacts_cte(), encode_cte(),
+                       cluster_cte(), rules_cte())
+# Closing sentence of a rule.
+THEN_TEXT = "THEN model prediction reaches the counterfactual target class"

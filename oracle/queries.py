@@ -45,3 +45,125 @@ FROM found"""
 
 
 ORACLE["x08_counterfactual_search"] = q_search
+
+
+# ------------------------------------------------------------- artifacts
+from oracle.prefix import (CATEGORICAL, ENC_CATEGORICAL, ENC_NUMERIC, NUMERIC, RUNS,  # noqa: E402
+                           THEN_TEXT, distil_prefix, runs_cte)
+
+
+def _sig_list() -> str:
+    feats = sorted(NUMERIC + CATEGORICAL)
+    items = ", ".join(f"CASE WHEN o_{c} IS DISTINCT FROM {c} THEN '{c}' END" for c in feats)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+def q_x09() -> str:
+    return distil_prefix() + f"""
+SELECT id, model_name, run_id, instance_id, original_class, target_class, {r6('distance')} AS distance, created_at,
+       array_to_string({_sig_list()}, ',') AS signature, len({_sig_list()}) AS n_changed
+FROM cfs"""
+
+
+def q_x10() -> str:
+    return distil_prefix() + """
+SELECT c.case_id, r.run_id FROM cases c CROSS JOIN runs r
+WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.case_id = c.case_id AND f.run_id = r.run_id)"""
+
+
+def q_e03() -> str:
+    unions = " UNION ALL ".join(f"SELECT run_id, '{c}' AS feature, {r6('r_' + c)} AS feature_range FROM eranges"
+                                for c in ENC_NUMERIC)
+    return distil_prefix() + f"\nSELECT * FROM ({unions})"
+
+
+def q_e08() -> str:
+    return distil_prefix() + """
+SELECT run_id, CAST(generate_subscripts(vocab, 1) - 1 AS INTEGER) AS position, unnest(vocab) AS token FROM vocab"""
+
+
+def q_e09() -> str:
+    flags = ENC_NUMERIC + ENC_CATEGORICAL
+    nchg = "0.0"
+    for f in flags:
+        nchg = f"({nchg} + {f}__changed)"
+    deltas = ", ".join(f"{r6(c + '__delta')} AS {c}__delta" for c in ENC_NUMERIC)
+    return distil_prefix() + f"""
+SELECT id, run_id, {deltas}, {r6(nchg)} AS n_changed, array_to_string(tokens, ';') AS tokens,
+       CAST(len(vector) AS INTEGER) AS width, {r6('list_reduce(vector, lambda x, y: x + y)')} AS vector_sum
+FROM enc"""
+
+
+def q_c2() -> str:
+    return distil_prefix() + f"""
+SELECT run_id, cluster_id, COUNT(*) AS size, {r6('SUM(sq_distance)')} AS inertia,
+       {r6('COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY run_id)')} AS share
+FROM labelled GROUP BY run_id, cluster_id"""
+
+
+def q_c4() -> str:
+    sq = "list_reduce(list_transform(vector, lambda v: v * v), lambda x, y: x + y)"
+    dot = "list_reduce(list_transform(range(1, len(l.vector) + 1), lambda i: l.vector[i] * m.mu[i]), lambda x, y: x + y)"
+    return distil_prefix() + f""",
+cst AS (SELECT run_id, cluster_id, COUNT(*) AS n, AVG({sq}) AS q FROM labelled GROUP BY ALL),
+cmu AS (SELECT run_id, cluster_id, list(m ORDER BY pos) AS mu FROM (
+          SELECT run_id, cluster_id, pos, AVG(v) AS m FROM (
+            SELECT run_id, cluster_id, unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM labelled)
+          GROUP BY ALL) GROUP BY ALL),
+pd AS (SELECT l.run_id, l.id, l.cluster_id AS own, m.cluster_id AS other,
+              ({sq.replace('vector', 'l.vector')} - 2.0 * {dot} + s.q) AS msd, s.n
+       FROM labelled l JOIN cmu m ON l.run_id = m.run_id JOIN cst s ON s.run_id = m.run_id AND s.cluster_id = m.cluster_id),
+ab AS (SELECT run_id, id,
+              MAX(CASE WHEN own = other THEN n END) AS own_n,
+              MAX(CASE WHEN own = other THEN msd END) AS own_msd,
+              MIN(CASE WHEN own <> other THEN msd END) AS b
+       FROM pd GROUP BY run_id, id),
+sil AS (SELECT run_id, CASE WHEN own_n <= 1 THEN 0.0
+                            ELSE (b - own_msd * own_n / (own_n - 1)) / GREATEST(own_msd * own_n / (own_n - 1), b) END AS s
+        FROM ab)
+SELECT run_id, {r6("AVG(CASE WHEN isnan(s) OR s IS NULL THEN 0.0 ELSE s END)")} AS silhouette FROM sil GROUP BY run_id"""
+
+
+def q_r01() -> str:
+    return distil_prefix() + f"""
+SELECT run_id, cluster_id, size, {r6('share')} AS share, {r6('avg_distance')} AS avg_distance FROM sizes"""
+
+
+def q_r03() -> str:
+    return distil_prefix() + f"""
+SELECT run_id, cluster_id, feature, {r6('change_rate')} AS change_rate, {r6('avg_delta')} AS avg_delta FROM fprof"""
+
+
+def q_r04() -> str:
+    return distil_prefix() + f"""
+SELECT run_id, cluster_id, token, {r6('rate')} AS rate, CAST(rank AS INTEGER) AS rank FROM tprof"""
+
+
+def q_r08() -> str:
+    return distil_prefix() + f"""
+SELECT run_id, cluster_id, array_to_string(conditions, ' | ') AS conditions, support, {r6('share')} AS share,
+       {r6('avg_distance')} AS avg_distance, CAST(condition_count AS INTEGER) AS condition_count,
+       {r6('compactness')} AS compactness, {r6('distance_score')} AS distance_score,
+       {r6('quality_score')} AS quality_score
+FROM rq2"""
+
+
+def q_r14() -> str:
+    return distil_prefix() + f"\nSELECT run_id, cluster_a, cluster_b, {r6('similarity')} AS similarity FROM pairs"
+
+
+def q_r16() -> str:
+    return distil_prefix() + f"""
+SELECT run_id, cluster_id,
+       array_to_string(list_transform(conditions, lambda c, i: CASE WHEN i = 1 THEN 'IF ' ELSE 'AND ' END || c), ' ')
+       || ' {THEN_TEXT}' AS sentence
+FROM rq2"""
+
+
+ORACLE.update({
+    "x09_counterfactual_records": q_x09, "x10_uncovered_cases": q_x10, "e03_corpus_ranges": q_e03,
+    "e08_transition_vocabulary": q_e08, "e09_change_vectors": q_e09, "c2_cluster_assignment": q_c2,
+    "c4_silhouette": q_c4, "r01_cluster_sizes": q_r01, "r03_feature_profile": q_r03,
+    "r04_transition_profile": q_r04, "r08_rules": q_r08, "r14_rule_similarity": q_r14,
+    "r16_rule_sentences": q_r16,
+})
