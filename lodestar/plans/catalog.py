@@ -98,7 +98,7 @@ def x10_uncovered_cases(spark, sf_dir):
 @register("e03_corpus_ranges")
 def e03_corpus_ranges(spark, sf_dir):
     """Per run and numeric feature, the corpus range max(range, 1)."""
-    cfs = _cfs(spark, sf_dir).persist()
+    cfs = ctx.materialise(_cfs(spark, sf_dir))
     rows = []
     for run_id, *_ in ctx.RUNS:
         encoder, _ = ctx.encoded_run(cfs, run_id)
@@ -110,7 +110,7 @@ def e03_corpus_ranges(spark, sf_dir):
 @register("e08_transition_vocabulary")
 def e08_transition_vocabulary(spark, sf_dir):
     """E7 + E8: the sorted transition vocabulary learned per run."""
-    cfs = _cfs(spark, sf_dir).persist()
+    cfs = ctx.materialise(_cfs(spark, sf_dir))
     rows = []
     for run_id, *_ in ctx.RUNS:
         encoder, _ = ctx.encoded_run(cfs, run_id)
@@ -121,7 +121,7 @@ def e08_transition_vocabulary(spark, sf_dir):
 @register("e09_change_vectors")
 def e09_change_vectors(spark, sf_dir):
     """Per counterfactual deltas, flags, tokens and vector summary."""
-    cfs = _cfs(spark, sf_dir).persist()
+    cfs = ctx.materialise(_cfs(spark, sf_dir))
     out = None
     for run_id, *_ in ctx.RUNS:
         encoder, encoded = ctx.encoded_run(cfs, run_id)
@@ -205,4 +205,220 @@ def r16_rule_sentences(spark, sf_dir):
     return r.select("run_id", "cluster_id", rl.rule_sentence(F.col("conditions")).alias("sentence"))
 
 
+
+# ------------------------------------------------------- explorer queries
+from lodestar.operators import report as rep  # noqa: E402
+
+
+def _artifacts(spark, sf_dir, need=("cfs", "clusters", "rules", "shap", "metrics")):
+    out = {}
+    if {"clusters", "rules"} & set(need):
+        d = ctx.distilled(spark, sf_dir)
+        out["cfs"] = d["counterfactuals"]
+        out["clusters"] = ctx.cluster_table(d["labelled"])
+        out["rules"] = ctx.rules_table(d["rules"])
+        out["labelled"] = d["labelled"]
+    elif "cfs" in need:
+        out["cfs"] = _cfs(spark, sf_dir)
+    if "shap" in need:
+        out["shap"] = ctx.shap_table(spark, sf_dir)
+    if "metrics" in need:
+        out["metrics"] = ctx.metrics_table(spark, sf_dir)
+    return out
+
+
+def _first_instance(shap):
+    """The example instance: the smallest explained instance id (Q9)."""
+    return shap.agg(F.min("instance_id").alias("instance_id"))
+
+
+@register("q01_runs")
+def q01_runs(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("cfs",))
+    return explore.runs(a["cfs"])
+
+
+@register("q02_counterfactuals_with_clusters")
+def q02_counterfactuals_with_clusters(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("cfs", "clusters"))
+    out = explore.counterfactuals_with_clusters(a["cfs"], a["clusters"], "run-a")
+    return rounded(out.select("id", "run_id", "instance_id", "original_class", "target_class", "distance", "cluster_id"))
+
+
+@register("q03_rules_of_run")
+def q03_rules_of_run(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("rules",))
+    out = explore.rules_of_run(a["rules"], "run-a")
+    return rounded(out.select("id", "run_id", "cluster_id", F.array_join("conditions", " | ").alias("conditions"),
+                              "support", "support_share", "avg_distance", "quality_score"))
+
+
+@register("q05_local_attribution")
+def q05_local_attribution(spark, sf_dir):
+    """Q5: contributions of the example instance, |shap| descending."""
+    shap = ctx.shap_table(spark, sf_dir).filter(F.col("run_id") == "run-a")
+    one = shap.join(_first_instance(shap), "instance_id", "left_semi")
+    return rounded(one.select("instance_id", "feature_name", "feature_value", "shap_value"))
+
+
+@register("q06_run_summary")
+def q06_run_summary(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("cfs", "clusters", "rules", "shap"))
+    return explore.run_summary(a["cfs"], a["clusters"], a["rules"], a["shap"], "run-a")
+
+
+@register("q07_changed_features")
+def q07_changed_features(spark, sf_dir):
+    """Q7/Q8: changed features of every counterfactual with value text."""
+    cfs = _cfs(spark, sf_dir)
+    o = F.from_json("original_features", "map<string,string>")
+    c = F.from_json("counterfactual_features", "map<string,string>")
+    rows = cfs.select("id", "run_id", o.alias("o"), c.alias("c"), F.explode(F.map_keys(o)).alias("feature"))
+    same = explore._values_equal(F.col("o")[F.col("feature")], F.col("c")[F.col("feature")])
+    return rows.filter(~same).select(
+        "id", "run_id", "feature", explore.value_text(F.col("o")[F.col("feature")]).alias("original_value"),
+        explore.value_text(F.col("c")[F.col("feature")]).alias("counterfactual_value"))
+
+
+@register("q09_explained_instances")
+def q09_explained_instances(spark, sf_dir):
+    return explore.explained_instances(ctx.shap_table(spark, sf_dir), run_id="run-a")
+
+
+@register("q11_newest_counterfactuals")
+def q11_newest_counterfactuals(spark, sf_dir):
+    cfs = _cfs(spark, sf_dir)
+    return rounded(explore.newest_counterfactuals(cfs, limit=100).select("id", "run_id", "instance_id", "distance",
+                                                                         "created_at"))
+
+
+@register("q12_latest_metrics")
+def q12_latest_metrics(spark, sf_dir):
+    return rounded(explore.latest_metrics(ctx.metrics_table(spark, sf_dir)))
+
+
+@register("q13_metric_history")
+def q13_metric_history(spark, sf_dir):
+    out = explore.metric_history(ctx.metrics_table(spark, sf_dir), "accuracy", limit=10)
+    return rounded(out.select("id", "run_id", "metric_name", "metric_value", "created_at"))
+
+
+@register("q15_explorer_summary")
+def q15_explorer_summary(spark, sf_dir):
+    """Q14 + Q15: distance <= 0.05 and cluster in {0, 1} of run-a, summarised."""
+    a = _artifacts(spark, sf_dir, ("cfs", "clusters"))
+    joined = explore.counterfactuals_with_clusters(a["cfs"], a["clusters"], "run-a")
+    return rounded(explore.explorer_summary(explore.explorer_filter(joined, 0.05, (0, 1))))
+
+
+@register("q16_instance_counterfactuals")
+def q16_instance_counterfactuals(spark, sf_dir):
+    cfs = _cfs(spark, sf_dir)
+    one = cfs.join(_first_instance(cfs), "instance_id", "left_semi")
+    return rounded(one.select("id", "run_id", "instance_id", "distance", "target_class"))
+
+
+@register("q17_rule_summary")
+def q17_rule_summary(spark, sf_dir):
+    """Q17: rules with quality >= 0.5, summarised per run."""
+    a = _artifacts(spark, sf_dir, ("rules",))
+    f = explore.rule_filter(a["rules"], 0.5)
+    out = f.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rules"),
+                                  F.sum("support").cast("bigint").alias("total_support"),
+                                  F.avg("quality_score").alias("mean_quality"),
+                                  F.avg("avg_distance").alias("mean_distance"))
+    return rounded(out)
+
+
+@register("q18_ranked_rules")
+def q18_ranked_rules(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("rules",))
+    return rounded(explore.ranked_rules(a["rules"], 3).select("run_id", "cluster_id", "quality_score", "rank"))
+
+
+@register("q19_ranked_importance")
+def q19_ranked_importance(spark, sf_dir):
+    shap = ctx.shap_table(spark, sf_dir)
+    return rounded(explore.ranked_importance(explore.global_importance(shap, 10, run_id="run-a")))
+
+
+@register("q20_local_summary")
+def q20_local_summary(spark, sf_dir):
+    shap = ctx.shap_table(spark, sf_dir).filter(F.col("run_id") == "run-a")
+    return rounded(explore.local_summary(shap))
+
+
+@register("q21_listing")
+def q21_listing(spark, sf_dir):
+    """Q21: every counterfactual of run-a with its changes as text."""
+    cfs = _cfs(spark, sf_dir).filter(F.col("run_id") == "run-a")
+    o = F.from_json("original_features", "map<string,string>")
+    c = F.from_json("counterfactual_features", "map<string,string>")
+    rows = cfs.select("id", o.alias("o"), c.alias("c"), F.explode(F.map_keys(o)).alias("feature"))
+    same = explore._values_equal(F.col("o")[F.col("feature")], F.col("c")[F.col("feature")])
+    text = F.concat(F.col("feature"), F.lit(": "), explore.value_text(F.col("o")[F.col("feature")]), F.lit(" -> "),
+                    explore.value_text(F.col("c")[F.col("feature")]))
+    per = rows.filter(~same).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("changes"))
+    return rounded(cfs.select("id", "instance_id", "distance").join(per, "id", "left")
+                   .withColumn("changes", F.coalesce("changes", F.lit(""))))
+
+
+# --------------------------------------------------------------- report
+KEYS = ("model_name", "run_id")
+
+
+@register("v01_resolve_run")
+def v01_resolve_run(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("cfs", "rules"))
+    return rep.resolve_run(a["cfs"], a["rules"])
+
+
+@register("v02_counterfactual_clusters")
+def v02_counterfactual_clusters(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("cfs", "clusters"))
+    return rep.with_clusters(a["cfs"], a["clusters"]).select("id", "run_id", "model_name", "cluster_id")
+
+
+@register("v04_corpus_metrics")
+def v04_corpus_metrics(spark, sf_dir):
+    return rounded(rep.corpus_metrics(_cfs(spark, sf_dir)))
+
+
+@register("v05_cluster_metrics")
+def v05_cluster_metrics(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("clusters",))
+    return rounded(rep.cluster_metrics(a["clusters"]))
+
+
+@register("v06_shap_metrics")
+def v06_shap_metrics(spark, sf_dir):
+    return rep.shap_metrics(ctx.shap_table(spark, sf_dir))
+
+
+@register("v07_rule_metrics")
+def v07_rule_metrics(spark, sf_dir):
+    a = _artifacts(spark, sf_dir, ("rules",))
+    return rounded(rep.rule_metrics(a["rules"]))
+
+
+@register("v08_coverage")
+def v08_coverage(spark, sf_dir):
+    return rounded(rep.coverage(_cfs(spark, sf_dir), ctx.shap_table(spark, sf_dir)))
+
+
+@register("v09_model_metrics")
+def v09_model_metrics(spark, sf_dir):
+    return rounded(rep.model_metrics(ctx.metrics_table(spark, sf_dir)))
+
+
+@register("v10_report")
+def v10_report(spark, sf_dir):
+    """The assembled long report for every run."""
+    a = _artifacts(spark, sf_dir)
+    sections = {"corpus": rep.corpus_metrics(a["cfs"]), "clusters": rep.cluster_metrics(a["clusters"]),
+                "shap": rep.shap_metrics(a["shap"]), "rules": rep.rule_metrics(a["rules"]),
+                "coverage": rep.coverage(a["cfs"], a["shap"]), "model": rep.model_metrics(a["metrics"])}
+    return rounded(rep.assemble(sections))
+
+
 FLAGSHIP = "r08_rules"

@@ -61,6 +61,15 @@ def counterfactuals_found(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFr
 
 # ------------------------------------------------------------ artifacts
 from lodestar.operators import cluster as clu  # noqa: E402
+from lodestar.session import shared_dir  # noqa: E402
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the cluster's shared checkpoint folder: the
+    result is reused by several jobs (fits, Lloyd steps) and survives
+    executor loss without recomputing the search."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 from lodestar.operators import encode as enc  # noqa: E402
 from lodestar.operators import rules as rl  # noqa: E402
 
@@ -98,7 +107,7 @@ def encoded_run(cfs: DataFrame, run_id: str):
 def distil_run(cfs: DataFrame, run_id: str, k: int = K, steps: int = LLOYD_STEPS):
     """R15 for one run: encode -> frozen-init Lloyd -> labelled rows."""
     encoder, encoded = encoded_run(cfs, run_id)
-    encoded = encoded.persist()
+    encoded = materialise(encoded)
     centres = clu.initial_centres(encoded, k, id_col="id", column="vector", seed=42)
     fit = clu.lloyd(encoded, centres, steps=steps)
     labelled = clu.assign(encoded, fit.centres)
@@ -107,7 +116,7 @@ def distil_run(cfs: DataFrame, run_id: str, k: int = K, steps: int = LLOYD_STEPS
 
 def distilled(spark: SparkSession, sf_dir: str, runs=RUNS):
     """Per run: labelled rows, sizes, feature + transition profiles, rules."""
-    cfs = counterfactual_table(spark, sf_dir, runs).persist()
+    cfs = materialise(counterfactual_table(spark, sf_dir, runs))
     parts = {"labelled": [], "sizes": [], "features": [], "transitions": [], "rules": []}
     keys = ["model_name", "run_id"]
     for run_id, model_name, _, created_at in runs:

@@ -320,3 +320,45 @@ def distil_prefix() -> str:
                        cluster_cte(), rules_cte())
 # Closing sentence of a rule.
 THEN_TEXT = "THEN model prediction reaches the counterfactual target class"
+
+
+def metrics_cte() -> str:
+    names = ["accuracy", "f1", "roc_auc", "n_cases"]
+    unions = " UNION ALL ".join(
+        f"SELECT '{m}' AS metric_name, {i} AS ord, {m} AS metric_value FROM mwide" for i, m in enumerate(names))
+    return f""",
+aucp AS (SELECT p1 AS s, COUNT(*) FILTER (WHERE target = 1) AS pos, COUNT(*) FILTER (WHERE target = 0) AS neg
+         FROM scored2 GROUP BY p1),
+aucr AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+         FROM aucp),
+auc AS (SELECT CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0
+                    THEN SUM(pos * (below + neg / 2.0)) / (SUM(pos) * SUM(neg)) END AS roc_auc FROM aucr),
+af AS (SELECT AVG(CAST(target = prediction AS DOUBLE)) AS accuracy,
+              COUNT(*) FILTER (WHERE target = 1 AND prediction = 1) AS tp,
+              COUNT(*) FILTER (WHERE target = 0 AND prediction = 1) AS fp,
+              COUNT(*) FILTER (WHERE target = 1 AND prediction = 0) AS fn,
+              CAST(COUNT(*) AS DOUBLE) AS n_cases FROM scored2),
+mwide AS (SELECT accuracy, CASE WHEN 2 * tp + fp + fn > 0 THEN (2.0 * tp) / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+                 roc_auc, n_cases FROM af CROSS JOIN auc),
+mlong AS ({unions}),
+metrics AS (SELECT CAST({run_index_sql('r.run_id')} * 100 + m.ord AS BIGINT) AS id, r.model_name, r.run_id,
+                   m.metric_name, CAST(m.metric_value AS DOUBLE) AS metric_value, r.created_at
+            FROM mlong m CROSS JOIN runs r)"""
+
+
+def shap_art_cte() -> str:
+    names = [n for n, _, _ in shap_terms()]
+    ordc = "(CASE feature_name " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(names)) + " END)"
+    return f""",
+shap_art AS (SELECT CAST((s.instance_id * 2 + {run_index_sql('r.run_id')}) * 16 + {ordc} AS BIGINT) AS id,
+                    r.model_name, r.run_id, s.instance_id, s.feature_name, s.feature_value, s.shap_value, r.created_at
+             FROM shap s CROSS JOIN runs r),
+clusters_art AS (SELECT id AS counterfactual_id, model_name, run_id, instance_id, cluster_id, created_at, id FROM labelled),
+rules_art AS (SELECT CAST(cluster_id + {run_index_sql()} * 100 AS BIGINT) AS id, model_name, run_id, cluster_id,
+                     conditions, support, share AS support_share, avg_distance, quality_score, r.created_at
+              FROM rq2 JOIN (SELECT run_id, created_at FROM runs) r USING (run_id))"""
+
+
+def full_prefix() -> str:
+    return with_prefix(cases_cte(), scored_cte(), search_cte(), artifacts_cte(), encode_cte(),
+                       cluster_cte(), rules_cte(), shap_cte(), metrics_cte(), shap_art_cte())

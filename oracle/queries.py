@@ -167,3 +167,261 @@ ORACLE.update({
     "r04_transition_profile": q_r04, "r08_rules": q_r08, "r14_rule_similarity": q_r14,
     "r16_rule_sentences": q_r16,
 })
+
+
+# ------------------------------------------------------------- explorer
+from oracle.prefix import full_prefix  # noqa: E402
+
+
+def num_text(x: str) -> str:
+    return f"CAST(CAST(ROUND({x}, 6) AS DECIMAL(38,6)) AS VARCHAR)"
+
+
+def _changes() -> str:
+    """One row per (counterfactual, changed feature) with value text."""
+    parts = []
+    for c in NUMERIC + CATEGORICAL:
+        ov = num_text(f"o_{c}") if c in NUMERIC else f"COALESCE(o_{c}, 'None')"
+        nv = num_text(c) if c in NUMERIC else f"COALESCE({c}, 'None')"
+        parts.append(f"SELECT id, run_id, instance_id, distance, '{c}' AS feature, {ov} AS original_value, "
+                     f"{nv} AS counterfactual_value FROM cfs WHERE o_{c} IS DISTINCT FROM {c}")
+    return "changes AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def fp(tail: str) -> str:
+    return full_prefix() + tail
+
+
+def q_q01():
+    return fp("""
+SELECT run_id, model_name, COUNT(*) AS n_counterfactuals, MAX(created_at) AS last_created_at
+FROM cfs WHERE run_id IS NOT NULL GROUP BY run_id, model_name""")
+
+
+def q_q02():
+    return fp(f"""
+SELECT c.id, c.run_id, c.instance_id, c.original_class, c.target_class, {r6('c.distance')} AS distance, k.cluster_id
+FROM cfs c LEFT JOIN clusters_art k ON c.id = k.counterfactual_id AND c.run_id = k.run_id
+WHERE c.run_id = 'run-a'""")
+
+
+def q_q03():
+    return fp(f"""
+SELECT id, run_id, cluster_id, array_to_string(conditions, ' | ') AS conditions, support,
+       {r6('support_share')} AS support_share, {r6('avg_distance')} AS avg_distance, {r6('quality_score')} AS quality_score
+FROM rules_art WHERE run_id = 'run-a'""")
+
+
+def q_q05():
+    return fp(f"""
+SELECT instance_id, feature_name, {r6('feature_value')} AS feature_value, {r6('shap_value')} AS shap_value
+FROM shap_art WHERE run_id = 'run-a'
+  AND instance_id = (SELECT MIN(instance_id) FROM shap_art WHERE run_id = 'run-a')""")
+
+
+def q_q06():
+    return fp("""
+SELECT (SELECT COUNT(*) FROM cfs WHERE run_id = 'run-a') AS n_counterfactuals,
+       (SELECT COUNT(DISTINCT instance_id) FROM cfs WHERE run_id = 'run-a') AS n_instances,
+       (SELECT COUNT(DISTINCT cluster_id) FROM clusters_art WHERE run_id = 'run-a') AS n_clusters,
+       (SELECT COUNT(*) FROM rules_art WHERE run_id = 'run-a') AS n_rules,
+       (SELECT COUNT(DISTINCT instance_id) FROM shap_art WHERE run_id = 'run-a') AS n_shap_instances""")
+
+
+def q_q07():
+    return fp(", " + _changes() + """
+SELECT id, run_id, feature, original_value, counterfactual_value FROM changes""")
+
+
+def q_q09():
+    return fp("\nSELECT DISTINCT instance_id FROM shap_art WHERE run_id = 'run-a'")
+
+
+def q_q11():
+    return fp(f"""
+SELECT id, run_id, instance_id, {r6('distance')} AS distance, created_at FROM cfs
+ORDER BY created_at DESC, id DESC LIMIT 100""")
+
+
+def q_q12():
+    return fp(f"""
+SELECT metric_name, {r6('arg_max(metric_value, (created_at, id))')} AS metric_value FROM metrics GROUP BY metric_name""")
+
+
+def q_q13():
+    return fp(f"""
+SELECT id, run_id, metric_name, {r6('metric_value')} AS metric_value, created_at FROM metrics
+WHERE metric_name = 'accuracy' ORDER BY created_at DESC, id DESC LIMIT 10""")
+
+
+def q_q15():
+    return fp(f"""
+SELECT COUNT(*) AS n_rows, COUNT(DISTINCT c.instance_id) AS n_instances,
+       {r6('COALESCE(AVG(c.distance), 0.0)')} AS mean_distance
+FROM cfs c LEFT JOIN clusters_art k ON c.id = k.counterfactual_id AND c.run_id = k.run_id
+WHERE c.run_id = 'run-a' AND c.distance <= {r6('0.05')} AND k.cluster_id IN (0, 1)""")
+
+
+def q_q16():
+    return fp(f"""
+SELECT id, run_id, instance_id, {r6('distance')} AS distance, target_class FROM cfs
+WHERE instance_id = (SELECT MIN(instance_id) FROM cfs)""")
+
+
+def q_q17():
+    return fp(f"""
+SELECT run_id, COUNT(*) AS n_rules, CAST(SUM(support) AS BIGINT) AS total_support,
+       {r6('AVG(quality_score)')} AS mean_quality, {r6('AVG(avg_distance)')} AS mean_distance
+FROM rules_art WHERE quality_score >= 0.5 GROUP BY run_id""")
+
+
+def q_q18():
+    return fp(f"""
+SELECT run_id, cluster_id, {r6('quality_score')} AS quality_score,
+       CAST(ROW_NUMBER() OVER (PARTITION BY model_name, run_id ORDER BY quality_score DESC, cluster_id) AS INTEGER) AS rank
+FROM rules_art QUALIFY rank <= 3""")
+
+
+def q_q19():
+    return fp(f"""
+SELECT feature_name, {r6('m')} AS mean_abs_shap, CAST(ROW_NUMBER() OVER (ORDER BY m DESC, feature_name) AS INTEGER) AS rank
+FROM (SELECT feature_name, AVG(ABS(shap_value)) AS m FROM shap_art WHERE run_id = 'run-a'
+      GROUP BY feature_name ORDER BY m DESC, feature_name LIMIT 10)""")
+
+
+def q_q20():
+    return fp(f"""
+SELECT instance_id,
+       COALESCE((MAX(struct_pack(v := shap_value, f := feature_name)) FILTER (WHERE shap_value > 0)).f, 'N/A') AS top_positive_feature,
+       {r6("COALESCE(MAX(shap_value) FILTER (WHERE shap_value > 0), 0.0)")} AS top_positive_value,
+       COALESCE((MAX(struct_pack(v := ABS(shap_value), f := feature_name)) FILTER (WHERE shap_value < 0)).f, 'N/A') AS top_negative_feature,
+       {r6("COALESCE(MIN(shap_value) FILTER (WHERE shap_value < 0), 0.0)")} AS top_negative_value,
+       {r6('SUM(ABS(shap_value))')} AS total_abs_shap,
+       COUNT(*) FILTER (WHERE shap_value >= 0) AS n_non_negative
+FROM shap_art WHERE run_id = 'run-a' GROUP BY instance_id""")
+
+
+def q_q21():
+    return fp(", " + _changes() + f""",
+per AS (SELECT id, array_to_string(list_sort(list(feature || ': ' || original_value || ' -> ' || counterfactual_value)), '; ') AS changes
+        FROM changes WHERE run_id = 'run-a' GROUP BY id)
+SELECT c.id, c.instance_id, {r6('c.distance')} AS distance, COALESCE(p.changes, '') AS changes
+FROM cfs c LEFT JOIN per p USING (id) WHERE c.run_id = 'run-a'""")
+
+
+# ---------------------------------------------------------------- report
+def q_v01():
+    return fp("""
+SELECT run_id, model_name, MAX(created_at) AS last_created_at FROM cfs c
+WHERE EXISTS (SELECT 1 FROM rules_art r WHERE r.run_id = c.run_id AND r.model_name = c.model_name)
+GROUP BY run_id, model_name ORDER BY last_created_at DESC, run_id DESC, model_name DESC LIMIT 1""")
+
+
+def q_v02():
+    return fp("""
+SELECT c.id, c.run_id, c.model_name, k.cluster_id FROM cfs c
+LEFT JOIN clusters_art k ON c.id = k.counterfactual_id AND c.run_id = k.run_id AND c.model_name = k.model_name""")
+
+
+def v04_cte():
+    return f""",
+v04 AS (SELECT model_name, run_id, COUNT(*) AS n_counterfactuals, COUNT(DISTINCT instance_id) AS n_instances,
+               AVG(distance) AS mean_distance, MIN(distance) AS min_distance, MAX(distance) AS max_distance,
+               AVG(len({_sig_list()})) AS mean_changed_features,
+               COUNT(DISTINCT array_to_string({_sig_list()}, ',')) AS n_signatures
+        FROM cfs GROUP BY model_name, run_id),
+v05 AS (SELECT model_name, run_id, COUNT(*) AS n_clusters, MAX(size) / SUM(size) AS largest_share,
+               array_to_string(list(CAST(cluster_id AS VARCHAR) || ':' || CAST(size AS VARCHAR) ORDER BY cluster_id), ',') AS sizes
+        FROM (SELECT model_name, run_id, cluster_id, COUNT(*) AS size FROM clusters_art WHERE cluster_id IS NOT NULL GROUP BY ALL)
+        GROUP BY model_name, run_id),
+v06 AS (SELECT model_name, run_id, COUNT(*) AS n_shap_rows, COUNT(DISTINCT instance_id) AS n_shap_instances,
+               COUNT(DISTINCT feature_name) AS n_shap_features FROM shap_art GROUP BY model_name, run_id),
+v07 AS (SELECT r.model_name, r.run_id, COUNT(*) AS n_rules, AVG(quality_score) AS mean_quality,
+               MAX(quality_score) AS best_quality, AVG(len(conditions)) AS mean_conditions,
+               COALESCE(ANY_VALUE(p.mj), 0.0) AS mean_jaccard, COALESCE(ANY_VALUE(p.xj), 0.0) AS max_jaccard
+        FROM rules_art r LEFT JOIN (SELECT model_name, run_id, AVG(similarity) AS mj, MAX(similarity) AS xj
+                                    FROM pairs GROUP BY ALL) p USING (model_name, run_id)
+        GROUP BY r.model_name, r.run_id),
+v08 AS (SELECT COALESCE(a.model_name, b.model_name) AS model_name, COALESCE(a.run_id, b.run_id) AS run_id,
+               COALESCE(a.attempted, 0) AS attempted, COALESCE(b.covered, 0) AS covered,
+               CASE WHEN COALESCE(a.attempted, 0) = 0 THEN NULL ELSE COALESCE(b.covered, 0) / a.attempted END AS coverage,
+               CASE WHEN COALESCE(b.covered, 0) = 0 THEN NULL ELSE b.n / b.covered END AS cfs_per_covered
+        FROM (SELECT model_name, run_id, COUNT(DISTINCT instance_id) AS attempted FROM shap_art GROUP BY ALL) a
+        FULL JOIN (SELECT model_name, run_id, COUNT(DISTINCT instance_id) AS covered, COUNT(*) AS n FROM cfs GROUP BY ALL) b
+        USING (model_name, run_id)),
+v09 AS (SELECT model_name, run_id,
+               COALESCE(arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'test_accuracy'),
+                        arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'accuracy')) AS accuracy,
+               COALESCE(arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'test_f1'),
+                        arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'weighted avg_f1'),
+                        arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'f1')) AS f1,
+               COALESCE(arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'test_roc_auc'),
+                        arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'roc_auc')) AS roc_auc
+        FROM metrics GROUP BY model_name, run_id)"""
+
+
+def q_v04():
+    return fp(v04_cte() + f"""
+SELECT model_name, run_id, n_counterfactuals, n_instances, {r6('mean_distance')} AS mean_distance,
+       {r6('min_distance')} AS min_distance, {r6('max_distance')} AS max_distance,
+       {r6('mean_changed_features')} AS mean_changed_features, n_signatures,
+       {r6('n_signatures / n_counterfactuals')} AS diversity FROM v04""")
+
+
+def q_v05():
+    return fp(v04_cte() + f"\nSELECT model_name, run_id, n_clusters, {r6('largest_share')} AS largest_share, sizes FROM v05")
+
+
+def q_v06():
+    return fp(v04_cte() + "\nSELECT * FROM v06")
+
+
+def q_v07():
+    return fp(v04_cte() + f"""
+SELECT model_name, run_id, n_rules, {r6('mean_quality')} AS mean_quality, {r6('best_quality')} AS best_quality,
+       {r6('mean_conditions')} AS mean_conditions, {r6('mean_jaccard')} AS mean_jaccard, {r6('max_jaccard')} AS max_jaccard
+FROM v07""")
+
+
+def q_v08():
+    return fp(v04_cte() + f"""
+SELECT model_name, run_id, attempted, covered, {r6('coverage')} AS coverage, {r6('cfs_per_covered')} AS cfs_per_covered
+FROM v08""")
+
+
+def q_v09():
+    return fp(v04_cte() + f"""
+SELECT model_name, run_id, {r6('accuracy')} AS accuracy, {r6('f1')} AS f1, {r6('roc_auc')} AS roc_auc FROM v09""")
+
+
+def q_v10():
+    sections = {
+        "corpus": ["n_counterfactuals", "n_instances", "mean_distance", "min_distance", "max_distance",
+                   "mean_changed_features", "n_signatures", "diversity"],
+        "clusters": ["n_clusters", "largest_share"],
+        "shap": ["n_shap_rows", "n_shap_instances", "n_shap_features"],
+        "rules": ["n_rules", "mean_quality", "best_quality", "mean_conditions", "mean_jaccard", "max_jaccard"],
+        "coverage": ["attempted", "covered", "coverage", "cfs_per_covered"],
+        "model": ["accuracy", "f1", "roc_auc"],
+    }
+    src = {"corpus": "(SELECT *, n_signatures / n_counterfactuals AS diversity FROM v04)", "clusters": "v05",
+           "shap": "v06", "rules": "v07", "coverage": "v08", "model": "v09"}
+    parts = []
+    for sec, ms in sections.items():
+        for m in ms:
+            parts.append(f"SELECT model_name, run_id, '{sec}' AS section, '{m}' AS metric, "
+                         f"{r6(f'CAST({m} AS DOUBLE)')} AS value FROM {src[sec]}")
+    return fp(v04_cte() + "\n" + " UNION ALL ".join(parts))
+
+
+ORACLE.update({
+    "q01_runs": q_q01, "q02_counterfactuals_with_clusters": q_q02, "q03_rules_of_run": q_q03,
+    "q05_local_attribution": q_q05, "q06_run_summary": q_q06, "q07_changed_features": q_q07,
+    "q09_explained_instances": q_q09, "q11_newest_counterfactuals": q_q11, "q12_latest_metrics": q_q12,
+    "q13_metric_history": q_q13, "q15_explorer_summary": q_q15, "q16_instance_counterfactuals": q_q16,
+    "q17_rule_summary": q_q17, "q18_ranked_rules": q_q18, "q19_ranked_importance": q_q19,
+    "q20_local_summary": q_q20, "q21_listing": q_q21,
+    "v01_resolve_run": q_v01, "v02_counterfactual_clusters": q_v02, "v04_corpus_metrics": q_v04,
+    "v05_cluster_metrics": q_v05, "v06_shap_metrics": q_v06, "v07_rule_metrics": q_v07, "v08_coverage": q_v08,
+    "v09_model_metrics": q_v09, "v10_report": q_v10,
+})
