@@ -69,7 +69,9 @@ def x08_counterfactual_search(spark, sf_dir):
 
 # ---------------------------------------------------------------- artifacts
 def _cfs(spark, sf_dir):
-    return ctx.counterfactual_table(spark, sf_dir)
+    """The counterfactual artifact, checkpointed once: it is read by
+    several jobs and recomputing it would re-run the search."""
+    return ctx.materialise(ctx.counterfactual_table(spark, sf_dir))
 
 
 @register("x09_counterfactual_records")
@@ -98,7 +100,7 @@ def x10_uncovered_cases(spark, sf_dir):
 @register("e03_corpus_ranges")
 def e03_corpus_ranges(spark, sf_dir):
     """Per run and numeric feature, the corpus range max(range, 1)."""
-    cfs = ctx.materialise(_cfs(spark, sf_dir))
+    cfs = _cfs(spark, sf_dir)
     rows = []
     for run_id, *_ in ctx.RUNS:
         encoder, _ = ctx.encoded_run(cfs, run_id)
@@ -110,7 +112,7 @@ def e03_corpus_ranges(spark, sf_dir):
 @register("e08_transition_vocabulary")
 def e08_transition_vocabulary(spark, sf_dir):
     """E7 + E8: the sorted transition vocabulary learned per run."""
-    cfs = ctx.materialise(_cfs(spark, sf_dir))
+    cfs = _cfs(spark, sf_dir)
     rows = []
     for run_id, *_ in ctx.RUNS:
         encoder, _ = ctx.encoded_run(cfs, run_id)
@@ -121,7 +123,7 @@ def e08_transition_vocabulary(spark, sf_dir):
 @register("e09_change_vectors")
 def e09_change_vectors(spark, sf_dir):
     """Per counterfactual deltas, flags, tokens and vector summary."""
-    cfs = ctx.materialise(_cfs(spark, sf_dir))
+    cfs = _cfs(spark, sf_dir)
     out = None
     for run_id, *_ in ctx.RUNS:
         encoder, encoded = ctx.encoded_run(cfs, run_id)
@@ -421,4 +423,202 @@ def v10_report(spark, sf_dir):
     return rounded(rep.assemble(sections))
 
 
+
+# ----------------------------------------------------------- preparation
+from lodestar.operators import features as feat  # noqa: E402
+from lodestar.operators import metrics as mt  # noqa: E402
+from lodestar.operators import prepare as prep  # noqa: E402
+from lodestar.sources import files, store  # noqa: E402
+from lodestar.sources.tables import order_cases  # noqa: E402
+
+LABELS = ("<=200K", ">200K")
+
+
+@register("p04_label_target")
+def p04_label_target(spark, sf_dir):
+    """S1 + P1-P5: raw text cases through a headerless CSV, trimmed,
+    label normalised and validated, binary target."""
+    raw = files.raw_order_text(order_cases(spark, sf_dir))
+    path = files.write_headerless_csv(raw, files.scratch_path(spark, "raw-orders"))
+    df = files.read_headerless_csv(spark, path, files.RAW_COLUMNS)
+    df = prep.trim_categoricals(df, ctx.SPEC.categorical)
+    df = df.withColumn("label", prep.normalise_label(F.col("label")))
+    df = prep.binary_target(prep.valid_labels(df, "label", LABELS), "label", ">200K")
+    return df.select(F.trim("case_id").cast("bigint").alias("case_id"), "segment", "priority", "status", "target")
+
+
+def _split(spark, sf_dir):
+    return prep.stratified_split(ctx.clean_cases(spark, sf_dir), "case_id", "target", 0.2, 42)
+
+
+@register("p06_stratified_split")
+def p06_stratified_split(spark, sf_dir):
+    """Stratified 80/20 split by hash rank (largest remainder, ceil)."""
+    return _split(spark, sf_dir).select("case_id", "target", "is_test")
+
+
+@register("p07_nested_split")
+def p07_nested_split(spark, sf_dir):
+    """The training part split again into tune / validation."""
+    train = _split(spark, sf_dir).filter(~F.col("is_test")).drop("is_test")
+    return prep.stratified_split(train, "case_id", "target", 0.2, 42, salt="tune") \
+        .select("case_id", "target", F.col("is_test").alias("is_validation"))
+
+
+@register("p08_sample")
+def p08_sample(spark, sf_dir):
+    """P8 + P9: seeded sample of 200 cases, then selected by key."""
+    cases = ctx.clean_cases(spark, sf_dir)
+    ids = prep.sample_cases(cases, "case_id", 200, seed=42).select("case_id")
+    chosen, _unknown = prep.select_instances(cases, "case_id", ids)
+    return chosen.select("case_id", "target")
+
+
+@register("p12_features")
+def p12_features(spark, sf_dir):
+    """P10-P13 + P19/P20: cleaned, reconciled, binned cases with the ratio."""
+    df = feat.reconcile(feat.derive(order_cases(spark, sf_dir), ctx.SPEC), ctx.SPEC)
+    return rounded(df.select("case_id", *ctx.SPEC.numeric, *ctx.SPEC.categorical, "price_band", "qty_band",
+                             "urgency", "price_per_line"))
+
+
+def _feature_model(spark, sf_dir):
+    split = _split(spark, sf_dir)
+    train = split.filter(~F.col("is_test"))
+    return split, feat.fit_features(train, ctx.SPEC, scale=True)
+
+
+@register("p15_feature_schema")
+def p15_feature_schema(spark, sf_dir):
+    """Output schema learned on training rows only."""
+    _, fm = _feature_model(spark, sf_dir)
+    return fm.schema_frame(spark)
+
+
+@register("p16_encoded")
+def p16_encoded(spark, sf_dir):
+    """P14 + P16 + P18: every case encoded against the training schema."""
+    split, fm = _feature_model(spark, sf_dir)
+    enc = fm.transform(split, keep=True)
+    n_num = len(fm.numeric)
+    return rounded(enc.select("case_id", "is_test", F.size("features").alias("width"),
+                              F.aggregate(F.slice("features", n_num + 1, fm.width), F.lit(0.0),
+                                          lambda a, v: a + v).alias("n_hot"),
+                              *[F.col(f"{c}_scaled") for c in fm.numeric]))
+
+
+@register("p17_numeric_stats")
+def p17_numeric_stats(spark, sf_dir):
+    """Mean and sample std of every encoded numeric on training rows."""
+    train = _split(spark, sf_dir).filter(~F.col("is_test"))
+    return rounded(feat.numeric_stats(train, ctx.SPEC))
+
+
+# ------------------------------------------------------------- metrics
+@register("m08_accuracy_f1")
+def m08_accuracy_f1(spark, sf_dir):
+    """M7 + M8 of the scorecard against the target."""
+    return rounded(mt.accuracy_f1(ctx.scored_cases(spark, sf_dir)))
+
+
+@register("m09_roc_auc")
+def m09_roc_auc(spark, sf_dir):
+    """M9: tie-aware AUC from P(class 1), no global window."""
+    return rounded(mt.roc_auc(ctx.scored_cases(spark, sf_dir)))
+
+
+@register("m10_class_report")
+def m10_class_report(spark, sf_dir):
+    """Per-class and averaged precision/recall/f1/support, long."""
+    return rounded(mt.class_report(ctx.scored_cases(spark, sf_dir)))
+
+
+INTERCEPT_SHIFTS = [-1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@register("m13_best_trial")
+def m13_best_trial(spark, sf_dir):
+    """M12 (scorecard form) + M13: one trial per intercept shift scored on
+    every case, best accuracy (ties: lowest trial) and completed count."""
+    cases = ctx.clean_cases(spark, sf_dir)
+    z = ctx.SCORECARD.margin()
+    shifts = F.array(*[F.lit(s) for s in INTERCEPT_SHIFTS])
+    trials = (cases.select("target", F.posexplode(shifts).alias("trial", "shift"), z.alias("z"))
+              .groupBy("trial").agg(F.avg((F.col("target") == ((F.col("z") + F.col("shift")) > 0).cast("int"))
+                                           .cast("double")).alias("metric_value")))
+    return rounded(mt.best_trial(trials, "metric_value", "maximize"))
+
+
+# ------------------------------------------------------------- store
+@register("s02_parquet_cache")
+def s02_parquet_cache(spark, sf_dir):
+    """Cleaned cases via a read-or-build parquet cache."""
+    path = files.scratch_path(spark, "cases-cache")
+    df = files.parquet_cache(spark, path, lambda: ctx.clean_cases(spark, sf_dir))
+    return rounded(df.select("case_id", *ctx.SPEC.numeric, *ctx.SPEC.categorical, "target"))
+
+
+@register("s03_store_round_trip")
+def s03_store_round_trip(spark, sf_dir):
+    """S3 + S4: counterfactuals and SHAP appended per run into the
+    partitioned store, read back with partition pruning."""
+    root = files.scratch_path(spark, "store")
+    cfs = _cfs(spark, sf_dir)
+    shap = ctx.shap_table(spark, sf_dir)
+    for run_id, model_name, _, created_at in ctx.RUNS:
+        store.append(cfs.filter(F.col("run_id") == run_id).drop("run_id", "model_name", "created_at"),
+                     root, "counterfactuals", run_id, model_name, created_at)
+        store.append(shap.filter(F.col("run_id") == run_id).drop("run_id", "model_name", "created_at"),
+                     root, "shap_values", run_id, model_name, created_at)
+    back = store.read(spark, root, "counterfactuals", run_id="run-a")
+    n_shap = store.read(spark, root, "shap_values", run_id="run-a").groupBy("instance_id").agg(
+        F.count(F.lit(1)).alias("n_shap"))
+    return rounded(back.select("id", "run_id", "instance_id", "distance").join(n_shap, "instance_id", "left"))
+
+
+@register("s05_metrics_store")
+def s05_metrics_store(spark, sf_dir):
+    """Numeric metrics only, long, per run."""
+    root = files.scratch_path(spark, "store")
+    wide = mt.accuracy_f1(ctx.scored_cases(spark, sf_dir)).withColumn("note", F.lit("scorecard"))
+    for run_id, model_name, _, created_at in ctx.RUNS:
+        store.append_metrics(wide, root, run_id, model_name, created_at)
+    return rounded(store.read(spark, root, "metrics").select("run_id", "metric_name", "metric_value"))
+
+
+@register("s08_rerun_rules")
+def s08_rerun_rules(spark, sf_dir):
+    """S6 + S7 + S8: clusters and rules stored; distilling a run twice
+    replaces its partition instead of duplicating rows."""
+    root = files.scratch_path(spark, "store")
+    d = ctx.distilled(spark, sf_dir)
+    rules = ctx.rules_table(d["rules"])
+    for _ in range(2):
+        store.replace_run(rules, root, "global_rules")
+    lab = d["labelled"]
+    for run_id, model_name, _, created_at in ctx.RUNS:
+        store.append_clusters(lab.filter(F.col("run_id") == run_id).select("id", "instance_id", "cluster_id"),
+                              root, run_id, model_name, created_at)
+    back = store.read(spark, root, "global_rules")
+    cl = store.read(spark, root, "counterfactual_clusters").groupBy("run_id", "cluster_id").agg(
+        F.count(F.lit(1)).alias("n_assigned"))
+    return rounded(back.select("run_id", "cluster_id", "support", "quality_score").join(cl, ["run_id", "cluster_id"]))
+
+
+@register("s09_surrogate_ids")
+def s09_surrogate_ids(spark, sf_dir):
+    """Consecutive surrogate ids after the max existing id (two passes,
+    no global window); reported as count / distinct / min / max."""
+    cfs = _cfs(spark, sf_dir).filter(F.col("run_id") == "run-a").drop("id")
+    with_ids = store.with_surrogate_ids(cfs, start_after=1000)
+    return with_ids.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_distinct"),
+                        F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+
+
+@register("s10_report_json")
+def s10_report_json(spark, sf_dir):
+    """The assembled report written as JSON and read back."""
+    return files.write_report_json(v10_report(spark, sf_dir), files.scratch_path(spark, "report"))
+
+
 FLAGSHIP = "r08_rules"

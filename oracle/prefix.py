@@ -362,3 +362,48 @@ rules_art AS (SELECT CAST(cluster_id + {run_index_sql()} * 100 AS BIGINT) AS id,
 def full_prefix() -> str:
     return with_prefix(cases_cte(), scored_cte(), search_cte(), artifacts_cte(), encode_cte(),
                        cluster_cte(), rules_cte(), shap_cte(), metrics_cte(), shap_art_cte())
+
+
+# ------------------------------------------------------------ preparation
+# Bins of the order case table (source, name, cuts, labels).
+BINS = [
+    ("total_price", "price_band", [50000.0, 100000.0, 150000.0, 200000.0, 250000.0, 300000.0],
+     ["upto_50k", "50k_100k", "100k_150k", "150k_200k", "200k_250k", "250k_300k", "over_300k"]),
+    ("sum_qty", "qty_band", [25.0, 50.0, 100.0, 150.0, 200.0], ["tiny", "small", "medium", "large", "bulk", "huge"]),
+    ("priority_num", "urgency", [1.0, 2.0, 3.0, 4.0, 5.0],
+     ["low", "not_specified", "medium", "high", "urgent", "beyond"]),
+]
+ENCODED_NUMERIC = NUMERIC + ["price_per_line"]
+ENCODED_CATEGORICAL = CATEGORICAL + [b[1] for b in BINS]
+
+
+def bin_sql(src: str, cuts, labels) -> str:
+    whens = " ".join(f"WHEN {src} <= {d(c)} THEN '{lab}'" for c, lab in zip(cuts, labels[:-1]))
+    return f"(CASE {whens} ELSE '{labels[-1]}' END)"
+
+
+def ratio_sql() -> str:
+    num = "(total_price - acct_bal)"
+    den = f"(line_count + {d(1.0)})"
+    raw = f"(CASE WHEN {den} = 0 THEN (CASE WHEN {num} > 0 THEN CAST('inf' AS DOUBLE) WHEN {num} < 0 THEN CAST('-inf' AS DOUBLE) END) ELSE {num} / {den} END)"
+    return f"COALESCE(CASE WHEN isnan({raw}) THEN NULL ELSE {raw} END, 0.0)"
+
+
+def derived_cte() -> str:
+    bins = ", ".join(f"{bin_sql(s, c, l)} AS {n}" for s, n, c, l in BINS)
+    return f"""
+derived AS (SELECT *, {bins}, {ratio_sql()} AS price_per_line FROM cases)"""
+
+
+def split_cte(src: str, name: str, salt: str, size: float = 0.2) -> str:
+    u = f"(CAST('0x' || substr(md5(CAST(case_id AS VARCHAR) || '|42|{salt}|0'), 1, 8) AS BIGINT) / {d(4294967296.0)})"
+    return f"""
+{name}_u AS (SELECT *, {u} AS u FROM {src}),
+{name}_q AS (SELECT target, COUNT(*) AS n, COUNT(*) * {d(size)} AS q, FLOOR(COUNT(*) * {d(size)}) AS f
+             FROM {name}_u GROUP BY target),
+{name}_t AS (SELECT target, f + CASE WHEN ROW_NUMBER() OVER (ORDER BY q - f DESC, CAST(target AS VARCHAR))
+                                       <= (SELECT CEIL(SUM(n) * {d(size)}) - SUM(f) FROM {name}_q) THEN 1 ELSE 0 END AS t
+             FROM {name}_q),
+{name} AS (SELECT {name}_u.* EXCLUDE (u),
+                  ROW_NUMBER() OVER (PARTITION BY target ORDER BY u, case_id) <= t AS is_test
+           FROM {name}_u JOIN {name}_t USING (target))"""

@@ -425,3 +425,180 @@ ORACLE.update({
     "v05_cluster_metrics": q_v05, "v06_shap_metrics": q_v06, "v07_rule_metrics": q_v07, "v08_coverage": q_v08,
     "v09_model_metrics": q_v09, "v10_report": q_v10,
 })
+
+
+# ----------------------------------------------------------- preparation
+from oracle.prefix import (ENCODED_CATEGORICAL, ENCODED_NUMERIC, d, derived_cte,  # noqa: E402
+                           split_cte)
+
+
+def q_p04():
+    label = ("(' ' || CASE WHEN target = 1 THEN '>200K' ELSE '<=200K' END || "
+             "CASE WHEN status = 'P' THEN '.' ELSE '' END)")
+    norm = f"regexp_replace(regexp_replace(trim({label}), ',', ''), ' ', '')"
+    return with_prefix(cases_cte()) + f"""
+SELECT case_id, trim(segment) AS segment, trim(priority) AS priority, trim(status) AS status,
+       CAST({norm} = '>200K' AS INTEGER) AS target
+FROM raw_cases WHERE {norm} IN ('<=200K', '>200K')"""
+
+
+def q_p06():
+    return with_prefix(cases_cte(), split_cte("cases", "sp", "split")) + "\nSELECT case_id, target, is_test FROM sp"
+
+
+def q_p07():
+    return with_prefix(cases_cte(), split_cte("cases", "sp", "split"),
+                       "train AS (SELECT * EXCLUDE (is_test) FROM sp WHERE NOT is_test)",
+                       split_cte("train", "tv", "tune")) + \
+        "\nSELECT case_id, target, is_test AS is_validation FROM tv"
+
+
+def q_p08():
+    u = f"(CAST('0x' || substr(md5(CAST(case_id AS VARCHAR) || '|42|sample|0'), 1, 8) AS BIGINT) / {d(4294967296.0)})"
+    return with_prefix(cases_cte()) + f"""
+SELECT case_id, target FROM cases ORDER BY {u}, case_id LIMIT 200"""
+
+
+def q_p12():
+    cols = ", ".join(r6(c) + f" AS {c}" for c in NUMERIC)
+    return with_prefix(cases_cte(), derived_cte()) + f"""
+SELECT case_id, {cols}, {', '.join(CATEGORICAL)}, price_band, qty_band, urgency, {r6('price_per_line')} AS price_per_line
+FROM derived"""
+
+
+def _train_derived():
+    return with_prefix(cases_cte(), split_cte("cases", "sp", "split"), derived_cte().replace("FROM cases", "FROM sp"),
+                       "train AS (SELECT * FROM derived WHERE NOT is_test)")
+
+
+def q_p15():
+    nums = " UNION ALL ".join(f"SELECT {i} AS g, '' AS v, '{c}_scaled' AS name" for i, c in enumerate(ENCODED_NUMERIC))
+    cats = " UNION ALL ".join(f"SELECT DISTINCT {100 + i} AS g, {c} AS v, '{c}_' || {c} AS name FROM train"
+                              for i, c in enumerate(ENCODED_CATEGORICAL))
+    return _train_derived() + f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY g, v) - 1 AS BIGINT) AS ord, name FROM ({nums} UNION ALL {cats})"""
+
+
+def q_p16():
+    stats = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_SAMP({c}) AS s_{c}" for c in ENCODED_NUMERIC)
+    hot = " + ".join(f"CAST({c} IN (SELECT DISTINCT {c} FROM train) AS INTEGER)" for c in ENCODED_CATEGORICAL)
+    scaled = ", ".join(
+        f"{r6(f'COALESCE(CASE WHEN isnan(({c} - m_{c}) / s_{c}) THEN NULL ELSE ({c} - m_{c}) / s_{c} END, 0.0)')} AS {c}_scaled"
+        for c in ENCODED_NUMERIC)
+    doms = " + ".join(f"(SELECT COUNT(DISTINCT {c}) FROM train)" for c in ENCODED_CATEGORICAL)
+    return _train_derived() + f""",
+st AS (SELECT {stats} FROM train)
+SELECT case_id, is_test, CAST({len(ENCODED_NUMERIC)} + {doms} AS INTEGER) AS width,
+       {r6(f'CAST({hot} AS DOUBLE)')} AS n_hot, {scaled}
+FROM derived CROSS JOIN st"""
+
+
+def q_p17():
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, {r6(f'AVG({c})')} AS mean, {r6(f'STDDEV_SAMP({c})')} AS std FROM train"
+        for c in ENCODED_NUMERIC)
+    return _train_derived() + "\n" + parts
+
+
+# --------------------------------------------------------------- metrics
+def q_m08():
+    return with_prefix(cases_cte(), scored_cte()) + f"""
+SELECT {r6('AVG(CAST(target = prediction AS DOUBLE))')} AS accuracy,
+       {r6('''CASE WHEN 2 * COUNT(*) FILTER (WHERE target = 1 AND prediction = 1) + COUNT(*) FILTER (WHERE target = 0 AND prediction = 1)
+                    + COUNT(*) FILTER (WHERE target = 1 AND prediction = 0) > 0
+               THEN (2.0 * COUNT(*) FILTER (WHERE target = 1 AND prediction = 1)) /
+                    (2 * COUNT(*) FILTER (WHERE target = 1 AND prediction = 1) + COUNT(*) FILTER (WHERE target = 0 AND prediction = 1)
+                     + COUNT(*) FILTER (WHERE target = 1 AND prediction = 0)) ELSE 0.0 END''')} AS f1
+FROM scored2"""
+
+
+def q_m09():
+    return with_prefix(cases_cte(), scored_cte(), runs_cte(), metrics_cte_sql()) + f"""
+SELECT {r6('roc_auc')} AS roc_auc FROM auc"""
+
+
+def metrics_cte_sql():
+    from oracle.prefix import metrics_cte
+    return metrics_cte()
+
+
+def q_m10():
+    return with_prefix(cases_cte(), scored_cte()) + f""",
+conf AS (SELECT target AS y, prediction AS p, COUNT(*) AS n FROM scored2 GROUP BY ALL),
+cls AS (SELECT y AS c FROM conf UNION SELECT p FROM conf),
+per AS (SELECT c, COALESCE((SELECT n FROM conf WHERE y = c AND p = c), 0) AS tp,
+               COALESCE((SELECT SUM(n) FROM conf WHERE y = c), 0) AS support,
+               COALESCE((SELECT SUM(n) FROM conf WHERE p = c), 0) AS predicted FROM cls),
+per2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+                   CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM per),
+per3 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+         FROM per2)
+SELECT CAST(c AS VARCHAR) || '_precision' AS metric_name, {r6('precision')} AS metric_value FROM per3
+UNION ALL SELECT CAST(c AS VARCHAR) || '_recall', {r6('recall')} FROM per3
+UNION ALL SELECT CAST(c AS VARCHAR) || '_f1', {r6('f1')} FROM per3
+UNION ALL SELECT CAST(c AS VARCHAR) || '_support', {r6('CAST(support AS DOUBLE)')} FROM per3
+UNION ALL SELECT 'macro avg_precision', {r6('AVG(precision)')} FROM per3
+UNION ALL SELECT 'macro avg_recall', {r6('AVG(recall)')} FROM per3
+UNION ALL SELECT 'macro avg_f1', {r6('AVG(f1)')} FROM per3
+UNION ALL SELECT 'weighted avg_precision', {r6('SUM(precision * support) / SUM(support)')} FROM per3
+UNION ALL SELECT 'weighted avg_recall', {r6('SUM(recall * support) / SUM(support)')} FROM per3
+UNION ALL SELECT 'weighted avg_f1', {r6('SUM(f1 * support) / SUM(support)')} FROM per3"""
+
+
+def q_m13():
+    from oracle.prefix import margin_sql
+    shifts = [-1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0]
+    vals = ", ".join(f"({i}, {d(s)})" for i, s in enumerate(shifts))
+    return with_prefix(cases_cte()) + f""",
+tr AS (SELECT * FROM (VALUES {vals}) t(trial, shift)),
+res AS (SELECT trial, AVG(CAST(target = CAST({margin_sql()} + shift > 0 AS INTEGER) AS DOUBLE)) AS metric_value
+        FROM cases CROSS JOIN tr GROUP BY trial)
+SELECT arg_max(trial, (metric_value, -trial)) AS best_trial, {r6('MAX(metric_value)')} AS best_value,
+       COUNT(*) AS completed_trials FROM res"""
+
+
+# ----------------------------------------------------------------- store
+def q_s02():
+    cols = ", ".join(r6(c) + f" AS {c}" for c in NUMERIC)
+    return with_prefix(cases_cte()) + f"\nSELECT case_id, {cols}, {', '.join(CATEGORICAL)}, target FROM cases"
+
+
+def q_s03():
+    return fp(f"""
+SELECT c.id, c.run_id, c.instance_id, {r6('c.distance')} AS distance, s.n_shap
+FROM cfs c LEFT JOIN (SELECT instance_id, COUNT(*) AS n_shap FROM shap_art WHERE run_id = 'run-a' GROUP BY ALL) s
+USING (instance_id) WHERE c.run_id = 'run-a'""")
+
+
+def q_s05():
+    return with_prefix(cases_cte(), scored_cte(), runs_cte()) + f""",
+af AS (SELECT AVG(CAST(target = prediction AS DOUBLE)) AS accuracy,
+              COUNT(*) FILTER (WHERE target = 1 AND prediction = 1) AS tp,
+              COUNT(*) FILTER (WHERE target = 0 AND prediction = 1) AS fp,
+              COUNT(*) FILTER (WHERE target = 1 AND prediction = 0) AS fn FROM scored2),
+w AS (SELECT accuracy, CASE WHEN 2 * tp + fp + fn > 0 THEN (2.0 * tp) / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM af)
+SELECT r.run_id, m.metric_name, {r6('m.metric_value')} AS metric_value
+FROM (SELECT 'accuracy' AS metric_name, accuracy AS metric_value FROM w UNION ALL SELECT 'f1', f1 FROM w) m
+CROSS JOIN runs r"""
+
+
+def q_s08():
+    return fp(f"""
+SELECT r.run_id, r.cluster_id, r.support, {r6('r.quality_score')} AS quality_score, k.n_assigned
+FROM rules_art r JOIN (SELECT run_id, cluster_id, COUNT(*) AS n_assigned FROM clusters_art GROUP BY ALL) k
+USING (run_id, cluster_id)""")
+
+
+def q_s09():
+    return fp("""
+SELECT COUNT(*) AS n, COUNT(*) AS n_distinct, CAST(1001 AS BIGINT) AS min_id, CAST(1000 + COUNT(*) AS BIGINT) AS max_id
+FROM cfs WHERE run_id = 'run-a'""")
+
+
+ORACLE.update({
+    "p04_label_target": q_p04, "p06_stratified_split": q_p06, "p07_nested_split": q_p07, "p08_sample": q_p08,
+    "p12_features": q_p12, "p15_feature_schema": q_p15, "p16_encoded": q_p16, "p17_numeric_stats": q_p17,
+    "m08_accuracy_f1": q_m08, "m09_roc_auc": q_m09, "m10_class_report": q_m10, "m13_best_trial": q_m13,
+    "s02_parquet_cache": q_s02, "s03_store_round_trip": q_s03, "s05_metrics_store": q_s05,
+    "s08_rerun_rules": q_s08, "s09_surrogate_ids": q_s09, "s10_report_json": q_v10,
+})
