@@ -67,23 +67,39 @@ def isclose(a, b) -> Column:
     return F.abs(a - b) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(b)
 
 
+# Fixed values of the hash draw (shared with the SQL oracle).
+HASH_PRIME = 2147483647
+HASH_MULT = 1000003
+HASH_STEP = 2654435761
+HASH_C1 = 12345
+HASH_C2 = 67890
+
+
+def hash_base(parts: list) -> Column:
+    """Fold non-negative integer parts into [0, p): base = base * M + part (mod p)."""
+    base = F.lit(0).cast("bigint")
+    for p in parts:
+        v = (F.lit(p) if isinstance(p, int) else col(p)).cast("bigint")
+        base = (base * F.lit(HASH_MULT) + v % F.lit(HASH_PRIME)) % F.lit(HASH_PRIME)
+    return base
+
+
 def uniform_draws(parts: list, n: int) -> list[Column]:
-    """``n`` deterministic uniforms in [0, 1) per row.
+    """``n`` deterministic uniforms in [0, 1) per row from integer parts.
 
-    Each md5 digest of ``parts|block`` yields four 32-bit draws (8 hex
-    digits each). Partition independent and reproducible in any SQL
-    engine with md5, so a sample or a candidate set never depends on
-    the physical plan.
+    Draw j offsets the folded key by (j + 1) * STEP and applies two rounds
+    of x -> x^2 + c (mod 2^31 - 1). Pure bigint arithmetic: it stays in
+    generated code, never depends on partitioning, and any SQL engine with
+    64-bit integers reproduces it bit for bit.
     """
-    key = F.concat_ws("|", *[col(p).cast("string") for p in parts])
+    base = hash_base(parts)
+    P = F.lit(HASH_PRIME)
     draws = []
-    for block in range((n + 3) // 4):
-        digest = F.md5(F.concat_ws("|", key, F.lit(str(block))))
-        for j in range(4):
-            if len(draws) == n:
-                break
-            hexpart = F.substring(digest, 8 * j + 1, 8)
-            draws.append(F.conv(hexpart, 16, 10).cast("bigint") / F.lit(4294967296.0))
+    for j in range(n):
+        x = (base + F.lit(((j + 1) * HASH_STEP) % HASH_PRIME)) % P
+        x = (x * x + F.lit(HASH_C1)) % P
+        x = (x * x + F.lit(HASH_C2)) % P
+        draws.append(x / F.lit(float(HASH_PRIME)))
     return draws
 
 
@@ -91,6 +107,21 @@ def uniform_draw(parts: list) -> Column:
     return uniform_draws(parts, 1)[0]
 
 
+def with_uniform_draws(df, parts: list, names: list[str]):
+    """Adds the draws of :func:`uniform_draws` as columns ``names``, with
+    each hash round materialised as its own projection so ``x * x`` never
+    duplicates the expression tree below it."""
+    P = F.lit(HASH_PRIME)
+    df = df.withColumn("__hb", hash_base(parts))
+    df = df.withColumns({f"__h{j}": (F.col("__hb") + F.lit(((j + 1) * HASH_STEP) % HASH_PRIME)) % P
+                         for j in range(len(names))})
+    for c in (HASH_C1, HASH_C2):
+        df = df.withColumns({f"__h{j}": (F.col(f"__h{j}") * F.col(f"__h{j}") + F.lit(c)) % P
+                             for j in range(len(names))})
+    df = df.withColumns({n: F.col(f"__h{j}") / F.lit(float(HASH_PRIME)) for j, n in enumerate(names)})
+    return df.drop("__hb", *[f"__h{j}" for j in range(len(names))])
+
+
 def token_text(c) -> Column:
     """Value as it appears inside a transition token."""
     return F.replace(F.trim(F.coalesce(col(c).cast("string"), F.lit(MISSING_TEXT))), F.lit(" "), F.lit("_"))

@@ -82,7 +82,7 @@ def permutation_shap(cases: DataFrame, background: DataFrame, scorer, features:
         raise ValueError(f"background needs a key column {background_key!r}")
     # <= max_background rows by hash order (a distributed top-k, then a
     # bounded, model-sized reference set that may be broadcast)
-    bg = (background.withColumn("__u", uniform_draws([background_key, F.lit(seed), F.lit("bg")], 1)[0])
+    bg = (background.withColumn("__u", uniform_draws([background_key, seed, 4], 1)[0])
           .orderBy("__u", background_key).limit(max_background)
           .select(*[F.col(c).alias(f"bg__{c}") for c in features], "__u", F.col(background_key).alias("__bk")))
     bg = bg.withColumn("bg_idx", F.row_number().over(Window.orderBy("__u", "__bk"))).drop("__u", "__bk")
@@ -90,7 +90,7 @@ def permutation_shap(cases: DataFrame, background: DataFrame, scorer, features:
     if n_bg == 0:
         raise ValueError("empty background")
     perms = cases.select(F.col(key), *features).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
-    draws = uniform_draws([key, "perm", F.lit(seed)], d + 1)
+    draws = uniform_draws([key, "perm", seed], d + 1)
     perms = perms.withColumn("bg_idx", (F.floor(draws[0] * F.lit(n_bg)) + 1).cast("int"))
     # permutation order = features sorted by their draw
     order = F.array_sort(F.array(*[F.struct(draws[i + 1].alias("u"), F.lit(i).alias("i")) for i in range(d)]))

@@ -15,12 +15,37 @@ from pyspark.sql import functions as F
 from lodestar.functions.columns import uniform_draw
 
 
+# Vectors up to this width get unrolled (codegen'd) arithmetic; wider ones
+# use higher-order functions.
+UNROLL_WIDTH = 512
+
+
 def sq_dist(x: Column, centre: list[float]) -> Column:
+    """Squared Euclidean distance to a fixed centre, summed left to right."""
+    if len(centre) <= UNROLL_WIDTH:
+        acc = F.lit(0.0)
+        for i, v in enumerate(centre):
+            diff = x[i] - F.lit(float(v))
+            acc = acc + diff * diff
+        return acc
     c = F.array(*[F.lit(float(v)) for v in centre])
     diffs = F.zip_with(x, c, lambda a, b: (a - b) * (a - b))
     return F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def vector_width(points: DataFrame, column: str = "vector") -> int:
+    row = points.select(F.size(column).alias("w")).first()
+    return int(row["w"]) if row else 0
+
+
+def group_means(points: DataFrame, group: str, column: str, width: int) -> dict:
+    """{group: mean vector}: one aggregate with a sum per position (k rows
+    reach the driver); no explode of the points."""
+    aggs = [F.avg(F.col(column)[i]).alias(f"m{i}") for i in range(width)]
+    rows = points.groupBy(group).agg(*aggs).collect()
+    return {r[group]: [float(r[f"m{i}"]) for i in range(width)] for r in rows}
+
+
 def nearest(x: Column, centres: list[list[float]]) -> Column:
     """Index of the nearest centre (squared Euclidean), ties -> lowest index."""
     cands = F.array(*[F.struct(sq_dist(x, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)])
@@ -42,21 +67,17 @@ def _check_k(n: int, k: int):
 def initial_centres(points: DataFrame, k: int, id_col: str = "id", column: str = "vector", seed: int = 42) -> list:
     """k distinct vectors chosen by hash order of their first point's id
     (a distributed dedupe + top-k; only k vectors reach the driver)."""
-    ranked = (points.select(column, uniform_draw([id_col, F.lit(seed)]).alias("u"), F.col(id_col))
+    ranked = (points.select(column, uniform_draw([id_col, seed]).alias("u"), F.col(id_col))
               .groupBy(column).agg(F.min(F.struct("u", id_col)).alias("first"))
               .orderBy(F.col("first.u"), F.col(f"first.{id_col}")).limit(k).collect())
     _check_k(len(ranked), k)
     return [list(map(float, r[column])) for r in ranked]
 
 
-def centre_means(assigned: DataFrame, column: str = "vector") -> dict:
-    """groupBy(cluster, position).avg -> {cluster: mean vector} (k x width rows)."""
-    long = assigned.select("cluster_id", F.posexplode(column).alias("pos", "v"))
-    rows = long.groupBy("cluster_id", "pos").agg(F.avg("v").alias("m")).collect()
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["cluster_id"], {})[r["pos"]] = float(r["m"])
-    return {c: [m[p] for p in sorted(m)] for c, m in out.items()}
+def centre_means(assigned: DataFrame, column: str = "vector", width: int | None = None) -> dict:
+    """Mean vector per cluster (k rows)."""
+    width = width if width is not None else vector_width(assigned, column)
+    return group_means(assigned, "cluster_id", column, width)
 
 
 @dataclass
@@ -71,7 +92,7 @@ def lloyd(points: DataFrame, centres: list, steps: int = 3, column: str = "vecto
     centres = [list(c) for c in centres]
     for _ in range(steps):
         assigned = points.select(column, nearest(F.col(column), centres).alias("cluster_id"))
-        means = centre_means(assigned, column)
+        means = centre_means(assigned, column, len(centres[0]))
         centres = [means.get(j, centres[j]) for j in range(len(centres))]
     return LloydResult(centres, steps)
 
@@ -100,25 +121,29 @@ def silhouette(assigned: DataFrame, column: str = "vector") -> DataFrame:
     mean_{y in C} |x - y|^2 = |x|^2 - 2 x.mu_C + mean_{y in C} |y|^2,
     so a(x), b(x) need only per-cluster (count, mean, mean |y|^2): k rows
     that are collected, no point pairs. NaN with one cluster."""
-    stats_rows = (assigned.select("cluster_id", F.posexplode(column).alias("pos", "v"))
-                  .groupBy("cluster_id", "pos").agg(F.avg("v").alias("m")).collect())
+    width = vector_width(assigned, column)
+    mean_vectors = group_means(assigned, "cluster_id", column, width)
     norms = (assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"),
-                                                F.avg(F.aggregate(column, F.lit(0.0), lambda a, v: a + v * v)).alias("q"))
+                                                F.avg(_sq_norm(F.col(column), width)).alias("q"))
              .collect())
-    means: dict = {}
-    for r in stats_rows:
-        means.setdefault(r["cluster_id"], {})[r["pos"]] = float(r["m"])
     info = {r["cluster_id"]: (int(r["n"]), float(r["q"])) for r in norms}
     ids = sorted(info)
     if len(ids) < 2:
         return assigned.sparkSession.createDataFrame([(float("nan"),)], "silhouette double")
     x = F.col(column)
-    xx = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+    xx = F.lit(0.0)
+    for i in range(width):
+        xx = xx + x[i] * x[i]
 
     def mean_sq(j):
-        mu = [means[j][p] for p in sorted(means[j])]
-        dot = F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in mu]), lambda a, b: a * b), F.lit(0.0),
-                          lambda a, v: a + v)
+        mu = mean_vectors[j]
+        if len(mu) <= UNROLL_WIDTH:
+            dot = F.lit(0.0)
+            for i, v in enumerate(mu):
+                dot = dot + x[i] * F.lit(float(v))
+        else:
+            dot = F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in mu]), lambda a, b: a * b), F.lit(0.0),
+                              lambda a, v: a + v)
         return xx - F.lit(2.0) * dot + F.lit(info[j][1])
 
     own_n = F.element_at(F.create_map(*sum(([F.lit(j), F.lit(info[j][0])] for j in ids), [])), F.col("cluster_id"))
@@ -132,6 +157,13 @@ def silhouette(assigned: DataFrame, column: str = "vector") -> DataFrame:
     return per.select(F.coalesce(F.nanvl(s, F.lit(0.0)), F.lit(0.0)).alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
+def _sq_norm(x: Column, width: int) -> Column:
+    acc = F.lit(0.0)
+    for i in range(width):
+        acc = acc + x[i] * x[i]
+    return acc
+
+
 def kmeans_mllib(points: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300,
                  features: str = "features"):
     """MLlib KMeans restarted ``n_init`` times (seed, seed+1, ...),

@@ -18,6 +18,8 @@ from lodestar.functions.columns import uniform_draw
 from lodestar.operators.features import collect_bounded
 
 N_BUCKETS = 4096
+# Fixed hash salts: train/test split, nested tune split, sample.
+SPLIT_SALT, TUNE_SALT, SAMPLE_SALT = 1, 2, 3
 
 
 def trim_categoricals(df: DataFrame, categorical) -> DataFrame:
@@ -58,12 +60,12 @@ def features_target(df: DataFrame, target: str = "target"):
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42,
-                     salt: str = "split", buckets: int = N_BUCKETS) -> DataFrame:
+                     salt: int = 1, buckets: int = N_BUCKETS) -> DataFrame:
     """Adds ``is_test``. Test count = ceil(n * test_size) split
     over classes by largest remainder; inside a class the rows with the
     smallest hash draw go to test. Only (class, bucket) counts reach the
     driver (classes x buckets rows)."""
-    u = uniform_draw([key, F.lit(seed), F.lit(salt)])
+    u = uniform_draw([key, seed, salt])
     tagged = df.withColumns({"__u": u, "__b": F.floor(u * F.lit(buckets)).cast("int")})
     counts = collect_bounded(tagged.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("n")),
                              what="class x bucket counts")
@@ -105,7 +107,7 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
 def sample_cases(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Seeded sample of n rows without replacement, sorted by key;
     all rows when n >= height (a distributed top-n by hash)."""
-    u = uniform_draw([key, F.lit(seed), F.lit("sample")])
+    u = uniform_draw([key, seed, SAMPLE_SALT])
     return df.withColumn("__u", u).orderBy("__u", key).limit(n).drop("__u").orderBy(key)
 
 

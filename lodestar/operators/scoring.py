@@ -59,9 +59,10 @@ class Scorecard:
 
     def score(self, df: DataFrame, prefix: str = "") -> DataFrame:
         """M4 + M5: adds ``{prefix}margin``, ``{prefix}p1``, ``{prefix}prediction``."""
-        z = self.margin()
-        return df.withColumns({
-            f"{prefix}margin": z,
+        # the margin is a column first, so p1 and the class reference it
+        # instead of re-evaluating the whole linear form
+        z = F.col(f"{prefix}margin")
+        return df.withColumn(f"{prefix}margin", self.margin()).withColumns({
             f"{prefix}p1": F.lit(1.0) / (F.lit(1.0) + F.exp(-z)),
             f"{prefix}prediction": (z > F.lit(float(self.threshold))).cast("int"),
         })

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.columns import all_of, sum_columns, uniform_draws
+from lodestar.functions.columns import all_of, sum_columns, with_uniform_draws
 from lodestar.operators.features import collect_bounded
 from lodestar.sources.tables import level_map
 from lodestar.spec import CaseSpec
@@ -83,8 +83,7 @@ def generate_candidates(cases: DataFrame, spec: CaseSpec, ctx: SearchContext, n_
     d = len(vary)
     # draws and selection flags are materialised as columns first so the
     # hash chain is computed once per candidate, not once per reference
-    draws = uniform_draws([key, "cand", F.lit(seed)], 2 * d)
-    exploded = exploded.withColumns({f"__u{i}": u for i, u in enumerate(draws)})
+    exploded = with_uniform_draws(exploded, [key, "cand", seed], [f"__u{i}" for i in range(2 * d)])
     sel = [F.col(f"__u{i}") for i in range(d)]
     val = [F.col(f"__u{d + i}") for i in range(d)]
     n_varied = F.lit(1) + F.col("cand") % F.lit(max_varied)
@@ -175,9 +174,22 @@ def top_k(candidates: DataFrame, key: str, k: int = 5, ok: str | None = None) ->
     return ranked.filter(cond & F.col(ok)) if ok else ranked.filter(cond)
 
 
+# Candidate rows per task the search aims for (the explode multiplies a
+# case partition by ``n_candidates``, so partitions are sized for that).
+CANDIDATES_PER_PARTITION = 1_000_000
+
+
+def candidate_partitions(cases: DataFrame, n_candidates: int) -> int:
+    spark = cases.sparkSession
+    n = cases.count()
+    par = spark.sparkContext.defaultParallelism
+    return max(2 * par, -(-n * n_candidates // CANDIDATES_PER_PARTITION))
+
+
 def search(cases: DataFrame, spec: CaseSpec, ctx: SearchContext, scorer, n_candidates: int = 64,
            seed: int = 42, total_cfs: int = 5, desired="opposite", strict: bool = False,
-           features_to_vary=None, permitted_range=None, max_varied: int = 3) -> DataFrame:
+           features_to_vary=None, permitted_range=None, max_varied: int = 3,
+           partitions: int | None = None) -> DataFrame:
     """X4-X8 end to end on cleaned cases.
 
     Output: key, cf_rank, cand, original_class, target_class, distance,
@@ -187,6 +199,11 @@ def search(cases: DataFrame, spec: CaseSpec, ctx: SearchContext, scorer, n_candi
     ``strict`` additionally requires it to be the desired class (G5).
     """
     key = spec.key
+    # Hash-partition the (small) case table by key, sized for the exploded
+    # volume: explode keeps this partitioning, so the per-case window
+    # below needs no shuffle of the candidates at all.
+    n_parts = partitions or candidate_partitions(cases, n_candidates)
+    cases = cases.repartition(n_parts, key)
     scored = scorer.score(cases).withColumn("original_class", F.col("prediction")).drop(
         "margin", "p1", "prediction")
     cands = generate_candidates(scored, spec, ctx, n_candidates=n_candidates, seed=seed,

@@ -15,13 +15,19 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from lodestar.operators import explore
 from lodestar.plans import context as ctx
+from lodestar.session import tune
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def register(name: str):
     def deco(fn):
-        REGISTRY[name] = fn
+        def run(spark, sf_dir):
+            tune(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = run
         return fn
     return deco
 
@@ -461,7 +467,7 @@ def p06_stratified_split(spark, sf_dir):
 def p07_nested_split(spark, sf_dir):
     """The training part split again into tune / validation."""
     train = _split(spark, sf_dir).filter(~F.col("is_test")).drop("is_test")
-    return prep.stratified_split(train, "case_id", "target", 0.2, 42, salt="tune") \
+    return prep.stratified_split(train, "case_id", "target", 0.2, 42, salt=prep.TUNE_SALT) \
         .select("case_id", "target", F.col("is_test").alias("is_validation"))
 
 

@@ -34,6 +34,25 @@ def linear_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
 from pyspark.sql import functions as F  # noqa: E402
 
 from lodestar.operators import search as cf_search  # noqa: E402
+from lodestar.session import shared_dir  # noqa: E402
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the cluster's shared checkpoint folder: the
+    result is reused by several jobs (fits, Lloyd steps) and survives
+    executor loss without recomputing the search."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+from lodestar.operators import encode as enc  # noqa: E402
+from lodestar.operators import rules as rl  # noqa: E402
+
+ENC_NUMERIC = list(SPEC.actionable_numeric)
+ENC_CATEGORICAL = list(SPEC.actionable_categorical)
+K = 6
+LLOYD_STEPS = 3
+
+
+
 
 # Two explanation runs over the same cases (run_id, model_name, seed, created_at).
 RUNS = (("run-a", "scorecard", 42, "2024-01-01 00:00:00"), ("run-b", "scorecard", 7, "2024-02-01 00:00:00"))
@@ -46,8 +65,10 @@ def search_context(cases: DataFrame) -> cf_search.SearchContext:
 
 
 def counterfactuals_found(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
-    """X4-X8 for every run over every case: run columns + search output."""
-    cases = clean_cases(spark, sf_dir)
+    """X4-X8 for every run over every case: run columns + search output.
+    The case table is checkpointed once: the context fit and every run
+    read it, and the join pipeline behind it must not run per run."""
+    cases = materialise(clean_cases(spark, sf_dir))
     sctx = search_context(cases)
     out = None
     for run_id, model_name, seed, created_at in runs:
@@ -61,24 +82,6 @@ def counterfactuals_found(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFr
 
 # ------------------------------------------------------------ artifacts
 from lodestar.operators import cluster as clu  # noqa: E402
-from lodestar.session import shared_dir  # noqa: E402
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared checkpoint folder: the
-    result is reused by several jobs (fits, Lloyd steps) and survives
-    executor loss without recomputing the search."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-from lodestar.operators import encode as enc  # noqa: E402
-from lodestar.operators import rules as rl  # noqa: E402
-
-ENC_NUMERIC = list(SPEC.actionable_numeric)
-ENC_CATEGORICAL = list(SPEC.actionable_categorical)
-K = 6
-LLOYD_STEPS = 3
-
-
 def counterfactual_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
     """The `counterfactuals` artifact (X9 records + provenance). The id
     encodes (case, run, rank) so it is unique and reproducible without
@@ -110,7 +113,8 @@ def distil_run(cfs: DataFrame, run_id: str, k: int = K, steps: int = LLOYD_STEPS
     encoded = materialise(encoded)
     centres = clu.initial_centres(encoded, k, id_col="id", column="vector", seed=42)
     fit = clu.lloyd(encoded, centres, steps=steps)
-    labelled = clu.assign(encoded, fit.centres)
+    # profiles, rules and reports all read the labelled rows
+    labelled = materialise(clu.assign(encoded, fit.centres))
     return encoder, fit, labelled
 
 

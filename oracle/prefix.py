@@ -118,8 +118,26 @@ def runs_cte(runs=None) -> str:
     return f"\nruns AS (SELECT * FROM (VALUES {vals}) t(run_id, model_name, seed, created_at))"
 
 
+# Fixed values of the hash draw.
+HP, HM, HS, HC1, HC2 = 2147483647, 1000003, 2654435761, 12345, 67890
+
+
+def hash_base_sql(parts) -> str:
+    base = "CAST(0 AS BIGINT)"
+    for p in parts:
+        base = f"(({base} * {HM} + CAST({p} AS BIGINT) % {HP}) % {HP})"
+    return base
+
+
+def draw_sql(base: str, j: int) -> str:
+    x = f"(({base} + {((j + 1) * HS) % HP}) % {HP})"
+    x = f"(({x} * {x} + {HC1}) % {HP})"
+    x = f"(({x} * {x} + {HC2}) % {HP})"
+    return f"({x} / {d(float(HP))})"
+
+
 def draw(k: int) -> str:
-    return f"(CAST('0x' || substr(h{k // 4}, {8 * (k % 4) + 1}, 8) AS BIGINT) / {d(4294967296.0)})"
+    return draw_sql("hb", k)
 
 
 def search_cte(runs=None, n_candidates: int = N_CANDIDATES, k: int = TOTAL_CFS) -> str:
@@ -127,9 +145,7 @@ def search_cte(runs=None, n_candidates: int = N_CANDIDATES, k: int = TOTAL_CFS)
     ctx_cols = ", ".join(f"MIN({c}) AS lo_{c}, MAX({c}) AS hi_{c}" for c in NUMERIC)
     doms = ", ".join(f"list_sort(list(DISTINCT {c})) AS dom_{c}" for c in ACTIONABLE if c in CATEGORICAL)
     origs = ", ".join(f"{c} AS o_{c}" for c in NUMERIC + CATEGORICAL)
-    hashes = ", ".join(
-        f"md5(CAST(case_id AS VARCHAR) || '|' || CAST(cand AS VARCHAR) || '|' || CAST(seed AS VARCHAR) || '|{b}') AS h{b}"
-        for b in range((2 * nd + 3) // 4))
+    hashes = f"{hash_base_sql(['case_id', 'cand', 'seed'])} AS hb"
     draws = ", ".join(f"{draw(i)} AS u{i}" for i in range(2 * nd))
     ranks = []
     for i in range(nd):
@@ -238,7 +254,7 @@ def sqd(v: str, c: str) -> str:
 
 
 def cluster_cte(k: int = K, steps: int = STEPS) -> str:
-    u = f"(CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '|42|0'), 1, 8) AS BIGINT) / {d(4294967296.0)})"
+    u = draw_sql(hash_base_sql(["id", "42"]), 0)
     parts = [f""",
 init AS (SELECT run_id, vector, MIN(struct_pack(u := {u}, id := id)) AS first FROM enc GROUP BY run_id, vector),
 c0 AS (SELECT run_id, CAST(ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY first.u, first.id) - 1 AS INTEGER) AS cluster_id,
@@ -395,8 +411,8 @@ def derived_cte() -> str:
 derived AS (SELECT *, {bins}, {ratio_sql()} AS price_per_line FROM cases)"""
 
 
-def split_cte(src: str, name: str, salt: str, size: float = 0.2) -> str:
-    u = f"(CAST('0x' || substr(md5(CAST(case_id AS VARCHAR) || '|42|{salt}|0'), 1, 8) AS BIGINT) / {d(4294967296.0)})"
+def split_cte(src: str, name: str, salt: int, size: float = 0.2) -> str:
+    u = draw_sql(hash_base_sql(["case_id", "42", str(salt)]), 0)
     return f"""
 {name}_u AS (SELECT *, {u} AS u FROM {src}),
 {name}_q AS (SELECT target, COUNT(*) AS n, COUNT(*) * {d(size)} AS q, FLOOR(COUNT(*) * {d(size)}) AS f

@@ -443,18 +443,19 @@ FROM raw_cases WHERE {norm} IN ('<=200K', '>200K')"""
 
 
 def q_p06():
-    return with_prefix(cases_cte(), split_cte("cases", "sp", "split")) + "\nSELECT case_id, target, is_test FROM sp"
+    return with_prefix(cases_cte(), split_cte("cases", "sp", 1)) + "\nSELECT case_id, target, is_test FROM sp"
 
 
 def q_p07():
-    return with_prefix(cases_cte(), split_cte("cases", "sp", "split"),
+    return with_prefix(cases_cte(), split_cte("cases", "sp", 1),
                        "train AS (SELECT * EXCLUDE (is_test) FROM sp WHERE NOT is_test)",
-                       split_cte("train", "tv", "tune")) + \
+                       split_cte("train", "tv", 2)) + \
         "\nSELECT case_id, target, is_test AS is_validation FROM tv"
 
 
 def q_p08():
-    u = f"(CAST('0x' || substr(md5(CAST(case_id AS VARCHAR) || '|42|sample|0'), 1, 8) AS BIGINT) / {d(4294967296.0)})"
+    from oracle.prefix import draw_sql, hash_base_sql
+    u = draw_sql(hash_base_sql(["case_id", "42", "3"]), 0)
     return with_prefix(cases_cte()) + f"""
 SELECT case_id, target FROM cases ORDER BY {u}, case_id LIMIT 200"""
 
@@ -467,7 +468,7 @@ FROM derived"""
 
 
 def _train_derived():
-    return with_prefix(cases_cte(), split_cte("cases", "sp", "split"), derived_cte().replace("FROM cases", "FROM sp"),
+    return with_prefix(cases_cte(), split_cte("cases", "sp", 1), derived_cte().replace("FROM cases", "FROM sp"),
                        "train AS (SELECT * FROM derived WHERE NOT is_test)")
 
 
