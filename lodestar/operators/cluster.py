@@ -182,11 +182,11 @@ def kmeans_mllib(points: DataFrame, k: int, seed: int = 42, n_init: int = 10, ma
 
 
 def k_sweep(points: DataFrame, ks=range(2, 11), seed: int = 42, n_init: int = 3, features: str = "features",
-            column: str = "vector"):
+            column: str = "vector", max_iter: int = 50):
     """Per k: silhouette, inertia, min and max cluster size (one row each)."""
     rows = []
     for k in ks:
-        model = kmeans_mllib(points, k, seed=seed, n_init=n_init, features=features)
+        model = kmeans_mllib(points, k, seed=seed, n_init=n_init, features=features, max_iter=max_iter)
         centres = [list(map(float, c)) for c in model.clusterCenters()]
         assigned = assign(points, centres, column)
         sil = silhouette(assigned, column).first()["silhouette"]

@@ -627,4 +627,124 @@ def s10_report_json(spark, sf_dir):
     return files.write_report_json(v10_report(spark, sf_dir), files.scratch_path(spark, "report"))
 
 
+
+# ------------------------------------------------------------- MLlib (rows)
+from lodestar.operators import attribution as attr  # noqa: E402
+from lodestar.operators import model as mdl  # noqa: E402
+
+# Small forest for the registered queries; the library default is the
+# reference's 100 trees of depth 10.
+QUERY_FOREST = {"numTrees": 20, "maxDepth": 6}
+
+
+def _forest(spark, sf_dir):
+    split = ctx.materialise(_split(spark, sf_dir))
+    train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
+    fm, model, scorer = mdl.fit(train, ctx.SPEC, "random_forest", QUERY_FOREST)
+    return split, train, test, fm, model, scorer
+
+
+@register("m01_random_forest")
+def m01_random_forest(spark, sf_dir):
+    """M1 + M4-M7 (+ M14 shape): forest fitted on the train split, scored on test."""
+    split, train, test, fm, model, scorer = _forest(spark, sf_dir)
+    return rounded(scorer.score(test).select("case_id", "target", "prediction", "p1"))
+
+
+@register("m02_boosted_trees")
+def m02_boosted_trees(spark, sf_dir):
+    """M2/M3: boosted trees (depth-wise defaults, fewer rounds for the query)."""
+    split = ctx.materialise(_split(spark, sf_dir))
+    train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
+    _, _, scorer = mdl.fit(train, ctx.SPEC, "boosted_depthwise", {"maxIter": 20, "maxDepth": 4})
+    return rounded(scorer.score(test).select("case_id", "target", "prediction", "p1"))
+
+
+@register("m11_feature_importance")
+def m11_feature_importance(spark, sf_dir):
+    """Forest feature importances by name, descending."""
+    _, _, _, fm, model, _ = _forest(spark, sf_dir)
+    return rounded(mdl.importances(spark, fm, model))
+
+
+@register("m12_random_search")
+def m12_random_search(spark, sf_dir):
+    """M12 + M13 + M14: seeded random search on tune/validation, best
+    trial refit on all training rows and scored on test (long rows)."""
+    split = ctx.materialise(_split(spark, sf_dir))
+    train = split.filter(~F.col("is_test")).drop("is_test")
+    test = split.filter(F.col("is_test"))
+    tv = prep.stratified_split(train, "case_id", "target", 0.2, 42, salt=prep.TUNE_SALT)
+    base = {"numTrees": 10, "maxDepth": 5}
+    trials = mdl.random_search(tv.filter(~F.col("is_test")), tv.filter(F.col("is_test")), ctx.SPEC,
+                               "random_forest", n_trials=2, metric="f1", base_params=base)
+    best = mt.best_trial(trials).first()
+    params = {**base, **dict(mdl.draw_params("random_forest", 2)[best["best_trial"]])}
+    params.update({"numTrees": min(params["numTrees"], 20), "maxDepth": min(params["maxDepth"], 8)})
+    _, _, scorer = mdl.fit(train, ctx.SPEC, "random_forest", params)
+    final = mdl.evaluate(scorer, test)
+    rows = [("trial", float(r["trial"]), r["metric_value"]) for r in trials.collect()] + \
+           [("test_" + k, 0.0, float(v) if v is not None else None) for k, v in final.items()]
+    return rounded(spark.createDataFrame(rows, "kind string, trial double, value double"))
+
+
+@register("h1_tree_shap")
+def h1_tree_shap(spark, sf_dir):
+    """H1 + H4-H6: exact path-dependent tree SHAP of the fitted forest for
+    every test case, long form."""
+    split, train, test, fm, model, scorer = _forest(spark, sf_dir)
+    leaves = attr.leaf_paths(mdl.forest_trees(spark, model))
+    enc = fm.transform(test, output="features")
+    return rounded(attr.tree_shap(enc, leaves, fm.names))
+
+
+@register("h3_permutation_shap")
+def h3_permutation_shap(spark, sf_dir):
+    """H3: sampled-permutation Shapley of the scorecard probability for
+    every case against a hash-chosen background of at most 100 rows."""
+    cases = ctx.clean_cases(spark, sf_dir)
+    feats = ["line_count", "sum_qty", "avg_discount", "total_price", "priority_num", "acct_bal", "segment"]
+    return rounded(attr.permutation_shap(cases, cases, ctx.SCORECARD, feats, n_permutations=4, seed=42))
+
+
+@register("c1_kmeans_mllib")
+def c1_kmeans_mllib(spark, sf_dir):
+    """C1 + C3 + C4 + C6 on the embeddings table: MLlib K-Means (k=10,
+    restarts), sizes, inertia and the exact squared-Euclidean silhouette."""
+    from lodestar.operators import cluster as clu
+    from pyspark.ml.functions import array_to_vector
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
+    emb = ctx.materialise(emb.withColumn("features", array_to_vector("vector")))
+    model = clu.kmeans_mllib(emb, 10, seed=42, n_init=3, max_iter=50)
+    centres = [list(map(float, c)) for c in model.clusterCenters()]
+    lab = clu.assign(emb, centres)
+    sil = clu.silhouette(lab).first()["silhouette"]
+    ine = clu.inertia(lab).first()["inertia"]
+    return rounded(clu.sizes(lab).withColumns({"silhouette": F.lit(sil), "inertia": F.lit(ine)}))
+
+
+@register("c7_k_sweep")
+def c7_k_sweep(spark, sf_dir):
+    """K from 2 to 10 on the embeddings: silhouette, inertia, min/max size."""
+    from lodestar.operators import cluster as clu
+    from pyspark.ml.functions import array_to_vector
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
+    emb = ctx.materialise(emb.withColumn("features", array_to_vector("vector")))
+    return rounded(clu.k_sweep(emb, range(2, 11), seed=42, n_init=1))
+
+
+
+@register("t01_streaming_scores")
+def t01_streaming_scores(spark, sf_dir):
+    """Streaming: orders stream -> stream-static joins -> clean -> score,
+    drained with availableNow into parquet in the shared folder."""
+    from lodestar.streaming import scoring as st
+    out = files.scratch_path(spark, "stream-out")
+    st.run_to_parquet(st.scored_order_stream(spark, sf_dir).select("case_id", "margin", "p1", "prediction", "target"),
+                      out, out + "-ckpt")
+    return rounded(spark.read.parquet(out))
+
+
 FLAGSHIP = "r08_rules"

@@ -603,3 +603,6 @@ ORACLE.update({
     "s02_parquet_cache": q_s02, "s03_store_round_trip": q_s03, "s05_metrics_store": q_s05,
     "s08_rerun_rules": q_s08, "s09_surrogate_ids": q_s09, "s10_report_json": q_v10,
 })
+
+
+ORACLE["t01_streaming_scores"] = q_scorecard
