@@ -747,4 +747,94 @@ def t01_streaming_scores(spark, sf_dir):
     return rounded(spark.read.parquet(out))
 
 
+
+# ------------------------------------------------------------ more operators
+@register("x03_search_context")
+def x03_search_context(spark, sf_dir):
+    """Per numeric feature training bounds, range max(max-min, 1)
+    and the permitted range used for draws."""
+    from lodestar.operators import search as S
+    sctx = S.fit_context(ctx.clean_cases(spark, sf_dir), ctx.SPEC)
+    rows = [(c, sctx.bounds[c][0], sctx.bounds[c][1], sctx.ranges[c], sctx.permitted[c][0], sctx.permitted[c][1])
+            for c in ctx.SPEC.numeric]
+    # model-sized fitted state (one row per numeric feature)
+    return rounded(spark.createDataFrame(rows, "feature string, lo double, hi double, feature_range double, "
+                                               "permitted_lo double, permitted_hi double"))
+
+
+@register("x06_feasibility_counts")
+def x06_feasibility_counts(spark, sf_dir):
+    """X5 + X6a-e: per run, how many candidates flip and pass each check."""
+    from lodestar.operators import search as S
+    cases = ctx.materialise(ctx.clean_cases(spark, sf_dir))
+    sctx = S.fit_context(cases, ctx.SPEC)
+    out = None
+    for run_id, _, seed, _ in ctx.RUNS:
+        scored = ctx.SCORECARD.score(cases).withColumn("original_class", F.col("prediction")).drop(
+            "margin", "p1", "prediction")
+        cands = ctx.SCORECARD.score(S.reconcile_candidates(
+            S.generate_candidates(scored, ctx.SPEC, sctx, n_candidates=ctx.N_CANDIDATES, seed=seed), ctx.SPEC))
+        checks = S.feasibility_checks(ctx.SPEC, sctx)
+        agg = cands.agg(F.count(F.lit(1)).alias("n_candidates"),
+                        F.count_if(F.col("prediction") != F.col("original_class")).alias("n_flipped"),
+                        *[F.count_if(c).alias(f"n_{name}") for name, c in checks.items()])
+        part = agg.withColumn("run_id", F.lit(run_id))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("h5_base_value")
+def h5_base_value(spark, sf_dir):
+    """H5: expected margin of the linear explainer, f(E[x])."""
+    from lodestar.operators import attribution as at
+    cases = ctx.clean_cases(spark, sf_dir)
+    means = at.background_means(cases, ctx.SCORECARD)
+    return rounded(spark.createDataFrame([(at.base_value(ctx.SCORECARD, means),)], "base_value double"))
+
+
+@register("m15_run_facts")
+def m15_run_facts(spark, sf_dir):
+    """Run facts (rows, split sizes, encoded width) as long rows."""
+    split = ctx.materialise(_split(spark, sf_dir))
+    counts = split.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).first()
+    fm = feat.fit_features(split.filter(~F.col("is_test")), ctx.SPEC, scale=True)
+    facts = {"n_rows": counts["n"], "n_test": counts["t"], "n_train": counts["n"] - counts["t"],
+             "n_features": fm.width}
+    return mt.run_facts("run-a", facts, spark)
+
+
+@register("q10_parse_json")
+def q10_parse_json(spark, sf_dir):
+    """Q10: JSON object payloads parsed with a schema; a value that is not
+    an object fails the query (events.props)."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    m = F.from_json("props", "map<string,string>")
+    checked = F.when(m.isNull() & F.col("props").isNotNull(),
+                     F.raise_error(F.lit("expected a JSON object"))).otherwise(m)
+    return ev.select("event_id", checked["k"].cast("bigint").alias("k"), F.size(checked).alias("n_keys"))
+
+
+@register("q12_latest_event")
+def q12_latest_event(spark, sf_dir):
+    """Q12 on events: latest value per (user, event type) by (ts, id)."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rounded(ev.groupBy("user_id", "event_type").agg(
+        F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts")))
+
+
+@register("d01_document_features")
+def d01_document_features(spark, sf_dir):
+    """Genericity: the same cleaning, binning and one-hot encoding on the
+    labelled documents (a second case table with other column roles)."""
+    from lodestar.sources.tables import document_cases
+    from lodestar.spec import DOCUMENT_CASES
+    docs = document_cases(spark, sf_dir)
+    fm = feat.fit_features(docs, DOCUMENT_CASES, scale=False)
+    enc = fm.transform(docs)
+    n_num = len(fm.numeric)
+    return rounded(enc.select("case_id", "target", "length_band", F.size("features").alias("width"),
+                              F.aggregate(F.slice("features", n_num + 1, fm.width), F.lit(0.0),
+                                          lambda a, v: a + v).alias("n_hot")))
+
+
 FLAGSHIP = "r08_rules"

@@ -606,3 +606,89 @@ ORACLE.update({
 
 
 ORACLE["t01_streaming_scores"] = q_scorecard
+
+
+# ------------------------------------------------------------ more operators
+def q_x03():
+    from oracle.prefix import PERMITTED
+    parts = []
+    for c in NUMERIC:
+        plo, phi = (d(PERMITTED[c][0]), d(PERMITTED[c][1])) if c in PERMITTED else (f"MIN({c})", f"MAX({c})")
+        parts.append(f"SELECT '{c}' AS feature, {r6(f'MIN({c})')} AS lo, {r6(f'MAX({c})')} AS hi, "
+                     f"{r6(f'GREATEST(MAX({c}) - MIN({c}), 1.0)')} AS feature_range, {r6(plo)} AS permitted_lo, "
+                     f"{r6(phi)} AS permitted_hi FROM cases")
+    return with_prefix(cases_cte()) + "\n" + " UNION ALL ".join(parts)
+
+
+def q_x06():
+    from oracle.prefix import FORBIDDEN, FROZEN, PERMITTED, priority_case
+    frozen = " AND ".join(f"({c} IS NOT DISTINCT FROM o_{c})" for c in FROZEN)
+    rng = " AND ".join(f"({c} >= {d(lo)} AND {c} <= {d(hi)})" for c, (lo, hi) in PERMITTED.items())
+    forb = " AND ".join(f"COALESCE({c} NOT IN ({', '.join(repr(v) for v in vals)}), TRUE)" for c, vals in FORBIDDEN.items())
+    dep = f"({priority_case('priority')} IS NULL OR priority_num = {priority_case('priority')})"
+    ordn = f"COALESCE({priority_case('priority')} >= {priority_case('o_priority')}, TRUE)"
+    return with_prefix(cases_cte(), scored_cte(), search_cte()) + f"""
+SELECT run_id, COUNT(*) AS n_candidates, COUNT(*) FILTER (WHERE prediction <> original_class) AS n_flipped,
+       COUNT(*) FILTER (WHERE {frozen}) AS n_frozen_unchanged, COUNT(*) FILTER (WHERE {dep}) AS n_dependent_consistent,
+       COUNT(*) FILTER (WHERE {ordn}) AS n_ordinal_not_decreasing, COUNT(*) FILTER (WHERE {forb}) AS n_allowed_destination,
+       COUNT(*) FILTER (WHERE {rng}) AS n_within_permitted
+FROM cand6 GROUP BY run_id"""
+
+
+def q_h5():
+    from oracle.prefix import SC_CATEGORICAL, SC_INTERCEPT, SC_NUMERIC
+    z = d(SC_INTERCEPT)
+    for c, w, center in SC_NUMERIC:
+        z = f"({z} + {d(w)} * (AVG({c}) - {d(center)}))"
+    for c, values in SC_CATEGORICAL:
+        for v, w in values:
+            z = f"({z} + {d(w)} * AVG(CAST({c} = '{v}' AS DOUBLE)))"
+    return with_prefix(cases_cte()) + f"\nSELECT {r6(z)} AS base_value FROM cases"
+
+
+def q_m15():
+    return with_prefix(cases_cte(), split_cte("cases", "sp", 1), derived_cte().replace("FROM cases", "FROM sp"),
+                       "train AS (SELECT * FROM derived WHERE NOT is_test)") + f"""
+SELECT 'run-a' AS run_id, key, value FROM (
+  SELECT 'n_rows' AS key, CAST(COUNT(*) AS VARCHAR) AS value FROM sp
+  UNION ALL SELECT 'n_test', CAST(COUNT(*) FILTER (WHERE is_test) AS VARCHAR) FROM sp
+  UNION ALL SELECT 'n_train', CAST(COUNT(*) FILTER (WHERE NOT is_test) AS VARCHAR) FROM sp
+  UNION ALL SELECT 'n_features', CAST({len(ENCODED_NUMERIC)} + {' + '.join(f'(SELECT COUNT(DISTINCT {c}) FROM train)' for c in ENCODED_CATEGORICAL)} AS VARCHAR))"""
+
+
+def q_q10():
+    return """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+       CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events"""
+
+
+def q_q12e():
+    return f"""
+SELECT user_id, event_type, {r6('arg_max(value, (ts, event_id))')} AS value, MAX(ts) AS ts
+FROM events GROUP BY user_id, event_type"""
+
+
+def q_d01():
+    cuts, labels = [1000.0, 10000.0, 50000.0], ["short", "medium", "long", "very_long"]
+    from oracle.prefix import bin_sql
+    band = bin_sql("n_chars", cuts, labels)
+    return f"""
+WITH docs AS (
+  SELECT d.doc_id AS case_id, COALESCE(CAST(d.n_chars AS DOUBLE), 0.0) AS n_chars,
+         COALESCE(TRIM(d.lang), 'Unknown') AS lang, COALESCE(TRIM(d.source), 'Unknown') AS source,
+         CAST(l.quality AS INTEGER) AS target
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+b AS (SELECT *, {band} AS length_band FROM docs)
+SELECT case_id, target, length_band,
+       CAST(1 + (SELECT COUNT(DISTINCT lang) FROM b) + (SELECT COUNT(DISTINCT source) FROM b)
+            + (SELECT COUNT(DISTINCT length_band) FROM b) AS INTEGER) AS width,
+       CAST(CAST(lang IN (SELECT lang FROM b) AS INTEGER) + CAST(source IN (SELECT source FROM b) AS INTEGER)
+            + CAST(length_band IN (SELECT length_band FROM b) AS INTEGER) AS DOUBLE) AS n_hot
+FROM b"""
+
+
+ORACLE.update({
+    "x03_search_context": q_x03, "x06_feasibility_counts": q_x06, "h5_base_value": q_h5,
+    "m15_run_facts": q_m15, "q10_parse_json": q_q10, "q12_latest_event": q_q12e,
+    "d01_document_features": q_d01,
+})
