@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from lodestar.functions.columns import uniform_draw
 
 
-# Vectors up to this width get unrolled (codegen'd) arithmetic; wider ones
-# use higher-order functions.
-UNROLL_WIDTH = 512
+# Vectors up to this width get unrolled (codegen'd) arithmetic in the
+# per-cluster aggregates; distances to centres use higher-order functions
+# (no per-query generated class that grows with k x width).
+UNROLL_WIDTH = 0
 
 
 def sq_dist(x: Column, centre: list[float]) -> Column:
@@ -46,15 +47,37 @@ def group_means(points: DataFrame, group: str, column: str, width: int) -> dict:
     return {r[group]: [float(r[f"m{i}"]) for i in range(width)] for r in rows}
 
 
+def _centre_table(x: Column, centres: list[list[float]]) -> Column:
+    """The centres as one array value that is not constant-folded: the
+    generated code only references it, so its text is the same for every
+    Lloyd step and is compiled once (new centre values are new literals
+    only inside one reference object)."""
+    lit = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    return F.when(x.isNotNull(), lit)
+
+
+def _candidates(x: Column, centres: list[list[float]]) -> Column:
+    width = len(centres[0]) if centres else 0
+    if width > UNROLL_WIDTH:
+        return F.array(*[F.struct(sq_dist(x, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)])
+    table = _centre_table(x, centres)
+    out = []
+    for j in range(len(centres)):
+        acc = F.lit(0.0)
+        for i in range(width):
+            diff = x[i] - table[j][i]
+            acc = acc + diff * diff
+        out.append(F.struct(acc.alias("d"), F.lit(j).alias("j")))
+    return F.array(*out)
+
+
 def nearest(x: Column, centres: list[list[float]]) -> Column:
     """Index of the nearest centre (squared Euclidean), ties -> lowest index."""
-    cands = F.array(*[F.struct(sq_dist(x, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)])
-    return F.array_min(cands)["j"]
+    return F.array_min(_candidates(x, centres))["j"]
 
 
 def nearest_distance(x: Column, centres: list[list[float]]) -> Column:
-    cands = F.array(*[F.struct(sq_dist(x, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)])
-    return F.array_min(cands)["d"]
+    return F.array_min(_candidates(x, centres))["d"]
 
 
 def _check_k(n: int, k: int):

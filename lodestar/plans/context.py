@@ -41,8 +41,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the cluster's shared checkpoint folder: the
     result is reused by several jobs (fits, Lloyd steps) and survives
     executor loss without recomputing the search."""
+    from pyspark import StorageLevel
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first so the eager checkpoint computes the plan once (its
+    # count and the file write both read the persisted blocks)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 from lodestar.operators import encode as enc  # noqa: E402
 from lodestar.operators import rules as rl  # noqa: E402
 
@@ -97,12 +103,17 @@ def counterfactual_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFra
         F.to_json(F.struct(*[F.col(c) for c in feats]), opts).alias("counterfactual_features"),
         F.col("original_class").cast("int").alias("original_class"),
         F.col("target_class").cast("int").alias("target_class"),
-        "distance", "created_at")
+        "distance", "created_at",
+        # typed sides next to the JSON text: encoders read these directly
+        F.struct(*[F.col(f"orig.{c}").alias(c) for c in feats]).alias("original"),
+        F.struct(*[F.col(c) for c in feats]).alias("counterfactual"))
 
 
 def encoded_run(cfs: DataFrame, run_id: str):
-    """E1-E10 on one run's stored records."""
-    parsed = enc.parse_pairs(cfs.filter(F.col("run_id") == F.lit(run_id)))
+    """E1-E10 on one run's stored records (typed sides when present,
+    JSON text otherwise)."""
+    run = cfs.filter(F.col("run_id") == F.lit(run_id))
+    parsed = enc.typed_pairs(run) if "original" in cfs.columns else enc.parse_pairs(run)
     encoder = enc.fit_encoder(parsed, ENC_NUMERIC, ENC_CATEGORICAL)
     return encoder, encoder.transform(parsed)
 

@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     # JIT-compilable code instead of running them in the bytecode
     # interpreter (about 4x faster here).
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # room for the generated classes of many queries in one JVM
+    "spark.driver.extraJavaOptions": "-XX:ReservedCodeCacheSize=512m",
 }
 
 TUNING = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
