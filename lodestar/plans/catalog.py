@@ -36,7 +36,8 @@ def round6(c, digits: int = 6):
     """round(x * 10^d) / 10^d, half away from zero on the scaled double
     (the arithmetic SQL engines use), not Spark's exact-decimal HALF_UP."""
     scale = float(10 ** digits)
-    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale)
+    # + 0.0 turns a negative zero into +0.0 (IEEE), as the oracle does
+    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

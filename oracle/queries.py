@@ -6,7 +6,7 @@ from oracle.prefix import cases_cte, scored_cte, search_cte, shap_cte, with_pref
 
 
 def r6(x: str) -> str:
-    return f"ROUND({x}, 6)"
+    return f"(ROUND({x}, 6) + 0.0)"
 
 
 def q_global_importance() -> str:
