@@ -41,8 +41,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the cluster's shared checkpoint folder: the
     result is reused by several jobs (fits, Lloyd steps) and survives
     executor loss without recomputing the search."""
+    from pyspark import StorageLevel
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first so the eager checkpoint computes the plan once (its
+    # count and the file write both read the persisted blocks)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 from lodestar.operators import encode as enc  # noqa: E402
 from lodestar.operators import rules as rl  # noqa: E402
 
