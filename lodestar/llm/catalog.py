@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, mixing, pii, secret_scan, simhash, topk, toxicity
+from lodestar.llm import bpe, chat, mixing, pii, quality, secret_scan, simhash, substrings, topk, toxicity
 from lodestar.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -36,6 +36,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "rule")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +68,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.sanitise(docs)
@@ -79,8 +90,10 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_topk": op3_topk,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
+    "op8_substrings": op8_substrings,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
 }
@@ -139,10 +152,25 @@ SELECT conv_id, max(n_turns) AS n_turns,
 FROM n GROUP BY conv_id
 """
 
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+h AS (SELECT r, doc_id, i, md5(list_aggregate(w[i:i + 12], 'string_agg', ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM h JOIN f USING (h) WHERE doc_id > least),
+x AS (SELECT r, list(i) AS gone FROM g GROUP BY r),
+k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN x USING (r)),
+z AS (SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+    list_filter(w, lambda v, i: NOT list_contains(gone, i)) AS kept FROM k)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(list_aggregate(kept, 'string_agg', ' '), '')) AS kept_sha256 FROM z
+"""
+
 # Left out where SQL lacks the hash, the vocabulary or the fitted model
 # that the query names: those are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": _OP2,
     "op3_topk": _OP3,
     "op7_chat": _OP7,
+    "op8_substrings": _OP8,
 }
