@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # Rows handed to Python code at once; bounds the memory of a task.
 SLICE_ROWS = 256
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def arrow_map(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes, not only by rows:
+    texts are long, and a batch is held by the JVM and by the worker.
+    A size that the user has set is kept."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def add_columns(df: DataFrame, source: str, fields: list[StructField], start) -> DataFrame:
     """``df`` with the columns ``fields`` computed from column ``source``
     in Arrow batches, without a shuffle. ``start()`` runs once per task
@@ -62,7 +73,7 @@ def add_columns(df: DataFrame, source: str, fields: list[StructField], start) ->
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *[pa.array(v, t) for v, t in zip(new, types)]], names=names)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def emit_rows(df: DataFrame, schema: StructType, start) -> DataFrame:
@@ -90,4 +101,4 @@ def emit_rows(df: DataFrame, schema: StructType, start) -> DataFrame:
         if out is not None and len(out[0]):
             yield build(out)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestar.llm.common import add_columns, materialise
+from lodestar.llm.common import add_columns, arrow_map, materialise
 
 SEED = 42
 TREE_SIZE = 4096
@@ -216,7 +216,7 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, tree_size: int =
         if held and sum(len(h[0]) for h in held):
             yield emit([np.concatenate(c) for c in zip(*held)])
 
-    return dealt.mapInArrow(run, out).where("a != b").distinct()
+    return arrow_map(dealt, run, out).where("a != b").distinct()
 
 
 # -- components -----------------------------------------------------------------
