@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from lodestar.llm.common import materialise
+from lodestar.llm.common import arrow_map, materialise
 
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 2048
+# Candidate blocks that meet one query block in one join key.
+LOT_BLOCKS = 4
 BUCKETS = 1024
 _EXACT = float(1 << 53)
 _LOW = -(1 << 63)
@@ -55,11 +57,16 @@ def _blocks(rows: DataFrame, key: Column, name: str) -> DataFrame:
         .select(name, F.col("m.id").alias(f"{name}_ids"), F.col("m.v").alias(f"{name}_vs"))
 
 
-def _matrix(vectors) -> np.ndarray:
-    width = max([len(v) for v in vectors], default=0)
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, :len(v)] = v
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors as rows, shorter ones padded with zeros."""
+    ends = vectors.offsets.to_numpy()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    size = np.diff(ends)
+    width = int(size.max(initial=0))
+    if (size == width).all():
+        return flat.reshape(len(size), width)
+    out = np.zeros((len(size), width))
+    out[np.arange(width) < size[:, None]] = flat
     return out
 
 
@@ -83,15 +90,15 @@ def _scored(pairs: DataFrame, schema: StructType, pick) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                qi, qv, low, width, ci, cv = [batch.column(i)[r].as_py() for i in range(6)]
-                q, c, ci = _matrix(qv), _matrix(cv), np.array(ci, dtype=np.int64)
-                qi, low, width = (np.array(x, dtype=np.int64) for x in (qi, low, width))
+                qi, qv, low, width, ci, cv = [batch.column(i)[r].values for i in range(6)]
+                q, c = _matrix(qv), _matrix(cv)
+                qi, low, width, ci = (x.to_numpy(zero_copy_only=False) for x in (qi, low, width, ci))
                 for o in range(0, len(qi), 256):
                     s = slice(o, o + 256)
                     out = pick(qi[s], ci, _scores(q[s], c), low[s], width[s])
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
-    return pairs.select("q_ids", "q_vs", "lows", "widths", "c_ids", "c_vs").mapInArrow(run, schema)
+    return arrow_map(pairs.select("q_ids", "q_vs", "lows", "widths", "c_ids", "c_vs"), run, schema)
 
 
 def _histogram(k: int):
@@ -134,6 +141,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     if not n_queries or not n_rows:
         return spark.createDataFrame([], schema)
     n_q, n_c = -(-n_queries // QUERY_BLOCK), -(-n_rows // CANDIDATE_BLOCK)
+    n_lots = -(-n_c // LOT_BLOCKS)
     # no score exceeds the product of the norms
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     longest = rows.agg(F.max(norm)).first()[0] or 0.0
@@ -143,7 +151,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     state = materialise(state, "interval")
     # dealt by id and vector, so rows that share either spread
     spread = F.pmod(F.xxhash64("id", "v"), F.lit(n_c))
-    candidates = materialise(_blocks(rows, spread, "c").withColumn(
+    candidates = materialise(_blocks(rows, spread, "c").withColumn("lot", (F.col("c") % n_lots).cast("int")).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).repartition("c", "q"), "blocks")
 
     def pairs():
