@@ -154,8 +154,9 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 4, bins
     rows = materialise(labelled.select("good", "part", *[c.alias(k) for k, c in features().items()]), "labelled")
     cols = {k: F.col(k) for k in names}
     shares = [i / bins for i in range(1, bins)]
-    cuts = rows.where("good = 0").agg(*[F.percentile_approx(k, shares, 10_000).alias(f"bad_{k}") for k in names]) \
-        .crossJoin(rows.agg(*[F.percentile_approx(k, shares, 10_000).alias(k) for k in names])).first()
+    bad_only = {k: F.when(F.col("good") == 0, F.col(k)) for k in names}
+    cuts = rows.agg(*[F.percentile_approx(k, shares, 10_000).alias(k) for k in names],
+                    *[F.percentile_approx(c, shares, 10_000).alias(f"bad_{k}") for k, c in bad_only.items()]).first()
     if cuts[names[0]] is None or cuts[f"bad_{names[0]}"] is None:
         return []
     edges = {k: sorted(set(cuts[k]) | set(cuts[f"bad_{k}"])) for k in names}
