@@ -163,9 +163,11 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 4, bins
 
     def counts(where: Column) -> dict:
         """(feature, edges at or below the value) -> [bad, good]."""
-        each = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.size(F.filter(
-            F.array(*[F.lit(float(e)) for e in edges[k]]), lambda e, c=c: e <= c)).alias("bin"))
-            for k, c in cols.items()]))
+        def bin_of(k):
+            steps = F.array(*[F.lit(float(e)) for e in edges[k]])
+            return F.size(F.filter(steps, lambda e: e <= cols[k]))
+
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), bin_of(k).alias("bin")) for k in names]))
         got = rows.where(where).select("good", each.alias("x")).groupBy("x.f", "x.bin").agg(
             F.sum(1 - F.col("good")).alias("bad"), F.sum("good").alias("good")).collect()
         return {(r.f, r.bin): (r.bad, r.good) for r in got}
