@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, StructField, StructType)
 
-from lodestar.llm.common import SLICE_ROWS, emit_rows, materialise, without
+from lodestar.llm.common import SLICE_ROWS, arrow_map, emit_rows, materialise, without
 
 GROUP_LIMIT = 4096
 GROUP_ROWS = 65536
@@ -57,27 +57,21 @@ def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z
 
 
-def _lengths(window: int, short: int) -> list[int]:
-    """1, 2, 4, ... up to ``short``, then doubled up to ``window``."""
-    out = [1]
-    while out[-1] < window:
-        top = short if out[-1] < short else window
-        out.append(min(2 * out[-1], top))
-    return out
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(w) for w in words]), dtype=">u8").astype(_U)
 
 
-def _window_hashes(words: list[bytes], window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``short`` and of ``window`` words."""
-    import xxhash
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in words], dtype=_U)
-    kept, lengths = h, _lengths(window, short)
-    for a, b in zip(lengths, lengths[1:]):
-        n = len(words) - b + 1
-        h = _join(h[:n], h[b - a:b - a + n])
-        if b == short:
-            kept = h
-    return kept, h
+def _longer(h: np.ndarray, short: int, window: int) -> np.ndarray:
+    """Hashes of all stretches of ``window`` words from those of
+    ``short`` words, doubling the length and at last overlapping."""
+    while short < window:
+        longer = min(2 * short, window)
+        n = len(h) - (longer - short)
+        h = _join(h[:n], h[longer - short:])
+        short = longer
+    return h
 
 
 def _anchors(short_hashes: np.ndarray, n: int, reach: int) -> np.ndarray:
@@ -114,8 +108,10 @@ def anchors(docs: DataFrame, window: int, short: int) -> DataFrame:
                 words = _words(t)
                 n = len(words) - window + 1
                 if n > 0:
-                    low, _ = _window_hashes(words, window, short)
-                    h = np.unique(low[np.unique(_anchors(low, n, reach))])
+                    low = _longer(_word_hashes(words), 1, short)
+                    at = _anchors(low, n, reach)
+                    # places never fall, so equal ones are neighbours
+                    h = np.unique(low[at[np.r_[True, at[1:] != at[:-1]]]])
                     hs.append(h.view(np.int64))
                     ds.append(np.full(len(h), i, dtype=np.int64))
             return [np.concatenate(hs), np.concatenate(ds)] if hs else None
@@ -142,7 +138,8 @@ def full_windows(marked: DataFrame, window: int, short: int) -> DataFrame:
                 n = len(words) - window + 1
                 if n <= 0:
                     continue
-                low, high = _window_hashes(words, window, short)
+                low = _longer(_word_hashes(words), 1, short)
+                high = _longer(low, short, window)
                 at = _anchors(low, n, reach)
                 head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 size = np.diff(np.r_[head, n])
@@ -208,18 +205,26 @@ def _compare(rows: DataFrame) -> DataFrame:
         if held and len(held[0][0]):
             yield judge(*[np.concatenate(c) for c in zip(*held)])
 
-    return dealt.mapInArrow(run, schema)
+    return arrow_map(dealt, run, schema)
 
 
 def _aggregate(rows: DataFrame) -> DataFrame:
-    """The same for frequent anchors: the smallest document of each
-    window by a partial aggregation, joined back."""
-    each = rows.select("h", "id", "th", "place", "first", F.posexplode("sigs").alias("k", "sig")) \
+    """The same for frequent anchors. Copies and passages give few
+    different surroundings (first, sigs) of an anchor: rows are aggregated
+    by surroundings before these are split into windows, the smallest
+    document of each window goes back to its surroundings (at most one
+    entry per offset), and a row compares its own id with them."""
+    around = ["h", "first", "sigs"]
+    kinds = rows.groupBy(*around).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    each = kinds.select(*around, "least", "most", F.posexplode("sigs").alias("k", "sig")) \
         .withColumn("o", F.col("first") - F.col("k"))
-    least = each.groupBy("h", "o", "sig").agg(F.min("id").alias("least"), F.max("id").alias("most")) \
-        .where("least < most").select("h", "o", "sig", "least")
-    return each.join(least, ["h", "o", "sig"]).where("id > least").groupBy("id", "th", "place").agg(
-        F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
+    window = ["h", "o", "sig"]
+    least = each.groupBy(*window).agg(F.min("least").alias("low"), F.max("most").alias("high")) \
+        .where("low < high").select(*window, "low")
+    known = each.select(*around, "o", "sig").join(least, window).groupBy(*around).agg(
+        F.collect_list(F.struct("o", "low")).alias("lows"))
+    mask = F.expr("aggregate(lows, 0L, (m, x) -> m | if(id > x.low, shiftleft(1L, x.o), 0L))")
+    return rows.join(known, around).select("id", "th", "place", mask.alias("mask")).where("mask <> 0")
 
 
 def _apply(df: DataFrame, window: int) -> DataFrame:
@@ -255,7 +260,7 @@ def _apply(df: DataFrame, window: int) -> DataFrame:
                        pa.array([d[2] for d in done], pa.string())]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *new], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 13,
