@@ -19,6 +19,16 @@ MISSING_TEXT = "None"
 UNKNOWN = "Unknown"
 
 
+# Fixed value: the white space that Python's str.strip removes.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006" \
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c) -> Column:
+    """Text without leading and trailing white space of any kind."""
+    return F.trim(col(c), F.lit(WHITE_SPACE))
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -29,7 +39,7 @@ def lenient_double(c, dtype=None) -> Column:
     c = col(c)
     if dtype is not None and isinstance(dtype, NumericType):
         return F.coalesce(c.cast("double"), F.lit(0.0))
-    text = F.trim(c.cast("string"))
+    text = strip(c.cast("string"))
     parsed = F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double"))
     return F.coalesce(parsed, F.lit(0.0))
 
@@ -38,8 +48,8 @@ def clean_category(c, dtype=None) -> Column:
     """Categorical cleaning: text, trimmed, null -> 'Unknown'."""
     c = col(c)
     if dtype is not None and isinstance(dtype, StringType):
-        return F.coalesce(F.trim(c), F.lit(UNKNOWN))
-    return F.coalesce(F.trim(c.cast("string")), F.lit(UNKNOWN))
+        return F.coalesce(strip(c), F.lit(UNKNOWN))
+    return F.coalesce(strip(c.cast("string")), F.lit(UNKNOWN))
 
 
 def right_closed_bin(c, cuts, labels) -> Column:
@@ -75,6 +85,13 @@ HASH_C1 = 12345
 HASH_C2 = 67890
 
 
+def wide_id(*parts) -> Column:
+    """60-bit id of a composite key (md5 of its parts): no numbering, no
+    bound on any part; other engines reproduce it."""
+    text = F.concat_ws("|", *[col(p).cast("string") if not isinstance(p, Column) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_base(parts: list) -> Column:
     """Fold non-negative integer parts into [0, p): base = base * M + part (mod p)."""
     base = F.lit(0).cast("bigint")
@@ -124,7 +141,7 @@ def with_uniform_draws(df, parts: list, names: list[str]):
 
 def token_text(c) -> Column:
     """Value as it appears inside a transition token."""
-    return F.replace(F.trim(F.coalesce(col(c).cast("string"), F.lit(MISSING_TEXT))), F.lit(" "), F.lit("_"))
+    return F.replace(strip(F.coalesce(col(c).cast("string"), F.lit(MISSING_TEXT))), F.lit(" "), F.lit("_"))
 
 
 def transition_token(feature: str, original, counterfactual) -> Column:
@@ -154,13 +171,26 @@ def percent0(rate) -> Column:
 
 
 def signed3(x) -> Column:
-    """Python's '{:+.3f}' (half-to-even), not Java's half-up."""
-    return F.format_string("%+.3f", F.bround(col(x), 3))
+    """Python's '{:+.3f}': the decimal nearest to the exact binary value.
+
+    ``p`` is x * 1000 as a double and ``e`` its exact rounding error (by
+    splitting x in two halves of 26 bits); only where p ends in .5 does
+    the error decide, and an exact tie goes to the even neighbour."""
+    x = col(x)
+    p = x * F.lit(1000.0)
+    high = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+    e = (high * F.lit(1000.0) - p) + (x - high) * F.lit(1000.0)
+    tie = (p - F.floor(p)) == F.lit(0.5)
+    n = F.when(tie & (e > 0), F.ceil(p)).when(tie & (e < 0), F.floor(p)).otherwise(F.rint(p).cast("bigint"))
+    size = F.abs(n)
+    text = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("+")), F.floor(size / 1000).cast("string"), F.lit("."),
+                    F.lpad((size % 1000).cast("string"), 3, "0"))
+    return F.when(F.isnan(x), F.lit("+nan")).otherwise(text)
 
 
 def condition_key(c) -> Column:
     """Condition text before the first '(' trimmed and lower-cased."""
-    return F.lower(F.trim(F.substring_index(col(c), "(", 1)))
+    return F.lower(strip(F.substring_index(col(c), "(", 1)))
 
 
 def clamp01(x) -> Column:

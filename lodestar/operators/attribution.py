@@ -15,6 +15,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from lodestar.functions.columns import uniform_draws
 from lodestar.operators.scoring import Scorecard
@@ -51,11 +52,15 @@ def linear_shap(cases: DataFrame, scorecard: Scorecard, means: dict, key: str =
             .select("instance_id", "e.feature_name", "e.feature_value", "e.shap_value"))
 
 
-def check_class_output(n_outputs: int, class_index: int) -> int:
-    """H4: pick one class output of a multi-output explainer."""
+def class_output(shap: DataFrame, class_index: int, n_outputs: int = 2) -> DataFrame:
+    """H4: one class output of a binary explainer. The long form explains
+    class 1; class 0 has the opposite contributions. An index outside the
+    outputs, or an explainer of another width, is an error."""
+    if n_outputs != 2:
+        raise ValueError(f"expected 2 class outputs, found {n_outputs}")
     if not 0 <= class_index < n_outputs:
         raise ValueError(f"class index {class_index} outside 0..{n_outputs - 1}")
-    return class_index
+    return shap if class_index == 1 else shap.withColumn("shap_value", -F.col("shap_value"))
 
 
 # --------------------------------------------------------------------------
@@ -64,8 +69,7 @@ def check_class_output(n_outputs: int, class_index: int) -> int:
 
 def permutation_shap(cases: DataFrame, background: DataFrame, scorer, features: list[str],
                      n_permutations: int = 8, seed: int = 42, key: str = "case_id",
-                     output: str = "p1", background_key: str = "case_id",
-                     max_background: int = 100) -> DataFrame:
+                     output: str = "p1", background_key: str = "case_id") -> DataFrame:
     """H3: Shapley values by sampled permutations against one background row.
 
     For case x, permutation pi and reference row r (a background row
@@ -73,17 +77,17 @@ def permutation_shap(cases: DataFrame, background: DataFrame, scorer, features:
     pi[0..j] from x and the rest from r. Marginal of pi[j] =
     f(step j) - f(step j-1). All (case, permutation, step) rows are
     scored in one distributed batch, then averaged per (case, feature).
-    The background is at most ``max_background`` rows (as the
-    reference's kernel explainer), chosen by hash order.
+    The background is the caller's reference table, used whole: numbered
+    in hash order and joined by number (pass a sample of it where a model
+    is explained against few rows). H6: feature_value is the value as a
+    double, null for text.
     """
     from pyspark.sql.window import Window
     d = len(features)
+    types = {f.name: f.dataType for f in cases.schema.fields}
     if background_key not in background.columns:
         raise ValueError(f"background needs a key column {background_key!r}")
-    # <= max_background rows by hash order (a distributed top-k, then a
-    # bounded, model-sized reference set that may be broadcast)
     bg = (background.withColumn("__u", uniform_draws([background_key, seed, 4], 1)[0])
-          .orderBy("__u", background_key).limit(max_background)
           .select(*[F.col(c).alias(f"bg__{c}") for c in features], "__u", F.col(background_key).alias("__bk")))
     bg = bg.withColumn("bg_idx", F.row_number().over(Window.orderBy("__u", "__bk"))).drop("__u", "__bk")
     n_bg = bg.count()
@@ -95,22 +99,26 @@ def permutation_shap(cases: DataFrame, background: DataFrame, scorer, features:
     # permutation order = features sorted by their draw
     order = F.array_sort(F.array(*[F.struct(draws[i + 1].alias("u"), F.lit(i).alias("i")) for i in range(d)]))
     perms = perms.withColumn("order", F.transform(order, lambda s: s["i"]))
-    perms = perms.join(F.broadcast(bg), "bg_idx", "inner")
+    perms = perms.join(bg, "bg_idx", "inner")
     steps = perms.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
     # feature i is taken from x when its position in the order is < step
     pos = {i: F.array_position(F.col("order"), F.lit(i)) - 1 for i in range(d)}
-    mixed = steps.select(key, "perm", "step", "order",
+    values = F.array(*[F.col(c).cast("double") if isinstance(types[c], NumericType) else F.lit(None).cast("double")
+                       for c in features]).alias("values")
+    mixed = steps.select(key, "perm", "step", "order", values,
                          *[F.when(pos[i] < F.col("step"), F.col(c)).otherwise(F.col(f"bg__{c}")).alias(c)
                            for i, c in enumerate(features)])
-    scored = scorer.score(mixed).select(key, "perm", "step", "order", F.col(output).alias("f"))
+    scored = scorer.score(mixed).select(key, "perm", "step", "order", "values", F.col(output).alias("f"))
     w = Window.partitionBy(key, "perm").orderBy("step")
     marg = (scored.withColumn("prev", F.lag("f").over(w)).filter(F.col("step") > 0)
             .withColumn("feature_idx", F.element_at("order", F.col("step")))
+            .withColumn("feature_value", F.element_at("values", F.col("feature_idx") + 1))
             .withColumn("marginal", F.col("f") - F.col("prev")))
     names = F.array(*[F.lit(c) for c in features])
-    return (marg.groupBy(key, "feature_idx").agg(F.avg("marginal").alias("shap_value"))
+    return (marg.groupBy(key, "feature_idx").agg(F.avg("marginal").alias("shap_value"),
+                                                 F.max("feature_value").alias("feature_value"))
             .select(F.col(key).alias("instance_id"), F.element_at(names, F.col("feature_idx") + 1).alias("feature_name"),
-                    "shap_value"))
+                    "feature_value", "shap_value"))
 
 
 # --------------------------------------------------------------------------
@@ -152,75 +160,67 @@ def _shapley_weights(d: int) -> list[float]:
     return [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
 
 
-def leaf_path_table(spark, trees: list[tuple[float, list[dict]]]) -> DataFrame:
-    """(tree, leaf, weight, value, path array<struct<feature,lo,hi,z>>).
+def _leaf_groups(leaves: list[dict]) -> list[tuple]:
+    """Leaves by path length as packed arrays (features, lo, hi, z,
+    weight * value)."""
+    import numpy as np
+    by_depth: dict = {}
+    for leaf in leaves:
+        if leaf["path"]:
+            by_depth.setdefault(len(leaf["path"]), []).append(leaf)
+    out = []
+    for _, group in sorted(by_depth.items()):
+        parts = [np.array([[p[i] for p in leaf["path"]] for leaf in group]) for i in range(4)]
+        out.append((parts[0].astype(int), *parts[1:], np.array([leaf["weight"] * leaf["value"] for leaf in group])))
+    return out
 
-    ``trees`` is [(tree_weight, nodes)], nodes = dicts with id, left,
-    right, feature, threshold, cover, value (left < 0 for leaves). The
-    table has one row per leaf: its size is the model size, independent
-    of the data, so it may be broadcast.
-    """
-    rows = []
-    for t, (tw, nodes) in enumerate(trees):
-        for leaf, p in enumerate(_leaf_paths_from_nodes(nodes)):
-            rows.append((t, leaf, float(tw), float(p["value"]),
-                         [(int(f), float(lo), float(hi), float(z)) for f, lo, hi, z in p["path"]]))
-    schema = ("tree int, leaf int, weight double, value double, "
-              "path array<struct<feature:int,lo:double,hi:double,z:double>>")
-    return spark.createDataFrame(rows, schema)
-
-
-def _leaf_phi(X: "np.ndarray", leaf: dict, n_features: int) -> "np.ndarray":
-    """Exact path-dependent SHAP contribution of one leaf for a batch of rows."""
+
+# Rows x leaves that are expanded at once.
+SHAP_ROWS, SHAP_LEAVES = 256, 64
+
+
+def _add_phi(phi, X, feats, lo, hi, z, value) -> None:
+    """Add the exact path-dependent SHAP of leaves of one path length for
+    a batch of rows to ``phi`` (rows x features)."""
     import numpy as np
-    path = leaf["path"]
-    d = len(path)
-    phi = np.zeros((X.shape[0], n_features))
-    if d == 0:
-        return phi
-    feats = np.array([p[0] for p in path])
-    lo = np.array([p[1] for p in path])
-    hi = np.array([p[2] for p in path])
-    z = np.array([p[3] for p in path])
-    xv = X[:, feats]
+    n, d = X.shape[0], feats.shape[1]
+    xv = X[:, feats]  # rows x leaves x path
     o = ((xv > lo) & (xv <= hi)).astype(float)
-    # coefficients of prod_j (z_j + o_j t), lowest degree first: rows x (d+1)
-    poly = np.zeros((X.shape[0], d + 1))
-    poly[:, 0] = 1.0
+    # coefficients of prod_j (z_j + o_j t), lowest degree first
+    poly = np.zeros((n, feats.shape[0], d + 1))
+    poly[:, :, 0] = 1.0
     for j in range(d):
-        nxt = poly * z[j]
-        nxt[:, 1:] += poly[:, :-1] * o[:, j:j + 1]
-        poly = nxt
+        step = poly * z[None, :, j, None]
+        step[:, :, 1:] += poly[:, :, :-1] * o[:, :, j, None]
+        poly = step
     w = np.array(_shapley_weights(d))
     for i in range(d):
-        zi, oi = z[i], o[:, i]
-        q = np.zeros((X.shape[0], d))
-        ones = oi != 0
-        # o_i = 1: divide from the top; o_i = 0: divide by the constant z_i
-        if ones.any():
-            acc = np.zeros(ones.sum())
-            for k in range(d, 0, -1):
-                acc = poly[ones, k] - (q[ones, k] * zi if k < d else 0.0)
-                q[ones, k - 1] = acc
-        if (~ones).any() and zi != 0:
-            q[~ones] = poly[~ones, :d] / zi
-        phi[:, feats[i]] += leaf["weight"] * leaf["value"] * (oi - zi) * (q @ w)
-    return phi
+        zi, on = z[:, i], o[:, :, i] != 0
+        # without factor i: o_i = 1 divides from the top, o_i = 0 by z_i
+        top = np.zeros_like(poly)
+        for k in range(d, 0, -1):
+            top[:, :, k - 1] = poly[:, :, k] - (top[:, :, k] * zi if k < d else 0.0)
+        low = np.divide(poly, zi[None, :, None], out=np.zeros_like(poly), where=zi[None, :, None] != 0)
+        q = np.where(on[:, :, None], top[:, :, :d], low[:, :, :d])
+        part = value * (o[:, :, i] - zi) * (q @ w)
+        np.add.at(phi.T, feats[:, i], part.T)
 
 
 def tree_shap(cases: DataFrame, leaves: list[dict], feature_names: list[str], vector_col: str = "features",
               key: str = "case_id") -> DataFrame:
     """H1 + H6: exact path-dependent tree SHAP, long form.
 
-    The leaf-path table is model-sized (independent of the data) and
-    travels with the task closure; rows stream through ``mapInPandas`` in
-    Arrow batches, each batch evaluates the closed-form polynomial per
-    leaf with numpy. Output is long (instance, feature, shap).
+    The leaf paths are model-sized (independent of the data) and travel
+    as one broadcast of packed arrays; rows stream through
+    ``mapInPandas`` in Arrow batches, and the closed-form polynomial is
+    evaluated for many rows and leaves of one path length at a time.
+    Output is long (instance, feature, value, shap).
     """
     import numpy as np
     import pandas as pd
     n_features = len(feature_names)
     names = np.array(feature_names, dtype=object)
+    shared = cases.sparkSession.sparkContext.broadcast(_leaf_groups(leaves))
 
     def run(batches):
         for pdf in batches:
@@ -228,8 +228,12 @@ def tree_shap(cases: DataFrame, leaves: list[dict], feature_names: list[str], ve
                 continue
             X = np.stack(pdf[vector_col].to_numpy()).astype(float)
             phi = np.zeros((X.shape[0], n_features))
-            for leaf in leaves:
-                phi += _leaf_phi(X, leaf, n_features)
+            for r in range(0, X.shape[0], SHAP_ROWS):
+                rows = slice(r, r + SHAP_ROWS)
+                for feats, lo, hi, z, value in shared.value:
+                    for c in range(0, len(value), SHAP_LEAVES):
+                        part = slice(c, c + SHAP_LEAVES)
+                        _add_phi(phi[rows], X[rows], feats[part], lo[part], hi[part], z[part], value[part])
             yield pd.DataFrame({
                 "instance_id": np.repeat(pdf[key].to_numpy(), n_features),
                 "feature_name": np.tile(names, X.shape[0]),

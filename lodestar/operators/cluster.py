@@ -11,27 +11,27 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lodestar.functions.columns import uniform_draw
 
 
-# Vectors up to this width get unrolled (codegen'd) arithmetic in the
-# per-cluster aggregates; distances to centres use higher-order functions
-# (no per-query generated class that grows with k x width).
-UNROLL_WIDTH = 0
+def _matrix(vectors) -> "np.ndarray":
+    """Rows of an Arrow list column of equally long vectors."""
+    import numpy as np
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0))
 
 
-def sq_dist(x: Column, centre: list[float]) -> Column:
-    """Squared Euclidean distance to a fixed centre, summed left to right."""
-    if len(centre) <= UNROLL_WIDTH:
-        acc = F.lit(0.0)
-        for i, v in enumerate(centre):
-            diff = x[i] - F.lit(float(v))
-            acc = acc + diff * diff
-        return acc
-    c = F.array(*[F.lit(float(v)) for v in centre])
-    diffs = F.zip_with(x, c, lambda a, b: (a - b) * (a - b))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v)
+def _nearest(x: "np.ndarray", centres: "np.ndarray"):
+    """Index of the nearest centre (ties: lowest) and the squared
+    Euclidean distance, summed over positions from left to right."""
+    import numpy as np
+    total = np.zeros((len(x), len(centres)))
+    for i in range(centres.shape[1]):
+        total += (x[:, i, None] - centres[None, :, i]) ** 2
+    at = total.argmin(axis=1)
+    return at, total[np.arange(len(x)), at]
 
 
 def vector_width(points: DataFrame, column: str = "vector") -> int:
@@ -47,39 +47,6 @@ def group_means(points: DataFrame, group: str, column: str, width: int) -> dict:
     return {r[group]: [float(r[f"m{i}"]) for i in range(width)] for r in rows}
 
 
-def _centre_table(x: Column, centres: list[list[float]]) -> Column:
-    """The centres as one array value that is not constant-folded: the
-    generated code only references it, so its text is the same for every
-    Lloyd step and is compiled once (new centre values are new literals
-    only inside one reference object)."""
-    lit = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
-    return F.when(x.isNotNull(), lit)
-
-
-def _candidates(x: Column, centres: list[list[float]]) -> Column:
-    width = len(centres[0]) if centres else 0
-    if width > UNROLL_WIDTH:
-        return F.array(*[F.struct(sq_dist(x, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)])
-    table = _centre_table(x, centres)
-    out = []
-    for j in range(len(centres)):
-        acc = F.lit(0.0)
-        for i in range(width):
-            diff = x[i] - table[j][i]
-            acc = acc + diff * diff
-        out.append(F.struct(acc.alias("d"), F.lit(j).alias("j")))
-    return F.array(*out)
-
-
-def nearest(x: Column, centres: list[list[float]]) -> Column:
-    """Index of the nearest centre (squared Euclidean), ties -> lowest index."""
-    return F.array_min(_candidates(x, centres))["j"]
-
-
-def nearest_distance(x: Column, centres: list[list[float]]) -> Column:
-    return F.array_min(_candidates(x, centres))["d"]
-
-
 def _check_k(n: int, k: int):
     if k < 2:
         raise ValueError("k must be at least 2")
@@ -97,33 +64,83 @@ def initial_centres(points: DataFrame, k: int, id_col: str = "id", column: str =
     return [list(map(float, r[column])) for r in ranked]
 
 
-def centre_means(assigned: DataFrame, column: str = "vector", width: int | None = None) -> dict:
-    """Mean vector per cluster (k rows)."""
-    width = width if width is not None else vector_width(assigned, column)
-    return group_means(assigned, "cluster_id", column, width)
+def centre_means(points: DataFrame, centres: list, column: str = "vector") -> dict:
+    """{cluster: mean vector} of the points nearest to each centre. A task
+    hands on one partial sum per cluster (k rows)."""
+    import numpy as np
+    import pyarrow as pa
+    width = len(centres[0])
+    shared = np.array(centres, dtype=float)
+
+    def run(batches):
+        n, sums = np.zeros(len(shared), dtype=np.int64), np.zeros(shared.shape)
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            if len(x):
+                at, _ = _nearest(x, shared)
+                n += np.bincount(at, minlength=len(shared))
+                np.add.at(sums, at, x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(shared)), pa.int32()), pa.array(n), pa.array(
+            sums.tolist(), pa.list_(pa.float64()))], names=["cluster_id", "n", "s"])
+
+    parts = points.select(column).mapInArrow(run, "cluster_id int, n long, s array<double>").where("n > 0")
+    rows = parts.groupBy("cluster_id").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}")
+                                                                    for i in range(width)]).collect()
+    return {r["cluster_id"]: [float(r[f"s{i}"]) / r["n"] for i in range(width)] for r in rows}
 
 
 @dataclass
 class LloydResult:
     centres: list
     steps: int
-
-
-def lloyd(points: DataFrame, centres: list, steps: int = 3, column: str = "vector") -> LloydResult:
-    """Fixed number of Lloyd steps from given centres (an empty
-    cluster keeps its centre)."""
-    centres = [list(c) for c in centres]
-    for _ in range(steps):
-        assigned = points.select(column, nearest(F.col(column), centres).alias("cluster_id"))
-        means = centre_means(assigned, column, len(centres[0]))
-        centres = [means.get(j, centres[j]) for j in range(len(centres))]
+    converged: bool = False
+
+
+def lloyd(points: DataFrame, centres: list, steps: int = 300, column: str = "vector") -> LloydResult:
+    """Lloyd steps from given centres until they stop moving, at most
+    ``steps`` (an empty cluster keeps its centre). The result says how
+    many were made and whether the centres had stopped."""
+    centres = [list(map(float, c)) for c in centres]
+    for done in range(1, steps + 1):
+        means = centre_means(points, centres, column)
+        moved = [means.get(j, centres[j]) for j in range(len(centres))]
+        if moved == centres:
+            return LloydResult(centres, done, True)
+        centres = moved
     return LloydResult(centres, steps)
 
 
 def assign(points: DataFrame, centres: list, column: str = "vector") -> DataFrame:
-    """Attach labels (and squared distance to the centre)."""
-    return points.withColumns({"cluster_id": nearest(F.col(column), centres),
-                               "sq_distance": nearest_distance(F.col(column), centres)})
+    """Attach labels (and squared distance to the centre), in Arrow
+    batches against the k centres."""
+    import numpy as np
+    import pyarrow as pa
+    points = points.drop("cluster_id", "sq_distance")
+    schema = StructType([*points.schema.fields, StructField("cluster_id", IntegerType()),
+                         StructField("sq_distance", DoubleType())])
+    names, where = schema.names, points.columns.index(column)
+    shared = np.array(centres, dtype=float)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at, d = _nearest(_matrix(batch.column(where)), shared)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(d)], names=names)
+
+    return points.mapInArrow(run, schema)
+
+
+def kmeans(points: DataFrame, k: int, id_col: str = "id", column: str = "vector", seed: int = 42, n_init: int = 10,
+           max_iter: int = 300) -> LloydResult:
+    """C1 on stored vectors: ``n_init`` converged Lloyd runs from different
+    seeds, the one of least inertia (ties: first)."""
+    best = None
+    for i in range(n_init):
+        fit = lloyd(points, initial_centres(points, k, id_col, column, seed + i), max_iter, column)
+        cost = inertia(assign(points.select(column), fit.centres, column)).first()[0]
+        if best is None or cost < best[0]:
+            best = (cost, fit)
+    return best[1]
 
 
 def inertia(assigned: DataFrame) -> DataFrame:
@@ -160,13 +177,8 @@ def silhouette(assigned: DataFrame, column: str = "vector") -> DataFrame:
 
     def mean_sq(j):
         mu = mean_vectors[j]
-        if len(mu) <= UNROLL_WIDTH:
-            dot = F.lit(0.0)
-            for i, v in enumerate(mu):
-                dot = dot + x[i] * F.lit(float(v))
-        else:
-            dot = F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in mu]), lambda a, b: a * b), F.lit(0.0),
-                              lambda a, v: a + v)
+        dot = F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in mu]), lambda a, b: a * b), F.lit(0.0),
+                          lambda a, v: a + v)
         return xx - F.lit(2.0) * dot + F.lit(info[j][1])
 
     own_n = F.element_at(F.create_map(*sum(([F.lit(j), F.lit(info[j][0])] for j in ids), [])), F.col("cluster_id"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
 from pyspark.sql.window import Window
 
 from lodestar.functions.columns import all_of
@@ -59,9 +60,13 @@ def global_importance(shap: DataFrame, top_n: int = 10, **filters) -> DataFrame:
             .orderBy(F.col("mean_abs_shap").desc(), "feature_name").limit(top_n))
 
 
-def local_attribution(shap: DataFrame, instance_id: int, top_n: int | None = None, **filters) -> DataFrame:
-    """Q5: one instance's contributions by |shap| descending, optional top n."""
-    out = (_eq_filters(shap, **filters).filter(F.col("instance_id") == F.lit(instance_id))
+def local_attribution(shap: DataFrame, instance_id, top_n: int | None = None, **filters) -> DataFrame:
+    """Q5: one instance's contributions by |shap| descending, optional top
+    n. ``instance_id``: a value, or a one-row frame that holds it."""
+    chosen = _eq_filters(shap, **filters)
+    chosen = chosen.join(instance_id, "instance_id", "left_semi") if isinstance(instance_id, DataFrame) else \
+        chosen.filter(F.col("instance_id") == F.lit(instance_id))
+    out = (chosen
            .select("instance_id", "feature_name", "feature_value", "shap_value")
            .orderBy(F.abs("shap_value").desc(), "feature_name"))
     return out.limit(top_n) if top_n else out
@@ -86,31 +91,81 @@ def run_summary(counterfactuals: DataFrame, clusters: DataFrame, rules: DataFram
     return out.drop("k")
 
 
-def _json_map(c):
-    return F.from_json(c, "map<string,string>")
+SIDES = ("original", "counterfactual")
 
 
-def changed_features(counterfactuals: DataFrame, union_keys: bool = True) -> DataFrame:
-    """Q7 (key union) / Q8 (original keys only): one row per changed
-    feature with old and new value as text, sorted by feature."""
-    o = _json_map(F.col("original_features"))
-    c = _json_map(F.col("counterfactual_features"))
-    keys = F.array_union(F.map_keys(o), F.map_keys(c)) if union_keys else F.map_keys(o)
-    rows = counterfactuals.select("id", "run_id", "model_name", "instance_id", o.alias("o"), c.alias("c"),
-                                  F.explode(keys).alias("feature"))
-    old = F.coalesce(F.col("o")[F.col("feature")], F.lit("None"))
-    new = F.coalesce(F.col("c")[F.col("feature")], F.lit("None"))
-    same = _values_equal(F.col("o")[F.col("feature")], F.col("c")[F.col("feature")])
-    return rows.filter(~same).select("id", "run_id", "model_name", "instance_id", "feature",
-                                     old.alias("original_value"), new.alias("counterfactual_value"))
+def _typed(df: DataFrame) -> bool:
+    """The records carry both sides as structs next to their JSON text."""
+    return all(isinstance(df.schema[c].dataType, StructType) if c in df.columns else False for c in SIDES)
+
+
+def _json_side(c: str):
+    """A JSON object as map from key to (text with its JSON quotes, plain
+    text); a JSON null has no text."""
+    return F.transform_values(F.from_json(F.col(c), "map<string,variant>"), lambda k, v: F.struct(
+        F.nullif(F.to_json(v), F.lit("null")).alias("json"), v.cast("string").alias("plain")))
+
+
+def _is_number(json):
+    return json.isNotNull() & ~json.startswith('"') & json.try_cast("double").isNotNull()
 
 
 def _values_equal(a, b):
-    """Python equality of two JSON scalars held as text: numbers compare
-    numerically (9 == 9.0), other values textually, null == null."""
-    na, nb = a.try_cast("double"), b.try_cast("double")
-    numeric = na.isNotNull() & nb.isNotNull()
-    return F.when(numeric, na == nb).otherwise(a.eqNullSafe(b))
+    """Python equality of two JSON scalars held as JSON text: numbers
+    compare as numbers (9 == 9.0), texts as texts ("01" is not "1")."""
+    return F.when(_is_number(a) & _is_number(b), a.try_cast("double") == b.try_cast("double")).otherwise(a.eqNullSafe(b))
+
+
+def _number_text(n):
+    """A number with 6 fixed decimals (engine independent)."""
+    return (F.round(n * F.lit(1e6), 0) / F.lit(1e6)).cast("decimal(38,6)").cast("string")
+
+
+def _json_text(v):
+    return F.when(_is_number(v["json"]), _number_text(v["json"].try_cast("double"))).otherwise(
+        F.coalesce(v["plain"], F.lit("None")))
+
+
+def _changes(df: DataFrame, union_keys: bool):
+    """Array of (feature, original_value, counterfactual_value) of the
+    changed features, sorted by feature. Typed sides compare by their
+    column types and parse nothing; else each side is parsed once."""
+    if _typed(df):
+        types = [{f.name: f.dataType for f in df.schema[c].dataType.fields} for c in SIDES]
+        names = sorted(set(types[0]) | (set(types[1]) if union_keys else set()))
+
+        def side(i, name):
+            if name not in types[i]:
+                return F.lit(None).cast(types[1 - i][name])
+            return F.col(f"{SIDES[i]}.`{name}`")
+
+        def text(i, name):
+            v = side(i, name)
+            shown = _number_text(v.cast("double")) if isinstance(types[i].get(name), NumericType) else v.cast("string")
+            return F.coalesce(shown, F.lit("None"))
+        items = [F.when(~side(0, n).eqNullSafe(side(1, n)), F.struct(
+            F.lit(n).alias("feature"), text(0, n).alias("original_value"), text(1, n).alias("counterfactual_value")))
+            for n in names]
+        return F.filter(F.array(*items), lambda x: x.isNotNull())
+    parsed = F.array(F.struct(_json_side("original_features").alias("o"),
+                              _json_side("counterfactual_features").alias("c")))
+
+    def changed(p):
+        o, c = p["o"], p["c"]
+        keys = F.array_union(F.map_keys(o), F.map_keys(c)) if union_keys else F.map_keys(o)
+        rest = F.filter(F.array_sort(keys), lambda k: ~_values_equal(o[k]["json"], c[k]["json"]))
+        return F.transform(rest, lambda k: F.struct(k.alias("feature"), _json_text(o[k]).alias("original_value"),
+                                                    _json_text(c[k]).alias("counterfactual_value")))
+    return F.transform(parsed, changed)[0]
+
+
+def changed_features(counterfactuals: DataFrame, union_keys: bool = True) -> DataFrame:
+    """Q7 (key union) / Q8 (original keys only): one row per changed
+    feature with old and new value as text, sorted by feature."""
+    rows = counterfactuals.select("id", "run_id", "model_name", "instance_id",
+                                  F.explode(_changes(counterfactuals, union_keys)).alias("x"))
+    return rows.select("id", "run_id", "model_name", "instance_id", "x.feature", "x.original_value",
+                       "x.counterfactual_value")
 
 
 def explained_instances(shap: DataFrame, **filters) -> DataFrame:
@@ -152,9 +207,12 @@ def explorer_summary(filtered: DataFrame) -> DataFrame:
                         F.coalesce(F.avg("distance"), F.lit(0.0)).alias("mean_distance"))
 
 
-def instance_counterfactuals(counterfactuals: DataFrame, instance_id: int) -> DataFrame:
-    """Q16: counterfactuals of one instance, nearest first."""
-    return counterfactuals.filter(F.col("instance_id") == F.lit(instance_id)).orderBy("distance", "id")
+def instance_counterfactuals(counterfactuals: DataFrame, instance_id) -> DataFrame:
+    """Q16: counterfactuals of one instance (a value, or a one-row frame
+    that holds it), nearest first."""
+    chosen = counterfactuals.join(instance_id, "instance_id", "left_semi") if isinstance(instance_id, DataFrame) \
+        else counterfactuals.filter(F.col("instance_id") == F.lit(instance_id))
+    return chosen.orderBy("distance", "id")
 
 
 def rule_filter(rules: DataFrame, min_quality: float = 0.0, clusters=()) -> DataFrame:
@@ -163,9 +221,10 @@ def rule_filter(rules: DataFrame, min_quality: float = 0.0, clusters=()) -> Data
     return out.filter(F.col("cluster_id").isin(list(clusters))) if clusters else out
 
 
-def rule_summary(rules: DataFrame) -> DataFrame:
-    """Q17 (summary part): count, total support, mean quality, mean distance."""
-    return rules.agg(F.count(F.lit(1)).alias("n_rules"), F.sum("support").cast("bigint").alias("total_support"),
+def rule_summary(rules: DataFrame, keys=()) -> DataFrame:
+    """Q17 (summary part): count, total support, mean quality, mean
+    distance, in all or per ``keys``."""
+    return rules.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rules"), F.sum("support").cast("bigint").alias("total_support"),
                      F.avg("quality_score").alias("mean_quality"), F.avg("avg_distance").alias("mean_distance"))
 
 
@@ -199,28 +258,32 @@ def local_summary(shap: DataFrame) -> DataFrame:
 
 
 def listing(counterfactuals: DataFrame) -> DataFrame:
-    """Q21: counterfactual listing ordered by instance and distance with its
-    changes (original keys) gathered per counterfactual."""
-    ch = changed_features(counterfactuals, union_keys=False)
-    text = F.concat(F.col("feature"), F.lit(": "), F.col("original_value"), F.lit(" -> "), F.col("counterfactual_value"))
-    per_cf = ch.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("changes"))
-    return (counterfactuals.select("id", "instance_id", "distance").join(per_cf, "id", "left")
-            .withColumn("changes", F.coalesce("changes", F.lit("")))
+    """Q21: counterfactual listing ordered by instance and distance with
+    its changes (original keys) as text."""
+    text = F.transform(_changes(counterfactuals, union_keys=False), lambda x: F.concat(
+        x["feature"], F.lit(": "), x["original_value"], F.lit(" -> "), x["counterfactual_value"]))
+    return (counterfactuals.select("id", "instance_id", "distance", F.array_join(text, "; ").alias("changes"))
             .orderBy("instance_id", "distance", "id"))
 
 
-def signature(original="original_features", counterfactual="counterfactual_features"):
+def signature(counterfactuals: DataFrame):
     """V3: sorted names of changed features over the key union (Python
-    equality on JSON values, so 9 == 9.0)."""
-    o = _json_map(F.col(original))
-    c = _json_map(F.col(counterfactual))
-    keys = F.array_sort(F.array_union(F.map_keys(o), F.map_keys(c)))
-    return F.filter(keys, lambda k: ~_values_equal(o[k], c[k]))
-
-
-def value_text(v):
-    """Canonical text of a JSON scalar: numbers with 6 fixed decimals
-    (engine independent), other values as they are, null as 'None'."""
-    n = v.try_cast("double")
-    num = F.round(n * F.lit(1e6), 0) / F.lit(1e6)
-    return F.when(n.isNotNull(), num.cast("decimal(38,6)").cast("string")).otherwise(F.coalesce(v, F.lit("None")))
+    equality on JSON values, so 9 == 9.0 and "01" != "1")."""
+    return F.transform(_changes(counterfactuals, union_keys=True), lambda x: x["feature"])
+
+
+def parse_json(df: DataFrame, column: str, keys) -> DataFrame:
+    """Q10: one JSON object per row as (keys.., value map). A value that
+    is not an object fails the query."""
+    m = F.from_json(F.col(column), "map<string,string>")
+    bad = F.raise_error(F.lit("expected a JSON object"))
+    return df.select(*keys, F.when(m.isNull() & F.col(column).isNotNull(), bad).otherwise(m).alias("value"))
+
+
+def parse_json_list(df: DataFrame, column: str, keys) -> DataFrame:
+    """Q10: one JSON array of scalars per row as array<string>. A value
+    that is not an array fails the query."""
+    a = F.from_json(F.col(column), "array<string>")
+    bad = F.raise_error(F.lit("expected a JSON array"))
+    shaped = F.col(column).rlike(r"^\s*\[") & a.isNotNull()
+    return df.select(*keys, F.when(F.col(column).isNotNull() & ~shaped, bad).otherwise(a).alias("value"))

@@ -98,14 +98,16 @@ class FeatureModel:
         return spark.createDataFrame(rows, StructType([StructField("ord", LongType()),
                                                         StructField("name", StringType())]))
 
-    def scaled(self, df: DataFrame) -> DataFrame:
-        """(x - mean) / std with NaN/null -> 0, renamed ``_scaled``, raw dropped."""
+    def scaled(self, df: DataFrame, keep_raw: bool = False) -> DataFrame:
+        """(x - mean) / std with NaN/null -> 0, renamed ``_scaled``, raw
+        dropped (unless a later step still needs the raw columns)."""
         exprs = {}
         for c, (mean, std) in self.scale_stats.items():
             if c in df.columns:
                 z = (F.col(c) - F.lit(mean)) / F.lit(std)
                 exprs[f"{c}_scaled"] = F.coalesce(F.nanvl(z, F.lit(None).cast("double")), F.lit(0.0))
-        return df.withColumns(exprs).drop(*[c for c in self.scale_stats if c in df.columns]) if exprs else df
+        gone = [] if keep_raw else [c for c in self.scale_stats if c in df.columns]
+        return df.withColumns(exprs).drop(*gone) if exprs else df
 
     def numeric_columns(self) -> list:
         return [F.col(f"{c}_scaled") if c in self.scale_stats else F.col(c).cast("double") for c in self.numeric]
@@ -119,7 +121,7 @@ class FeatureModel:
 
     def transform(self, df: DataFrame, output: str = "features", keep: bool = True) -> DataFrame:
         """Prepared rows -> ``output`` array<double> aligned to the fitted schema."""
-        prepared = self.scaled(derive(df, self.spec))
+        prepared = self.scaled(derive(df, self.spec), keep_raw=True)
         vec = F.array(*(self.numeric_columns() + self.dummy_columns()))
         return prepared.withColumn(output, vec) if keep else prepared.select(self.spec.key, vec.alias(output))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.sources.files import stored
+
 
 def accuracy_f1(df: DataFrame, label: str = "target", prediction: str = "prediction") -> DataFrame:
     """M7 + M8 in one pass: accuracy and F1 of the positive class."""
@@ -18,24 +20,23 @@ def accuracy_f1(df: DataFrame, label: str = "target", prediction: str = "predict
                          (F.lit(2.0) * tp) / (F.lit(2) * tp + fp + fn)).otherwise(F.lit(0.0)).alias("f1"))
 
 
-def roc_auc(df: DataFrame, label: str = "target", score: str = "p1", buckets: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "target", score: str = "p1") -> DataFrame:
     """M9: tie-aware Mann-Whitney AUC without a global window.
 
     Rows collapse to distinct scores first (so a hot score is one row),
-    scores in [0, 1] are split into ``buckets`` ranges, per-bucket
-    negative counts (``buckets`` rows) give offsets, and the running sum
-    runs in a window partitioned by bucket.
+    which are dealt to range partitions of equal size and stored; the
+    negatives per partition (one row each) give offsets, and the running
+    sum runs inside a partition, however the scores are spread.
     AUC = sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N); null
     when a class is absent."""
     y = F.col(label)
     per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    b = F.least(F.greatest(F.floor(F.col("s") * F.lit(buckets)), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    per = per.withColumn("bucket", b)
-    totals = per.groupBy("bucket").agg(F.sum("neg").alias("bneg"))
+    per = stored(per.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "auc")
+    totals = per.groupBy("part").agg(F.sum("neg").alias("bneg"))
     offs = totals.withColumn("offset", F.coalesce(F.sum("bneg").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "offset")
-    w = Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (per.join(F.broadcast(offs), "bucket")
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")
+    w = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (per.join(offs, "part")
               .withColumn("below", F.col("offset") + F.coalesce(F.sum("neg").over(w), F.lit(0))))
     return ranked.agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
@@ -54,16 +55,16 @@ def class_report(df: DataFrame, label: str = "target", prediction: str = "predic
     per = (classes.join(tp, "c", "left").join(sup, "c", "left").join(pp, "c", "left").fillna(0, ["tp", "support", "predicted"])
            .withColumn("precision", F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0))
            .withColumn("recall", F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0))
-           .withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+           .withColumn("f1-score", F.when(F.col("precision") + F.col("recall") > 0,
                                     F.lit(2.0) * F.col("precision") * F.col("recall") /
                                     (F.col("precision") + F.col("recall"))).otherwise(0.0)))
     long = per.select(F.explode(F.array(*[
         F.struct(F.concat(F.col("c").cast("string"), F.lit(f"_{m}")).alias("metric_name"),
-                 F.col(m).cast("double").alias("metric_value")) for m in ("precision", "recall", "f1", "support")]))
+                 F.col(f"`{m}`").cast("double").alias("metric_value")) for m in ("precision", "recall", "f1-score", "support")]))
         .alias("e")).select("e.*")
-    avgs = per.agg(*[F.avg(m).alias(f"macro avg_{m}") for m in ("precision", "recall", "f1")],
-                   *[(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(f"weighted avg_{m}")
-                     for m in ("precision", "recall", "f1")])
+    avgs = per.agg(*[F.avg(F.col(f"`{m}`")).alias(f"macro avg_{m}") for m in ("precision", "recall", "f1-score")],
+                   *[(F.sum(F.col(f"`{m}`") * F.col("support")) / F.sum("support")).alias(f"weighted avg_{m}")
+                     for m in ("precision", "recall", "f1-score")])
     avg_long = avgs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric_name"), F.col(f"`{c}`").alias("metric_value"))
                                                for c in avgs.columns])).alias("e")).select("e.*")
     return long.unionByName(avg_long)

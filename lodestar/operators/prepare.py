@@ -2,29 +2,31 @@
 
 Splits and samples rank rows by a hash draw of (key, seed), so they are
 reproducible, partition independent and never need a global window:
-per-class quotas are resolved from (class, hash bucket) counts, which
-are small, and a row_number runs only inside each (class, bucket).
+per-class quotas are resolved from (class, hash bucket) counts, refined
+until a bucket is small, and a row_number runs only inside that one.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.columns import uniform_draw
-from lodestar.operators.features import collect_bounded
+from lodestar.functions.columns import strip, uniform_draw
+from lodestar.sources.files import stored
 
-N_BUCKETS = 4096
+# Buckets per level; draws are multiples of 1 / (2^31 - 1), so that three
+# levels leave rows of equal draws alone.
+N_BUCKETS = 2048
+SPLIT_LEVELS = 2
+DRAW_STEP = 2.0 ** -32
 # Fixed hash salts: train/test split, nested tune split, sample.
 SPLIT_SALT, TUNE_SALT, SAMPLE_SALT = 1, 2, 3
 
 
 def trim_categoricals(df: DataFrame, categorical) -> DataFrame:
     """Trim every categorical column that is present, one projection."""
-    exprs = {c: F.trim(F.col(c)) for c in categorical if c in df.columns}
+    exprs = {c: strip(F.col(c)) for c in categorical if c in df.columns}
     return df.withColumns(exprs) if exprs else df
 
 
@@ -38,7 +40,7 @@ def _drop_first(c, s: str):
 
 def normalise_label(c):
     """Trim, then remove the first ',' and the first ' ' (not all)."""
-    t = F.trim(c)
+    t = strip(c)
     t = _drop_first(t, ",")
     return _drop_first(t, " ")
 
@@ -63,45 +65,44 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
                      salt: int = 1, buckets: int = N_BUCKETS) -> DataFrame:
     """Adds ``is_test``. Test count = ceil(n * test_size) split
     over classes by largest remainder; inside a class the rows with the
-    smallest hash draw go to test. Only (class, bucket) counts reach the
-    driver (classes x buckets rows)."""
+    smallest (hash draw, key) go to test.
+
+    The last such row of each class is found from counts of draws by
+    bucket, the boundary bucket split again until it is small; the flag is
+    then a comparison with it. Only (key, label, draw) is read for that,
+    from a stored copy, and only one row per class is joined to the rows."""
     u = uniform_draw([key, seed, salt])
-    tagged = df.withColumns({"__u": u, "__b": F.floor(u * F.lit(buckets)).cast("int")})
-    counts = collect_bounded(tagged.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("n")),
-                             what="class x bucket counts")
-    per_class: dict = {}
-    for r in counts:
-        per_class.setdefault(r[label], {})[r["__b"]] = r["n"]
-    total = sum(sum(v.values()) for v in per_class.values())
-    n_test = math.ceil(total * test_size)
-    quota = {c: sum(v.values()) * test_size for c, v in per_class.items()}
-    take = {c: int(math.floor(q)) for c, q in quota.items()}
-    rest = n_test - sum(take.values())
-    for c in sorted(quota, key=lambda c: (-(quota[c] - take[c]), str(c)))[:max(rest, 0)]:
-        take[c] += 1
-    # boundary bucket and how many rows it contributes, per class
-    bound = {}
-    for c, bk in per_class.items():
-        need, acc = take[c], 0
-        b_star, r = -1, 0
-        for b in sorted(bk):
-            if acc + bk[b] >= need:
-                b_star, r = b, need - acc
-                break
-            acc += bk[b]
-        bound[c] = (b_star, r)
-    cond = F.lit(False)
-    edge = F.lit(False)
-    for c, (b_star, r) in bound.items():
-        in_c = F.col(label) == F.lit(c)
-        cond = cond | (in_c & (F.col("__b") < F.lit(b_star)))
-        edge = edge | (in_c & (F.col("__b") == F.lit(b_star)))
-    # only the boundary buckets (about n / buckets rows per class) are ranked
-    need = F.create_map(*sum(([F.lit(c), F.lit(r)] for c, (_, r) in bound.items()), []))
-    w = Window.partitionBy(label, "__b").orderBy("__u", key)
-    inner = tagged.filter(~edge).withColumn("is_test", cond)
-    ranked = tagged.filter(edge).withColumn("is_test", F.row_number().over(w) <= need[F.col(label)])
-    return inner.unionByName(ranked).drop("__u", "__b")
+    thin = stored(df.select(F.col(key).alias("k"), F.col(label).alias("c"), u.alias("u")), "split")
+    per = thin.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    everything = Window.partitionBy()
+    share = F.col("n") * F.lit(test_size)
+    # one row per class: largest remainders take what the floors leave over
+    order = F.row_number().over(Window.orderBy((share - F.floor(share)).desc(), F.col("c").cast("string")))
+    extra = F.ceil(F.sum("n").over(everything) * F.lit(test_size)) - F.sum(F.floor(share)).over(everything)
+    state = per.select(F.col("c").alias("cls"), (F.floor(share) + (order <= extra).cast("int")).cast("bigint").alias("need"),
+                       F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    for _ in range(SPLIT_LEVELS):
+        inside = thin.join(state, F.col("c").eqNullSafe(F.col("cls"))).where("u >= lo AND u < hi AND need > 0")
+        step = (F.col("hi") - F.col("lo")) / buckets
+        sums = inside.groupBy("cls", "need", "lo", "hi", F.least(F.floor((F.col("u") - F.col("lo")) / step),
+                              F.lit(buckets - 1)).cast("int").alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("u").alias("first"), F.max("u").alias("last"))
+        upto = F.sum("n").over(Window.partitionBy("cls").orderBy("b"))
+        edge = sums.withColumn("upto", upto).where(F.col("upto") >= F.col("need")).groupBy(F.col("cls").alias("edge_cls")).agg(
+            F.min(F.struct("b", "n", "upto", "first", "last")).alias("e"))
+        state = state.join(edge, F.col("cls").eqNullSafe(F.col("edge_cls")), "left").select(
+            "cls", (F.col("need") - F.coalesce(F.col("e.upto") - F.col("e.n"), F.lit(0))).alias("need"),
+            # the bucket's own smallest and largest draw bound it without rounding
+            F.coalesce("e.first", "lo").alias("lo"),
+            F.when(F.col("e").isNull(), F.col("hi")).otherwise(F.col("e.last") + F.lit(DRAW_STEP)).alias("hi"))
+    rest = thin.join(state, F.col("c").eqNullSafe(F.col("cls"))).where("u >= lo AND u < hi AND need > 0")
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy("u", "k"))
+    last = rest.withColumn("__n", nth).where(F.col("__n") == F.col("need")).select(
+        F.col("cls").alias("__c"), F.col("u").alias("__u"), F.col("k").alias("__k"))
+    bounds = stored(last, "split-last")
+    joined = df.join(bounds, F.col(label).eqNullSafe(F.col("__c")), "left")
+    below = (u < F.col("__u")) | ((u == F.col("__u")) & (F.col(key) <= F.col("__k")))
+    return joined.withColumn("is_test", F.coalesce(below, F.lit(False))).drop("__c", "__u", "__k")
 
 
 def sample_cases(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -111,8 +112,11 @@ def sample_cases(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("__u", u).orderBy("__u", key).limit(n).drop("__u").orderBy(key)
 
 
-def select_instances(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def select_instances(df: DataFrame, key: str, ids: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Explicit selection by key (left semi) plus the ids that do not
-    exist (left anti) so the caller can report them."""
+    exist (left anti); ``strict`` makes such ids an error."""
     ids = ids.select(F.col(ids.columns[0]).alias(key))
-    return df.join(ids, key, "left_semi"), ids.join(df.select(key), key, "left_anti")
+    unknown = ids.join(df.select(key), key, "left_anti")
+    if strict and (first := unknown.first()) is not None:
+        raise ValueError(f"{key} {first[0]!r} is not in the table")
+    return df.join(ids, key, "left_semi"), unknown

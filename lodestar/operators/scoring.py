@@ -67,9 +67,6 @@ class Scorecard:
             f"{prefix}prediction": (z > F.lit(float(self.threshold))).cast("int"),
         })
 
-    def prediction_column(self) -> Column:
-        return (self.margin() > F.lit(float(self.threshold))).cast("int")
-
 
 # Fixed scorecard of the order case table (used by the registered queries).
 ORDER_SCORECARD = Scorecard(
@@ -110,9 +107,9 @@ class MLlibScorer:
                 raise AttributeError("classification needs a model with class probabilities")
         model.setPredictionCol("__pred").setProbabilityCol("__prob").setRawPredictionCol("__raw")
         out = model.transform(enc)
-        return (out.withColumn(f"{prefix}p1", vector_to_array("__prob")[1])
-                .withColumn(f"{prefix}prediction", F.col("__pred").cast("int"))
-                .drop("__features", "__pred", "__prob", "__raw"))
+        # the input's own columns and the scores, not the encoder's
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], vector_to_array("__prob")[1].alias(f"{prefix}p1"),
+                          F.col("__pred").cast("int").alias(f"{prefix}prediction"))
 
 
 def score(scorer, df: DataFrame, prefix: str = "") -> DataFrame:

@@ -137,8 +137,11 @@ def feasibility_checks(spec: CaseSpec, ctx: SearchContext, orig: str = "orig") -
     checks["ordinal_not_decreasing"] = all_of(ordc)
     checks["allowed_destination"] = all_of(
         [F.coalesce(~F.col(c).isin(list(vals)), F.lit(True)) for c, vals in spec.forbidden.items()])
+    # the training-derived default range, whatever range the caller drew from
     rng = []
-    for c, (lo, hi) in spec.permitted.items():
+    for c, (lo, hi) in ctx.permitted.items():
+        if c not in spec.actionable:
+            continue
         rng.append((F.col(c) >= F.lit(float(lo))) & (F.col(c) <= F.lit(float(hi))))
     checks["within_permitted"] = all_of(rng)
     return checks
@@ -194,9 +197,10 @@ def search(cases: DataFrame, spec: CaseSpec, ctx: SearchContext, scorer, n_candi
 
     Output: key, cf_rank, cand, original_class, target_class, distance,
     ``orig`` struct, flat counterfactual features, ``flipped``.
-    Candidates are reconciled (P19) before they are scored, so the
-    recorded target class is the class of the stored counterfactual;
-    ``strict`` additionally requires it to be the desired class (G5).
+    A candidate counts if it has the desired class as it was drawn. It is
+    then reconciled (P19) and scored again: target_class is the class of
+    the stored counterfactual and ``flipped`` says whether that is still
+    the desired one; ``strict`` keeps only those (G5).
     """
     key = spec.key
     # Hash-partition the (small) case table by key, sized for the exploded
@@ -209,13 +213,15 @@ def search(cases: DataFrame, spec: CaseSpec, ctx: SearchContext, scorer, n_candi
     cands = generate_candidates(scored, spec, ctx, n_candidates=n_candidates, seed=seed,
                                 features_to_vary=features_to_vary, permitted_range=permitted_range,
                                 max_varied=max_varied)
-    cands = scorer.score(reconcile_candidates(cands, spec))
     want = (F.lit(1) - F.col("original_class")) if desired == "opposite" else F.lit(int(desired))
+    drawn = scorer.score(cands).withColumn("__drawn", F.col("prediction") == want).drop("margin", "p1", "prediction")
+    cands = scorer.score(reconcile_candidates(drawn, spec))
     flipped = F.col("prediction") == want
-    cands = cands.withColumns({"flipped": flipped, "__ok": flipped & feasible(spec, ctx),
+    ok = F.col("__drawn") & feasible(spec, ctx)
+    feats = [c for c in spec.features if c in cases.columns]
+    cands = cands.withColumns({"flipped": flipped, "__ok": ok & flipped if strict else ok,
                                "distance": distance(spec, ctx)})
     best = top_k(cands, key, total_cfs, ok="__ok")
-    feats = [c for c in spec.features if c in cases.columns]
     return best.select(key, "cf_rank", "cand", "original_class", F.col("prediction").alias("target_class"),
                        "distance", "orig", *feats, "flipped")
 

@@ -69,9 +69,17 @@ def q04_global_importance(spark, sf_dir):
 def x08_counterfactual_search(spark, sf_dir):
     """Top-5 feasible counterfactuals per case and run."""
     found = ctx.counterfactuals_found(spark, sf_dir)
-    return rounded(found.select("run_id", "case_id", "cf_rank", "cand", "original_class", "target_class",
-                                "distance", "total_price", "line_count", "sum_qty", "avg_discount",
-                                "segment", "priority", "priority_num"))
+    return rounded(found.select(*FOUND_COLUMNS))
+
+
+FOUND_COLUMNS = ["run_id", "case_id", "cf_rank", "cand", "original_class", "target_class", "flipped", "distance",
+                 "total_price", "line_count", "sum_qty", "avg_discount", "segment", "priority", "priority_num"]
+
+
+@register("x05_strict_search")
+def x05_strict_search(spark, sf_dir):
+    """X5 with ``strict``: the stored counterfactual still flips."""
+    return rounded(ctx.counterfactuals_found(spark, sf_dir, strict=True).select(*FOUND_COLUMNS))
 
 
 # ---------------------------------------------------------------- artifacts
@@ -85,7 +93,7 @@ def _cfs(spark, sf_dir):
 def x09_counterfactual_records(spark, sf_dir):
     """X9 + V3: stored records with provenance and intervention signature."""
     cfs = _cfs(spark, sf_dir)
-    sig = explore.signature()
+    sig = explore.signature(cfs)
     return rounded(cfs.select("id", "model_name", "run_id", "instance_id", "original_class", "target_class",
                               "distance", "created_at", F.array_join(sig, ",").alias("signature"),
                               F.size(sig).alias("n_changed")))
@@ -107,24 +115,15 @@ def x10_uncovered_cases(spark, sf_dir):
 @register("e03_corpus_ranges")
 def e03_corpus_ranges(spark, sf_dir):
     """Per run and numeric feature, the corpus range max(range, 1)."""
-    cfs = _cfs(spark, sf_dir)
-    rows = []
-    for run_id, *_ in ctx.RUNS:
-        encoder, _ = ctx.encoded_run(cfs, run_id)
-        rows += [(run_id, f, float(r)) for f, r in encoder.ranges.items()]
-    # the fitted state is model-sized (features per run)
-    return rounded(spark.createDataFrame(rows, "run_id string, feature string, feature_range double"))
+    from lodestar.operators import encode as enc
+    return rounded(enc.range_table(enc.typed_pairs(_cfs(spark, sf_dir)), ctx.ENC_NUMERIC, ["run_id"]))
 
 
 @register("e08_transition_vocabulary")
 def e08_transition_vocabulary(spark, sf_dir):
     """E7 + E8: the sorted transition vocabulary learned per run."""
-    cfs = _cfs(spark, sf_dir)
-    rows = []
-    for run_id, *_ in ctx.RUNS:
-        encoder, _ = ctx.encoded_run(cfs, run_id)
-        rows += [(run_id, i, t) for i, t in enumerate(encoder.vocabulary)]
-    return spark.createDataFrame(rows, "run_id string, position int, token string")
+    from lodestar.operators import encode as enc
+    return enc.vocabulary_table(enc.typed_pairs(_cfs(spark, sf_dir)), ctx.ENC_CATEGORICAL, ["run_id"])
 
 
 @register("e09_change_vectors")
@@ -144,6 +143,21 @@ def e09_change_vectors(spark, sf_dir):
     return rounded(out)
 
 
+@register("e11_clustering_matrix")
+def e11_clustering_matrix(spark, sf_dir):
+    """The JSON text parsed leniently, encoded, as ML vectors."""
+    from lodestar.operators import encode as enc
+    from pyspark.ml.functions import vector_to_array
+    text = _cfs(spark, sf_dir).drop("original", "counterfactual")
+    out = None
+    for run_id, *_ in ctx.RUNS:
+        encoder, encoded = ctx.encoded_run(text, run_id)
+        made = enc.clustering_matrix(encoded, encoder).select("id", "run_id", vector_to_array("features").alias("v"))
+        out = made if out is None else out.unionByName(made)
+    return rounded(out.select("id", "run_id", F.size("v").alias("width"),
+                              F.aggregate("v", F.lit(0.0), lambda a, v: a + v).alias("vector_sum")))
+
+
 def _distilled(spark, sf_dir):
     return ctx.distilled(spark, sf_dir)
 
@@ -161,13 +175,7 @@ def c2_cluster_assignment(spark, sf_dir):
 @register("c4_silhouette")
 def c4_silhouette(spark, sf_dir):
     """C4: exact silhouette (squared Euclidean) per run, no point pairs."""
-    from lodestar.operators import cluster as clu
-    lab = _distilled(spark, sf_dir)["labelled"]
-    out = None
-    for run_id, *_ in ctx.RUNS:
-        part = clu.silhouette(lab.filter(F.col("run_id") == run_id)).withColumn("run_id", F.lit(run_id))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    return rounded(ctx.silhouettes(_distilled(spark, sf_dir)["labelled"]))
 
 
 @register("r01_cluster_sizes")
@@ -198,6 +206,14 @@ def r08_rules(spark, sf_dir):
                             "distance_score", "quality_score"))
 
 
+@register("r15_converged_rules")
+def r15_converged_rules(spark, sf_dir):
+    """C1 + R15: rules of clusters that ten restarts converged to."""
+    r = ctx.distilled(spark, sf_dir, steps=None)["rules"]
+    return rounded(r.select("run_id", "cluster_id", F.array_join("conditions", " | ").alias("conditions"), "support",
+                            "share", "avg_distance", "quality_score"))
+
+
 @register("r14_rule_similarity")
 def r14_rule_similarity(spark, sf_dir):
     """Jaccard similarity of all unordered rule pairs per run."""
@@ -265,9 +281,9 @@ def q03_rules_of_run(spark, sf_dir):
 @register("q05_local_attribution")
 def q05_local_attribution(spark, sf_dir):
     """Q5: contributions of the example instance, |shap| descending."""
-    shap = ctx.shap_table(spark, sf_dir).filter(F.col("run_id") == "run-a")
-    one = shap.join(_first_instance(shap), "instance_id", "left_semi")
-    return rounded(one.select("instance_id", "feature_name", "feature_value", "shap_value"))
+    shap = ctx.shap_table(spark, sf_dir)
+    first = _first_instance(shap.filter(F.col("run_id") == "run-a"))
+    return rounded(explore.local_attribution(shap, first, top_n=5, run_id="run-a"))
 
 
 @register("q06_run_summary")
@@ -279,14 +295,14 @@ def q06_run_summary(spark, sf_dir):
 @register("q07_changed_features")
 def q07_changed_features(spark, sf_dir):
     """Q7/Q8: changed features of every counterfactual with value text."""
-    cfs = _cfs(spark, sf_dir)
-    o = F.from_json("original_features", "map<string,string>")
-    c = F.from_json("counterfactual_features", "map<string,string>")
-    rows = cfs.select("id", "run_id", o.alias("o"), c.alias("c"), F.explode(F.map_keys(o)).alias("feature"))
-    same = explore._values_equal(F.col("o")[F.col("feature")], F.col("c")[F.col("feature")])
-    return rows.filter(~same).select(
-        "id", "run_id", "feature", explore.value_text(F.col("o")[F.col("feature")]).alias("original_value"),
-        explore.value_text(F.col("c")[F.col("feature")]).alias("counterfactual_value"))
+    return explore.changed_features(_cfs(spark, sf_dir)).drop("model_name", "instance_id")
+
+
+@register("q08_changed_features_json")
+def q08_changed_features_json(spark, sf_dir):
+    """Q8: the same from the JSON text alone, over the original's keys."""
+    text = _cfs(spark, sf_dir).drop("original", "counterfactual")
+    return explore.changed_features(text, union_keys=False).drop("model_name", "instance_id")
 
 
 @register("q09_explained_instances")
@@ -323,7 +339,7 @@ def q15_explorer_summary(spark, sf_dir):
 @register("q16_instance_counterfactuals")
 def q16_instance_counterfactuals(spark, sf_dir):
     cfs = _cfs(spark, sf_dir)
-    one = cfs.join(_first_instance(cfs), "instance_id", "left_semi")
+    one = explore.instance_counterfactuals(cfs, _first_instance(cfs))
     return rounded(one.select("id", "run_id", "instance_id", "distance", "target_class"))
 
 
@@ -331,12 +347,7 @@ def q16_instance_counterfactuals(spark, sf_dir):
 def q17_rule_summary(spark, sf_dir):
     """Q17: rules with quality >= 0.5, summarised per run."""
     a = _artifacts(spark, sf_dir, ("rules",))
-    f = explore.rule_filter(a["rules"], 0.5)
-    out = f.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rules"),
-                                  F.sum("support").cast("bigint").alias("total_support"),
-                                  F.avg("quality_score").alias("mean_quality"),
-                                  F.avg("avg_distance").alias("mean_distance"))
-    return rounded(out)
+    return rounded(explore.rule_summary(explore.rule_filter(a["rules"], 0.5), ["run_id"]))
 
 
 @register("q18_ranked_rules")
@@ -360,16 +371,7 @@ def q20_local_summary(spark, sf_dir):
 @register("q21_listing")
 def q21_listing(spark, sf_dir):
     """Q21: every counterfactual of run-a with its changes as text."""
-    cfs = _cfs(spark, sf_dir).filter(F.col("run_id") == "run-a")
-    o = F.from_json("original_features", "map<string,string>")
-    c = F.from_json("counterfactual_features", "map<string,string>")
-    rows = cfs.select("id", o.alias("o"), c.alias("c"), F.explode(F.map_keys(o)).alias("feature"))
-    same = explore._values_equal(F.col("o")[F.col("feature")], F.col("c")[F.col("feature")])
-    text = F.concat(F.col("feature"), F.lit(": "), explore.value_text(F.col("o")[F.col("feature")]), F.lit(" -> "),
-                    explore.value_text(F.col("c")[F.col("feature")]))
-    per = rows.filter(~same).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("changes"))
-    return rounded(cfs.select("id", "instance_id", "distance").join(per, "id", "left")
-                   .withColumn("changes", F.coalesce("changes", F.lit(""))))
+    return rounded(explore.listing(_cfs(spark, sf_dir).filter(F.col("run_id") == "run-a")))
 
 
 # --------------------------------------------------------------- report
@@ -396,7 +398,7 @@ def v04_corpus_metrics(spark, sf_dir):
 @register("v05_cluster_metrics")
 def v05_cluster_metrics(spark, sf_dir):
     a = _artifacts(spark, sf_dir, ("clusters",))
-    return rounded(rep.cluster_metrics(a["clusters"]))
+    return rounded(rep.cluster_metrics(a["clusters"], silhouettes=ctx.silhouettes(a["labelled"])))
 
 
 @register("v06_shap_metrics")
@@ -417,16 +419,17 @@ def v08_coverage(spark, sf_dir):
 
 @register("v09_model_metrics")
 def v09_model_metrics(spark, sf_dir):
-    return rounded(rep.model_metrics(ctx.metrics_table(spark, sf_dir)))
+    return rounded(rep.model_metrics(ctx.metrics_table(spark, sf_dir), facts=ctx.facts_table(spark, sf_dir)))
 
 
 @register("v10_report")
 def v10_report(spark, sf_dir):
     """The assembled long report for every run."""
     a = _artifacts(spark, sf_dir)
-    sections = {"corpus": rep.corpus_metrics(a["cfs"]), "clusters": rep.cluster_metrics(a["clusters"]),
+    sections = {"run": rep.header(a["rules"]), "corpus": rep.corpus_metrics(a["cfs"]),
+                "clusters": rep.cluster_metrics(a["clusters"], silhouettes=ctx.silhouettes(a["labelled"])),
                 "shap": rep.shap_metrics(a["shap"]), "rules": rep.rule_metrics(a["rules"]),
-                "coverage": rep.coverage(a["cfs"], a["shap"]), "model": rep.model_metrics(a["metrics"])}
+                "coverage": rep.coverage(a["cfs"], a["shap"]), "model": rep.model_metrics(a["metrics"], facts=ctx.facts_table(spark, sf_dir))}
     return rounded(rep.assemble(sections))
 
 
@@ -616,7 +619,7 @@ def s08_rerun_rules(spark, sf_dir):
 def s09_surrogate_ids(spark, sf_dir):
     """Consecutive surrogate ids after the max existing id (two passes,
     no global window); reported as count / distinct / min / max."""
-    cfs = _cfs(spark, sf_dir).filter(F.col("run_id") == "run-a").drop("id")
+    cfs = _cfs(spark, sf_dir).drop("id")
     with_ids = store.with_surrogate_ids(cfs, start_after=1000)
     return with_ids.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_distinct"),
                         F.min("id").alias("min_id"), F.max("id").alias("max_id"))
@@ -633,15 +636,10 @@ def s10_report_json(spark, sf_dir):
 from lodestar.operators import attribution as attr  # noqa: E402
 from lodestar.operators import model as mdl  # noqa: E402
 
-# Small forest for the registered queries; the library default is the
-# reference's 100 trees of depth 10.
-QUERY_FOREST = {"numTrees": 20, "maxDepth": 6}
-
-
 def _forest(spark, sf_dir):
     split = ctx.materialise(_split(spark, sf_dir))
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-    fm, model, scorer = mdl.fit(train, ctx.SPEC, "random_forest", QUERY_FOREST)
+    fm, model, scorer = mdl.fit(train, ctx.SPEC, "random_forest")
     return split, train, test, fm, model, scorer
 
 
@@ -654,13 +652,23 @@ def m01_random_forest(spark, sf_dir):
 
 @register("m02_boosted_trees")
 def m02_boosted_trees(spark, sf_dir):
-    """M2/M3: boosted trees (depth-wise defaults, fewer rounds for the query)."""
+    """M2: depth-wise boosted trees with the default settings."""
+    return _boosted(spark, sf_dir, "boosted_depthwise")
+
+
+def _boosted(spark, sf_dir, family):
     split = ctx.materialise(_split(spark, sf_dir))
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-    _, _, scorer = mdl.fit(train, ctx.SPEC, "boosted_depthwise", {"maxIter": 20, "maxDepth": 4})
+    _, _, scorer = mdl.fit(train, ctx.SPEC, family)
     return rounded(scorer.score(test).select("case_id", "target", "prediction", "p1"))
 
 
+@register("m03_leafwise_trees")
+def m03_leafwise_trees(spark, sf_dir):
+    """M3: boosted trees of 31 leaves (as the depth that holds them)."""
+    return _boosted(spark, sf_dir, "boosted_leafwise")
+
+
 @register("m11_feature_importance")
 def m11_feature_importance(spark, sf_dir):
     """Forest feature importances by name, descending."""
@@ -668,6 +676,10 @@ def m11_feature_importance(spark, sf_dir):
     return rounded(mdl.importances(spark, fm, model))
 
 
+# The search budget of the registered query.
+TRIALS = 2
+
+
 @register("m12_random_search")
 def m12_random_search(spark, sf_dir):
     """M12 + M13 + M14: seeded random search on tune/validation, best
@@ -676,12 +688,10 @@ def m12_random_search(spark, sf_dir):
     train = split.filter(~F.col("is_test")).drop("is_test")
     test = split.filter(F.col("is_test"))
     tv = prep.stratified_split(train, "case_id", "target", 0.2, 42, salt=prep.TUNE_SALT)
-    base = {"numTrees": 10, "maxDepth": 5}
-    trials = mdl.random_search(tv.filter(~F.col("is_test")), tv.filter(F.col("is_test")), ctx.SPEC,
-                               "random_forest", n_trials=2, metric="f1", base_params=base)
+    trials = ctx.materialise(mdl.random_search(tv.filter(~F.col("is_test")), tv.filter(F.col("is_test")), ctx.SPEC,
+                                               "random_forest", n_trials=TRIALS, metric="f1"))
     best = mt.best_trial(trials).first()
-    params = {**base, **dict(mdl.draw_params("random_forest", 2)[best["best_trial"]])}
-    params.update({"numTrees": min(params["numTrees"], 20), "maxDepth": min(params["maxDepth"], 8)})
+    params = mdl.draw_params("random_forest", TRIALS)[best["best_trial"]]
     _, _, scorer = mdl.fit(train, ctx.SPEC, "random_forest", params)
     final = mdl.evaluate(scorer, test)
     rows = [("trial", float(r["trial"]), r["metric_value"]) for r in trials.collect()] + \
@@ -699,13 +709,43 @@ def h1_tree_shap(spark, sf_dir):
     return rounded(attr.tree_shap(enc, leaves, fm.names))
 
 
+@register("x11_fitted_model_search")
+def x11_fitted_model_search(spark, sf_dir):
+    """X4-X8 with the fitted forest as scorer (M6) over the shared sample
+    of 100 test cases (P8)."""
+    found, _ = _explained(spark, sf_dir)
+    return rounded(found.select(*[c for c in FOUND_COLUMNS if c != "run_id"]))
+
+
+@register("h1_explained_sample")
+def h1_explained_sample(spark, sf_dir):
+    """H1 of the same forest on the same sample."""
+    _, shap = _explained(spark, sf_dir)
+    return rounded(shap)
+
+
+def _explained(spark, sf_dir, params=None, scale=False):
+    """The explain run on a fitted model: one sample, the search and the
+    attributions of it."""
+    from lodestar.operators import search as S
+    split = ctx.materialise(_split(spark, sf_dir))
+    train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter(F.col("is_test")).drop("is_test")
+    fm, model, scorer = mdl.fit(train, ctx.SPEC, "random_forest", params, scale=scale)
+    sample = ctx.materialise(prep.sample_cases(test, "case_id", 100, seed=42))
+    found = S.search(sample, ctx.SPEC, S.fit_context(train, ctx.SPEC), scorer, n_candidates=ctx.N_CANDIDATES, seed=42,
+                     total_cfs=ctx.TOTAL_CFS)
+    leaves = attr.leaf_paths(mdl.forest_trees(spark, model))
+    return found, attr.tree_shap(fm.transform(sample, output="features"), leaves, fm.names)
+
+
 @register("h3_permutation_shap")
 def h3_permutation_shap(spark, sf_dir):
     """H3: sampled-permutation Shapley of the scorecard probability for
-    every case against a hash-chosen background of at most 100 rows."""
-    cases = ctx.clean_cases(spark, sf_dir)
-    feats = ["line_count", "sum_qty", "avg_discount", "total_price", "priority_num", "acct_bal", "segment"]
-    return rounded(attr.permutation_shap(cases, cases, ctx.SCORECARD, feats, n_permutations=4, seed=42))
+    every case and feature against a seeded sample of 100 rows."""
+    cases = ctx.materialise(ctx.clean_cases(spark, sf_dir))
+    background = prep.sample_cases(cases, "case_id", 100, seed=42)
+    return rounded(attr.permutation_shap(cases, background, ctx.SCORECARD, list(ctx.SPEC.features),
+                                         n_permutations=4, seed=42))
 
 
 @register("c1_kmeans_mllib")
@@ -717,7 +757,7 @@ def c1_kmeans_mllib(spark, sf_dir):
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
     emb = ctx.materialise(emb.withColumn("features", array_to_vector("vector")))
-    model = clu.kmeans_mllib(emb, 10, seed=42, n_init=3, max_iter=50)
+    model = clu.kmeans_mllib(emb, 10, seed=42, n_init=10, max_iter=300)
     centres = [list(map(float, c)) for c in model.clusterCenters()]
     lab = clu.assign(emb, centres)
     sil = clu.silhouette(lab).first()["silhouette"]
@@ -733,7 +773,7 @@ def c7_k_sweep(spark, sf_dir):
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
     emb = ctx.materialise(emb.withColumn("features", array_to_vector("vector")))
-    return rounded(clu.k_sweep(emb, range(2, 11), seed=42, n_init=1))
+    return rounded(clu.k_sweep(emb, range(2, 11), seed=42, n_init=10, max_iter=300))
 
 
 
@@ -809,10 +849,16 @@ def q10_parse_json(spark, sf_dir):
     """Q10: JSON object payloads parsed with a schema; a value that is not
     an object fails the query (events.props)."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
-    m = F.from_json("props", "map<string,string>")
-    checked = F.when(m.isNull() & F.col("props").isNotNull(),
-                     F.raise_error(F.lit("expected a JSON object"))).otherwise(m)
-    return ev.select("event_id", checked["k"].cast("bigint").alias("k"), F.size(checked).alias("n_keys"))
+    return explore.parse_json(ev, "props", ["event_id"]).select(
+        "event_id", F.col("value")["k"].cast("bigint").alias("k"), F.size("value").alias("n_keys"))
+
+
+@register("q10_parse_json_list")
+def q10_parse_json_list(spark, sf_dir):
+    """Q10: JSON list payloads (the stored rule conditions) parsed back."""
+    text = store.rules_json(_artifacts(spark, sf_dir, ("rules",))["rules"])
+    return explore.parse_json_list(text, "conditions", ["run_id", "cluster_id"]).select(
+        "run_id", "cluster_id", F.array_join("value", " | ").alias("conditions"), F.size("value").alias("n_conditions"))
 
 
 @register("q12_latest_event")

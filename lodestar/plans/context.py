@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.functions.columns import wide_id
 from lodestar.operators import attribution, features
 from lodestar.operators.scoring import ORDER_SCORECARD
 from lodestar.sources.tables import order_cases
@@ -70,7 +71,7 @@ def search_context(cases: DataFrame) -> cf_search.SearchContext:
     return cf_search.fit_context(cases, SPEC)
 
 
-def counterfactuals_found(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
+def counterfactuals_found(spark: SparkSession, sf_dir: str, runs=RUNS, strict: bool = False) -> DataFrame:
     """X4-X8 for every run over every case: run columns + search output.
     The case table is checkpointed once: the context fit and every run
     read it, and the join pipeline behind it must not run per run."""
@@ -79,7 +80,7 @@ def counterfactuals_found(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFr
     out = None
     for run_id, model_name, seed, created_at in runs:
         found = cf_search.search(cases, SPEC, sctx, SCORECARD, n_candidates=N_CANDIDATES, seed=seed,
-                                 total_cfs=TOTAL_CFS)
+                                 total_cfs=TOTAL_CFS, strict=strict)
         found = found.withColumns({"run_id": F.lit(run_id), "model_name": F.lit(model_name),
                                    "created_at": F.lit(created_at).cast("timestamp")})
         out = found if out is None else out.unionByName(found)
@@ -89,15 +90,14 @@ def counterfactuals_found(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFr
 # ------------------------------------------------------------ artifacts
 from lodestar.operators import cluster as clu  # noqa: E402
 def counterfactual_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
-    """The `counterfactuals` artifact (X9 records + provenance). The id
-    encodes (case, run, rank) so it is unique and reproducible without
-    any global numbering."""
+    """The `counterfactuals` artifact (X9 records + provenance). The id is
+    a wide hash of (model, run, case, rank): reproducible without any
+    global numbering."""
     found = counterfactuals_found(spark, sf_dir, runs)
-    run_index = F.create_map(*sum(([F.lit(r[0]), F.lit(i)] for i, r in enumerate(runs)), []))
     feats = sorted(c for c in SPEC.features)
     opts = {"ignoreNullFields": "false"}
     return found.select(
-        (F.col("case_id") * 100 + run_index[F.col("run_id")] * 10 + F.col("cf_rank")).cast("bigint").alias("id"),
+        wide_id("model_name", "run_id", "case_id", "cf_rank").alias("id"),
         "model_name", "run_id", F.col("case_id").alias("instance_id"),
         F.to_json(F.struct(*[F.col(f"orig.{c}").alias(c) for c in feats]), opts).alias("original_features"),
         F.to_json(F.struct(*[F.col(c) for c in feats]), opts).alias("counterfactual_features"),
@@ -118,24 +118,28 @@ def encoded_run(cfs: DataFrame, run_id: str):
     return encoder, encoder.transform(parsed)
 
 
-def distil_run(cfs: DataFrame, run_id: str, k: int = K, steps: int = LLOYD_STEPS):
-    """R15 for one run: encode -> frozen-init Lloyd -> labelled rows."""
+def distil_run(cfs: DataFrame, run_id: str, k: int = K, steps: int | None = LLOYD_STEPS):
+    """R15 for one run: encode -> K-Means -> labelled rows. ``steps``: so
+    many Lloyd steps from one start (what SQL can follow); None: restarts,
+    each until its centres stop moving."""
     encoder, encoded = encoded_run(cfs, run_id)
     encoded = materialise(encoded)
-    centres = clu.initial_centres(encoded, k, id_col="id", column="vector", seed=42)
-    fit = clu.lloyd(encoded, centres, steps=steps)
+    if steps is None:
+        fit = clu.kmeans(encoded, k)
+    else:
+        fit = clu.lloyd(encoded, clu.initial_centres(encoded, k, id_col="id", column="vector", seed=42), steps=steps)
     # profiles, rules and reports all read the labelled rows
     labelled = materialise(clu.assign(encoded, fit.centres))
     return encoder, fit, labelled
 
 
-def distilled(spark: SparkSession, sf_dir: str, runs=RUNS):
+def distilled(spark: SparkSession, sf_dir: str, runs=RUNS, steps: int | None = LLOYD_STEPS):
     """Per run: labelled rows, sizes, feature + transition profiles, rules."""
     cfs = materialise(counterfactual_table(spark, sf_dir, runs))
     parts = {"labelled": [], "sizes": [], "features": [], "transitions": [], "rules": []}
     keys = ["model_name", "run_id"]
     for run_id, model_name, _, created_at in runs:
-        encoder, fit, labelled = distil_run(cfs, run_id)
+        encoder, fit, labelled = distil_run(cfs, run_id, steps=steps)
         sizes = rl.cluster_sizes(labelled, keys)
         feats = rl.feature_profile(labelled, ENC_NUMERIC, ENC_CATEGORICAL, keys)
         trans = rl.transition_profile(labelled, keys)
@@ -157,22 +161,15 @@ def distilled(spark: SparkSession, sf_dir: str, runs=RUNS):
 from lodestar.operators import metrics as mt  # noqa: E402
 
 
-def run_index(runs=RUNS):
-    return F.create_map(*sum(([F.lit(r[0]), F.lit(i)] for i, r in enumerate(runs)), []))
-
-
 def shap_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
     """The `shap_values` artifact: linear SHAP of every explained case per run."""
     long = linear_shap(spark, sf_dir)
-    names = [n for n, _ in SCORECARD.dummies()]
-    ord_map = F.create_map(*sum(([F.lit(n), F.lit(i)] for i, n in enumerate(names)), []))
     out = None
     for run_id, model_name, _, created_at in runs:
         part = long.withColumns({"model_name": F.lit(model_name), "run_id": F.lit(run_id),
                                  "created_at": F.lit(created_at).cast("timestamp")})
         out = part if out is None else out.unionByName(part)
-    rid = ((F.col("instance_id") * 2 + run_index(runs)[F.col("run_id")]) * 16 + ord_map[F.col("feature_name")])
-    return out.withColumn("id", rid.cast("bigint")).select(
+    return out.withColumn("id", wide_id("model_name", "run_id", "instance_id", "feature_name")).select(
         "id", "model_name", "run_id", "instance_id", "feature_name", "feature_value", "shap_value", "created_at")
 
 
@@ -181,7 +178,8 @@ METRIC_NAMES = ("accuracy", "f1", "roc_auc", "n_cases")
 
 def metrics_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
     """The `metrics` artifact (S5 shape): numeric metrics per run, long."""
-    scored = scored_cases(spark, sf_dir)
+    # scored once for the three aggregates
+    scored = materialise(scored_cases(spark, sf_dir).select("target", "prediction", "p1"))
     af = mt.accuracy_f1(scored)
     auc = mt.roc_auc(scored)
     n = scored.agg(F.count(F.lit(1)).cast("double").alias("n_cases"))
@@ -190,11 +188,35 @@ def metrics_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
                                                     F.col(m).cast("double").alias("metric_value"))
                                            for i, m in enumerate(METRIC_NAMES)])).alias("e")).select("e.*")
     out = None
-    for i, (run_id, model_name, _, created_at) in enumerate(runs):
-        part = long.withColumns({"id": (F.lit(i * 100) + F.col("ord")).cast("bigint"), "model_name": F.lit(model_name),
-                                 "run_id": F.lit(run_id), "created_at": F.lit(created_at).cast("timestamp")})
+    for run_id, model_name, _, created_at in runs:
+        part = long.withColumns({"model_name": F.lit(model_name), "run_id": F.lit(run_id),
+                                 "created_at": F.lit(created_at).cast("timestamp")})
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("id", wide_id("model_name", "run_id", "metric_name")).select("id", "model_name", "run_id", "metric_name", "metric_value", "created_at")
+
+
+def silhouettes(labelled: DataFrame, runs=RUNS) -> DataFrame:
+    """(run_id, silhouette_sq_euclidean) of the stored assignment."""
+    out = None
+    for run_id, *_ in runs:
+        part = clu.silhouette(labelled.filter(F.col("run_id") == run_id)).select(
+            F.lit(run_id).alias("run_id"), F.col("silhouette").alias("silhouette_sq_euclidean"))
         out = part if out is None else out.unionByName(part)
-    return out.select("id", "model_name", "run_id", "metric_name", "metric_value", "created_at")
+    return out
+
+
+def facts_table(spark: SparkSession, sf_dir: str, runs=RUNS) -> DataFrame:
+    """The run facts that the report reads: (run_id, key, value)."""
+    from lodestar.operators import prepare as prep
+    split = prep.stratified_split(clean_cases(spark, sf_dir), SPEC.key, SPEC.target, 0.2, 42)
+    n = split.agg(F.count_if("is_test").cast("string").alias("test_rows"),
+                  F.count_if(~F.col("is_test")).cast("string").alias("train_rows"))
+    run = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("run_id"), F.lit(r[1]).alias("model_class")) for r in runs]))
+    each = n.withColumn("r", run).select("train_rows", "test_rows", "r.*")
+    facts = {"model_class": F.col("model_class"), "stage": F.lit("explain"), "train_rows": F.col("train_rows"),
+             "test_rows": F.col("test_rows"), "feature_count": F.lit(str(len(SCORECARD.dummies())))}
+    return each.select("run_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"))
+                                                     for k, v in facts.items()])).alias("f")).select("run_id", "f.*")
 
 
 def cluster_table(labelled: DataFrame) -> DataFrame:
@@ -206,6 +228,6 @@ def cluster_table(labelled: DataFrame) -> DataFrame:
 
 def rules_table(rules: DataFrame) -> DataFrame:
     """The `global_rules` artifact."""
-    return rules.select((F.col("cluster_id") + run_index()[F.col("run_id")] * 100).cast("bigint").alias("id"),
+    return rules.select(wide_id("model_name", "run_id", F.col("cluster_id").cast("int")).alias("id"),
                         "model_name", "run_id", F.col("cluster_id").cast("int").alias("cluster_id"), "conditions",
                         "support", F.col("share").alias("support_share"), "avg_distance", "quality_score", "created_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -20,6 +21,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_missing(error: AnalysisException) -> bool:
+    """The read failed because there is no such path, not otherwise."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_headerless_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Headerless CSV with fixed names; every cell read as text
     (explicit schema, no inference); a malformed cell becomes null
@@ -41,7 +54,9 @@ def parquet_cache(spark: SparkSession, path: str, build) -> DataFrame:
     """Read the parquet cache if present, else build, write and read it."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent path
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from lodestar.sources.files import is_missing, stored
+
 PARTITIONS = ["model_name", "run_id"]
 CLUSTER_REQUIRED = {"id", "instance_id", "cluster_id"}
 
@@ -62,8 +65,13 @@ def append_clusters(df: DataFrame, root: str, run_id: str, model_name: str, crea
     return append(out, root, "counterfactual_clusters", run_id, model_name, created_at)
 
 
+def rules_json(rules: DataFrame) -> DataFrame:
+    """S7 export: ``conditions`` as a JSON array of strings."""
+    return rules.withColumn("conditions", F.to_json("conditions"))
+
+
 def append_rules(df: DataFrame, root: str, run_id: str, model_name: str, created_at) -> int:
-    """Rules keep ``conditions`` as array<string> (JSON on export)."""
+    """Rules keep ``conditions`` as array<string> (``rules_json`` on export)."""
     return append(df, root, "global_rules", run_id, model_name, created_at)
 
 
@@ -91,17 +99,19 @@ def with_surrogate_ids(df: DataFrame, start_after: int = 0, id_col: str = "id")
     prefix offsets are computed on the driver over #partitions values,
     pass 2 adds the offset to the row's position inside its partition."""
     spark = df.sparkSession
-    tagged = df.withColumn("__pid", F.spark_partition_id())
-    tagged = tagged.withColumn("__mid", F.monotonically_increasing_id())
+    tagged = df.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    # stored, so that both passes see the same partitions and positions
+    tagged = stored(tagged, "tagged")
     # monotonically_increasing_id = (partition << 33) + position in partition
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()
     offsets, acc = [], start_after
     for r in sorted(counts, key=lambda r: r["__pid"]):
         offsets.append((r["__pid"], acc))
         acc += r["n"]
+    # one row per partition of the stored frame
     off = spark.createDataFrame(offsets or [(0, start_after)], "__pid int, __off bigint")
     pos = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
-    return (tagged.join(F.broadcast(off), "__pid")
+    return (tagged.join(off, "__pid")
             .withColumn(id_col, F.col("__off") + pos + F.lit(1))
             .drop("__pid", "__mid", "__off"))
 
@@ -111,5 +121,7 @@ def next_id(spark: SparkSession, root: str, table: str, id_col: str = "id") -> i
     try:
         row = spark.read.parquet(_path(root, table)).agg(F.max(id_col)).first()
         return int(row[0] or 0)
-    except Exception:  # noqa: BLE001 - table absent
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return 0

@@ -7,22 +7,12 @@ from pyspark.sql import functions as F
 
 from lodestar.spec import PRIORITY_LEVELS
 
-# Dimension sides hinted for broadcast only when their row count is
-# checked below this bound; beyond it the planner (with AQE) decides.
-BROADCAST_ROW_LIMIT = 100_000
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint behind a size check, plain shuffle join otherwise."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def level_map(mapping: dict) -> "F.Column":
     """A literal map<string,double> column from a fixed lookup."""
     args = []
@@ -35,8 +25,9 @@ def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One case per order.
 
     lineitem is aggregated per order first (map-side partial aggregation
-    before the shuffle), customer joins on its key, nation/region are
-    broadcast behind a row-count check. The last join is on the order
+    before the shuffle), customer joins on its key, nation/region join
+    by the planner's size estimate (AQE broadcasts small sides at run
+    time). The last join is on the order
     key, so the result stays hash-partitioned by ``case_id`` and the
     per-case window of the search needs no further shuffle.
     """
@@ -53,7 +44,7 @@ def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = (read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
            .join(read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]),
                  F.col("n_regionkey") == F.col("r_regionkey"), "left"))
-    cust = customer.join(bounded_broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    cust = customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     base = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
     joined = base.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select(

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import features as feat
 from lodestar.operators.scoring import ORDER_SCORECARD
-from lodestar.sources.tables import PRIORITY_LEVELS, bounded_broadcast, level_map, read_table
+from lodestar.sources.tables import PRIORITY_LEVELS, level_map, read_table
+from lodestar.sources.files import stored
 from lodestar.spec import ORDER_CASES
 
 
@@ -30,15 +31,16 @@ def scored_order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming case rows with margin, p1 and prediction."""
     orders = order_stream(spark, sf_dir)
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"])
-    per_order = li.groupBy("l_orderkey").agg(
+    # static side: aggregated once, not again by every micro-batch
+    per_order = stored(li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("line_count"), F.sum("l_quantity").alias("sum_qty"),
         F.avg("l_discount").alias("avg_discount"),
-        F.sum(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("revenue"))
+        F.sum(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("revenue")), "per-order")
     geo = (read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
            .join(read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]),
                  F.col("n_regionkey") == F.col("r_regionkey"), "left"))
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]) \
-        .join(bounded_broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     joined = (orders.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
               .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
     cases = joined.select(

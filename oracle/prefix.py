@@ -140,7 +140,17 @@ def draw(k: int) -> str:
     return draw_sql("hb", k)
 
 
-def search_cte(runs=None, n_candidates: int = N_CANDIDATES, k: int = TOTAL_CFS) -> str:
+def permitted_sql() -> str:
+    """Every actionable numeric inside its fixed range or training bounds."""
+    parts = []
+    for c in ACTIONABLE:
+        if c in NUMERIC:
+            lo, hi = (d(PERMITTED[c][0]), d(PERMITTED[c][1])) if c in PERMITTED else (f"lo_{c}", f"hi_{c}")
+            parts.append(f"({c} >= {lo} AND {c} <= {hi})")
+    return " AND ".join(parts)
+
+
+def search_cte(runs=None, n_candidates: int = N_CANDIDATES, k: int = TOTAL_CFS, strict: bool = False) -> str:
     nd = len(ACTIONABLE)
     ctx_cols = ", ".join(f"MIN({c}) AS lo_{c}, MAX({c}) AS hi_{c}" for c in NUMERIC)
     doms = ", ".join(f"list_sort(list(DISTINCT {c})) AS dom_{c}" for c in ACTIONABLE if c in CATEGORICAL)
@@ -165,7 +175,7 @@ def search_cte(runs=None, n_candidates: int = N_CANDIDATES, k: int = TOTAL_CFS)
             news.append(f"CASE WHEN var{i} THEN dom_{c}[CAST(FLOOR({v} * len(dom_{c})) AS BIGINT) + 1] ELSE o_{c} END AS {c}")
     keep = [c for c in NUMERIC + CATEGORICAL if c not in ACTIONABLE and c != "priority_num"]
     frozen = " AND ".join(f"({c} IS NOT DISTINCT FROM o_{c})" for c in FROZEN)
-    rng = " AND ".join(f"({c} >= {d(lo)} AND {c} <= {d(hi)})" for c, (lo, hi) in PERMITTED.items())
+    rng = permitted_sql()
     forb = " AND ".join(f"COALESCE({c} NOT IN ({', '.join(repr(v) for v in vals)}), TRUE)" for c, vals in FORBIDDEN.items())
     dep = f"({priority_case('priority')} IS NULL OR priority_num = {priority_case('priority')})"
     ordn = f"COALESCE({priority_case('priority')} >= {priority_case('o_priority')}, TRUE)"
@@ -189,10 +199,11 @@ cand4 AS (SELECT case_id, run_id, model_name, seed, created_at, cand, original_c
                  {', '.join(f'lo_{c}, hi_{c}' for c in NUMERIC if c != 'total_price')},
                  {', '.join(news)}, {', '.join(f'o_{c} AS {c}' for c in keep)}
           FROM cand3 CROSS JOIN sctx CROSS JOIN sdom),
-cand5 AS (SELECT *, COALESCE({priority_case('priority')}, o_priority_num) AS priority_num FROM cand4),
+cand4b AS (SELECT *, CAST({margin_sql().replace('priority_num', 'o_priority_num')} > 0 AS INTEGER) AS drawn FROM cand4),
+cand5 AS (SELECT *, COALESCE({priority_case('priority')}, o_priority_num) AS priority_num FROM cand4b),
 cand6 AS (SELECT *, CAST({margin_sql()} > 0 AS INTEGER) AS prediction FROM cand5),
 valid AS (SELECT *, {dist} AS distance FROM cand6
-          WHERE prediction = 1 - original_class AND {frozen} AND {dep} AND {ordn} AND {forb} AND {rng}),
+          WHERE drawn = 1 - original_class{" AND prediction = 1 - original_class" if strict else ""} AND {frozen} AND {dep} AND {ordn} AND {forb} AND {rng}),
 found AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id, case_id ORDER BY distance, cand) AS cf_rank
           FROM valid QUALIFY cf_rank <= {k})"""
 
@@ -206,21 +217,23 @@ STEPS = 3
 NO_PATTERN = "No dominant intervention pattern"
 
 
-def run_index_sql(col: str = "run_id") -> str:
-    return "(CASE " + " ".join(f"WHEN {col} = '{r[0]}' THEN {i}" for i, r in enumerate(RUNS)) + " END)"
-
-
 def token_sql(f: str, a: str, b: str) -> str:
     t = lambda x: f"replace(trim(COALESCE(CAST({x} AS VARCHAR), 'None')), ' ', '_')"
     return f"('{f}__transition__' || {t(a)} || '__to__' || {t(b)})"
 
 
+def wide_id_sql(*parts: str) -> str:
+    """60-bit id of a composite key."""
+    text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
 def artifacts_cte() -> str:
     """cfs: the counterfactual artifact as typed columns (o_* original)."""
     cols = ", ".join(f"o_{c}, {c}" for c in NUMERIC + CATEGORICAL)
     return f""",
 cfs AS (
-  SELECT CAST(case_id * 100 + {run_index_sql()} * 10 + cf_rank AS BIGINT) AS id, model_name, run_id,
+  SELECT {wide_id_sql('model_name', 'run_id', 'case_id', 'cf_rank')} AS id, model_name, run_id,
          case_id AS instance_id, original_class, prediction AS target_class, distance, created_at, {cols}
   FROM found)"""
 
@@ -357,20 +370,18 @@ af AS (SELECT AVG(CAST(target = prediction AS DOUBLE)) AS accuracy,
 mwide AS (SELECT accuracy, CASE WHEN 2 * tp + fp + fn > 0 THEN (2.0 * tp) / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
                  roc_auc, n_cases FROM af CROSS JOIN auc),
 mlong AS ({unions}),
-metrics AS (SELECT CAST({run_index_sql('r.run_id')} * 100 + m.ord AS BIGINT) AS id, r.model_name, r.run_id,
+metrics AS (SELECT {wide_id_sql('r.model_name', 'r.run_id', 'm.metric_name')} AS id, r.model_name, r.run_id,
                    m.metric_name, CAST(m.metric_value AS DOUBLE) AS metric_value, r.created_at
             FROM mlong m CROSS JOIN runs r)"""
 
 
 def shap_art_cte() -> str:
-    names = [n for n, _, _ in shap_terms()]
-    ordc = "(CASE feature_name " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(names)) + " END)"
     return f""",
-shap_art AS (SELECT CAST((s.instance_id * 2 + {run_index_sql('r.run_id')}) * 16 + {ordc} AS BIGINT) AS id,
+shap_art AS (SELECT {wide_id_sql('r.model_name', 'r.run_id', 's.instance_id', 's.feature_name')} AS id,
                     r.model_name, r.run_id, s.instance_id, s.feature_name, s.feature_value, s.shap_value, r.created_at
              FROM shap s CROSS JOIN runs r),
 clusters_art AS (SELECT id AS counterfactual_id, model_name, run_id, instance_id, cluster_id, created_at, id FROM labelled),
-rules_art AS (SELECT CAST(cluster_id + {run_index_sql()} * 100 AS BIGINT) AS id, model_name, run_id, cluster_id,
+rules_art AS (SELECT {wide_id_sql('model_name', 'run_id', 'cluster_id')} AS id, model_name, run_id, cluster_id,
                      conditions, support, share AS support_share, avg_distance, quality_score, r.created_at
               FROM rq2 JOIN (SELECT run_id, created_at FROM runs) r USING (run_id))"""
 

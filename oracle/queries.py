@@ -36,15 +36,17 @@ def oracle_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLE.items()}
 
 
-def q_search() -> str:
-    return with_prefix(cases_cte(), scored_cte(), search_cte()) + f"""
-SELECT run_id, case_id, cf_rank, cand, original_class, prediction AS target_class, {r6('distance')} AS distance,
+def q_search(strict: bool = False) -> str:
+    return with_prefix(cases_cte(), scored_cte(), search_cte(strict=strict)) + f"""
+SELECT run_id, case_id, cf_rank, cand, original_class, prediction AS target_class,
+       prediction = 1 - original_class AS flipped, {r6('distance')} AS distance,
        {r6('total_price')} AS total_price, {r6('line_count')} AS line_count, {r6('sum_qty')} AS sum_qty,
        {r6('avg_discount')} AS avg_discount, segment, priority, {r6('priority_num')} AS priority_num
 FROM found"""
 
 
 ORACLE["x08_counterfactual_search"] = q_search
+ORACLE["x05_strict_search"] = lambda: q_search(strict=True)
 
 
 # ------------------------------------------------------------- artifacts
@@ -94,6 +96,11 @@ SELECT id, run_id, {deltas}, {r6(nchg)} AS n_changed, array_to_string(tokens, ';
 FROM enc"""
 
 
+def q_e11() -> str:
+    return distil_prefix() + f"""
+SELECT id, run_id, CAST(len(vector) AS INTEGER) AS width, {r6('list_sum(vector)')} AS vector_sum FROM enc"""
+
+
 def q_c2() -> str:
     return distil_prefix() + f"""
 SELECT run_id, cluster_id, COUNT(*) AS size, {r6('SUM(sq_distance)')} AS inertia,
@@ -102,9 +109,14 @@ FROM labelled GROUP BY run_id, cluster_id"""
 
 
 def q_c4() -> str:
+    return distil_prefix() + sil_cte() + f"""
+SELECT run_id, {r6("AVG(CASE WHEN isnan(s) OR s IS NULL THEN 0.0 ELSE s END)")} AS silhouette_sq_euclidean FROM sil GROUP BY run_id"""
+
+
+def sil_cte() -> str:
     sq = "list_reduce(list_transform(vector, lambda v: v * v), lambda x, y: x + y)"
     dot = "list_reduce(list_transform(range(1, len(l.vector) + 1), lambda i: l.vector[i] * m.mu[i]), lambda x, y: x + y)"
-    return distil_prefix() + f""",
+    return f""",
 cst AS (SELECT run_id, cluster_id, COUNT(*) AS n, AVG({sq}) AS q FROM labelled GROUP BY ALL),
 cmu AS (SELECT run_id, cluster_id, list(m ORDER BY pos) AS mu FROM (
           SELECT run_id, cluster_id, pos, AVG(v) AS m FROM (
@@ -120,8 +132,7 @@ ab AS (SELECT run_id, id,
        FROM pd GROUP BY run_id, id),
 sil AS (SELECT run_id, CASE WHEN own_n <= 1 THEN 0.0
                             ELSE (b - own_msd * own_n / (own_n - 1)) / GREATEST(own_msd * own_n / (own_n - 1), b) END AS s
-        FROM ab)
-SELECT run_id, {r6("AVG(CASE WHEN isnan(s) OR s IS NULL THEN 0.0 ELSE s END)")} AS silhouette FROM sil GROUP BY run_id"""
+        FROM ab)"""
 
 
 def q_r01() -> str:
@@ -162,7 +173,7 @@ FROM rq2"""
 
 ORACLE.update({
     "x09_counterfactual_records": q_x09, "x10_uncovered_cases": q_x10, "e03_corpus_ranges": q_e03,
-    "e08_transition_vocabulary": q_e08, "e09_change_vectors": q_e09, "c2_cluster_assignment": q_c2,
+    "e08_transition_vocabulary": q_e08, "e09_change_vectors": q_e09, "e11_clustering_matrix": q_e11, "c2_cluster_assignment": q_c2,
     "c4_silhouette": q_c4, "r01_cluster_sizes": q_r01, "r03_feature_profile": q_r03,
     "r04_transition_profile": q_r04, "r08_rules": q_r08, "r14_rule_similarity": q_r14,
     "r16_rule_sentences": q_r16,
@@ -216,7 +227,8 @@ def q_q05():
     return fp(f"""
 SELECT instance_id, feature_name, {r6('feature_value')} AS feature_value, {r6('shap_value')} AS shap_value
 FROM shap_art WHERE run_id = 'run-a'
-  AND instance_id = (SELECT MIN(instance_id) FROM shap_art WHERE run_id = 'run-a')""")
+  AND instance_id = (SELECT MIN(instance_id) FROM shap_art WHERE run_id = 'run-a')
+ORDER BY ABS(shap_art.shap_value) DESC, feature_name LIMIT 5""")
 
 
 def q_q06():
@@ -335,7 +347,10 @@ v05 AS (SELECT model_name, run_id, COUNT(*) AS n_clusters, MAX(size) / SUM(size)
         FROM (SELECT model_name, run_id, cluster_id, COUNT(*) AS size FROM clusters_art WHERE cluster_id IS NOT NULL GROUP BY ALL)
         GROUP BY model_name, run_id),
 v06 AS (SELECT model_name, run_id, COUNT(*) AS n_shap_rows, COUNT(DISTINCT instance_id) AS n_shap_instances,
-               COUNT(DISTINCT feature_name) AS n_shap_features FROM shap_art GROUP BY model_name, run_id),
+               COUNT(DISTINCT feature_name) AS n_shap_features, ANY_VALUE(t.top_features) AS top_features
+        FROM shap_art JOIN (SELECT model_name, run_id, array_to_string(list(feature_name ORDER BY m DESC, feature_name)[1:10], ',') AS top_features
+              FROM (SELECT model_name, run_id, feature_name, AVG(ABS(shap_value)) AS m FROM shap_art GROUP BY ALL) GROUP BY ALL) t
+        USING (model_name, run_id) GROUP BY model_name, run_id),
 v07 AS (SELECT r.model_name, r.run_id, COUNT(*) AS n_rules, AVG(quality_score) AS mean_quality,
                MAX(quality_score) AS best_quality, AVG(len(conditions)) AS mean_conditions,
                COALESCE(ANY_VALUE(p.mj), 0.0) AS mean_jaccard, COALESCE(ANY_VALUE(p.xj), 0.0) AS max_jaccard
@@ -353,7 +368,7 @@ v09 AS (SELECT model_name, run_id,
                COALESCE(arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'test_accuracy'),
                         arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'accuracy')) AS accuracy,
                COALESCE(arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'test_f1'),
-                        arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'weighted avg_f1'),
+                        arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'weighted avg_f1-score'),
                         arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'f1')) AS f1,
                COALESCE(arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'test_roc_auc'),
                         arg_max(metric_value, (created_at, id)) FILTER (WHERE metric_name = 'roc_auc')) AS roc_auc
@@ -369,7 +384,20 @@ SELECT model_name, run_id, n_counterfactuals, n_instances, {r6('mean_distance')}
 
 
 def q_v05():
-    return fp(v04_cte() + f"\nSELECT model_name, run_id, n_clusters, {r6('largest_share')} AS largest_share, sizes FROM v05")
+    return fp(sil_cte() + v04_cte() + f"""
+SELECT model_name, run_id, n_clusters, {r6('largest_share')} AS largest_share, sizes,
+       {r6('silhouette_sq_euclidean')} AS silhouette_sq_euclidean FROM v05 JOIN {SILHOUETTE} USING (run_id)""")
+
+
+SILHOUETTE = ("(SELECT run_id, AVG(CASE WHEN isnan(s) OR s IS NULL THEN 0.0 ELSE s END) AS silhouette_sq_euclidean "
+              "FROM sil GROUP BY run_id)")
+
+
+def facts_cte() -> str:
+    from oracle.prefix import shap_terms
+    return ("," + split_cte("cases", "sp", 1) + f""",
+facts AS (SELECT COUNT(*) FILTER (WHERE NOT is_test) AS train_rows, COUNT(*) FILTER (WHERE is_test) AS test_rows,
+                 CAST({len(shap_terms())} AS INTEGER) AS feature_count, 'explain' AS stage FROM sp)""")
 
 
 def q_v06():
@@ -390,28 +418,33 @@ FROM v08""")
 
 
 def q_v09():
-    return fp(v04_cte() + f"""
-SELECT model_name, run_id, {r6('accuracy')} AS accuracy, {r6('f1')} AS f1, {r6('roc_auc')} AS roc_auc FROM v09""")
+    return fp(v04_cte() + facts_cte() + f"""
+SELECT model_name, run_id, {r6('accuracy')} AS accuracy, {r6('f1')} AS f1, {r6('roc_auc')} AS roc_auc,
+       feature_count, stage, train_rows, test_rows FROM v09 CROSS JOIN facts""")
 
 
 def q_v10():
     sections = {
         "corpus": ["n_counterfactuals", "n_instances", "mean_distance", "min_distance", "max_distance",
                    "mean_changed_features", "n_signatures", "diversity"],
-        "clusters": ["n_clusters", "largest_share"],
-        "shap": ["n_shap_rows", "n_shap_instances", "n_shap_features"],
+        "run": ["+explanation_run_id", "+model"],
+        "clusters": ["n_clusters", "largest_share", "+sizes", "silhouette_sq_euclidean"],
+        "shap": ["n_shap_rows", "n_shap_instances", "n_shap_features", "+top_features"],
         "rules": ["n_rules", "mean_quality", "best_quality", "mean_conditions", "mean_jaccard", "max_jaccard"],
         "coverage": ["attempted", "covered", "coverage", "cfs_per_covered"],
-        "model": ["accuracy", "f1", "roc_auc"],
+        "model": ["accuracy", "f1", "roc_auc", "feature_count", "+stage", "train_rows", "test_rows"],
     }
-    src = {"corpus": "(SELECT *, n_signatures / n_counterfactuals AS diversity FROM v04)", "clusters": "v05",
-           "shap": "v06", "rules": "v07", "coverage": "v08", "model": "v09"}
+    src = {"corpus": "(SELECT *, n_signatures / n_counterfactuals AS diversity FROM v04)", "clusters": f"(SELECT * FROM v05 JOIN {SILHOUETTE} USING (run_id))",
+           "shap": "v06", "rules": "v07", "coverage": "v08", "model": "(SELECT * FROM v09 CROSS JOIN facts)",
+           "run": "(SELECT DISTINCT model_name, run_id, run_id AS explanation_run_id, model_name AS model FROM rules_art)"}
     parts = []
     for sec, ms in sections.items():
         for m in ms:
-            parts.append(f"SELECT model_name, run_id, '{sec}' AS section, '{m}' AS metric, "
-                         f"{r6(f'CAST({m} AS DOUBLE)')} AS value FROM {src[sec]}")
-    return fp(v04_cte() + "\n" + " UNION ALL ".join(parts))
+            value, text = (r6(f'CAST({m} AS DOUBLE)'), "CAST(NULL AS VARCHAR)") if m[0] != "+" else (
+                "CAST(NULL AS DOUBLE)", m[1:])
+            parts.append(f"SELECT model_name, run_id, '{sec}' AS section, '{m.lstrip('+')}' AS metric, "
+                         f"{value} AS value, {text} AS text FROM {src[sec]}")
+    return fp(sil_cte() + v04_cte() + facts_cte() + "\n" + " UNION ALL ".join(parts))
 
 
 ORACLE.update({
@@ -536,14 +569,14 @@ per3 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recal
          FROM per2)
 SELECT CAST(c AS VARCHAR) || '_precision' AS metric_name, {r6('precision')} AS metric_value FROM per3
 UNION ALL SELECT CAST(c AS VARCHAR) || '_recall', {r6('recall')} FROM per3
-UNION ALL SELECT CAST(c AS VARCHAR) || '_f1', {r6('f1')} FROM per3
+UNION ALL SELECT CAST(c AS VARCHAR) || '_f1-score', {r6('f1')} FROM per3
 UNION ALL SELECT CAST(c AS VARCHAR) || '_support', {r6('CAST(support AS DOUBLE)')} FROM per3
 UNION ALL SELECT 'macro avg_precision', {r6('AVG(precision)')} FROM per3
 UNION ALL SELECT 'macro avg_recall', {r6('AVG(recall)')} FROM per3
-UNION ALL SELECT 'macro avg_f1', {r6('AVG(f1)')} FROM per3
+UNION ALL SELECT 'macro avg_f1-score', {r6('AVG(f1)')} FROM per3
 UNION ALL SELECT 'weighted avg_precision', {r6('SUM(precision * support) / SUM(support)')} FROM per3
 UNION ALL SELECT 'weighted avg_recall', {r6('SUM(recall * support) / SUM(support)')} FROM per3
-UNION ALL SELECT 'weighted avg_f1', {r6('SUM(f1 * support) / SUM(support)')} FROM per3"""
+UNION ALL SELECT 'weighted avg_f1-score', {r6('SUM(f1 * support) / SUM(support)')} FROM per3"""
 
 
 def q_m13():
@@ -593,7 +626,7 @@ USING (run_id, cluster_id)""")
 def q_s09():
     return fp("""
 SELECT COUNT(*) AS n, COUNT(*) AS n_distinct, CAST(1001 AS BIGINT) AS min_id, CAST(1000 + COUNT(*) AS BIGINT) AS max_id
-FROM cfs WHERE run_id = 'run-a'""")
+FROM cfs""")
 
 
 ORACLE.update({
@@ -621,9 +654,9 @@ def q_x03():
 
 
 def q_x06():
-    from oracle.prefix import FORBIDDEN, FROZEN, PERMITTED, priority_case
+    from oracle.prefix import FORBIDDEN, FROZEN, permitted_sql, priority_case
     frozen = " AND ".join(f"({c} IS NOT DISTINCT FROM o_{c})" for c in FROZEN)
-    rng = " AND ".join(f"({c} >= {d(lo)} AND {c} <= {d(hi)})" for c, (lo, hi) in PERMITTED.items())
+    rng = permitted_sql()
     forb = " AND ".join(f"COALESCE({c} NOT IN ({', '.join(repr(v) for v in vals)}), TRUE)" for c, vals in FORBIDDEN.items())
     dep = f"({priority_case('priority')} IS NULL OR priority_num = {priority_case('priority')})"
     ordn = f"COALESCE({priority_case('priority')} >= {priority_case('o_priority')}, TRUE)"
@@ -662,6 +695,12 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
        CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events"""
 
 
+def q_q10l():
+    return fp("""
+SELECT run_id, cluster_id, array_to_string(conditions, ' | ') AS conditions, CAST(len(conditions) AS INTEGER) AS n_conditions
+FROM rules_art""")
+
+
 def q_q12e():
     return f"""
 SELECT user_id, event_type, {r6('arg_max(value, (ts, event_id))')} AS value, MAX(ts) AS ts
@@ -689,6 +728,7 @@ FROM b"""
 
 ORACLE.update({
     "x03_search_context": q_x03, "x06_feasibility_counts": q_x06, "h5_base_value": q_h5,
-    "m15_run_facts": q_m15, "q10_parse_json": q_q10, "q12_latest_event": q_q12e,
+    "m15_run_facts": q_m15, "q10_parse_json": q_q10, "q10_parse_json_list": q_q10l,
+    "q08_changed_features_json": q_q07, "q12_latest_event": q_q12e,
     "d01_document_features": q_d01,
 })

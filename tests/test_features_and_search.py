@@ -80,12 +80,27 @@ def test_search_invariants(found):
     cases, sctx, cf = found
     assert cf.count() > 0
     assert cf.groupBy("case_id").count().agg(F.max("count")).first()[0] <= 5
-    assert cf.filter(~F.col("flipped")).count() == 0
     assert cf.filter(~S.feasible(ctx.SPEC, sctx)).count() == 0
     # re-scoring the stored counterfactual gives its target class
     rescored = ctx.SCORECARD.score(cf.drop("orig"))
     assert rescored.filter(F.col("prediction") != F.col("target_class")).count() == 0
-    assert rescored.filter(F.col("target_class") == F.col("original_class")).count() == 0
+    assert cf.filter(F.col("flipped") != (F.col("target_class") != F.col("original_class"))).count() == 0
+
+
+def test_strict_search_keeps_flips_only(found):
+    """By default a flip counts before dependents are reconciled."""
+    cases, sctx, cf = found
+    strict = S.search(cases, ctx.SPEC, sctx, ctx.SCORECARD, n_candidates=32, seed=42, strict=True).cache()
+    assert cf.filter(~F.col("flipped")).count() > 0
+    assert strict.count() > 0 and strict.filter(~F.col("flipped")).count() == 0
+
+
+def test_training_bounds_hold_for_a_wider_caller_range(found):
+    cases, sctx, _ = found
+    lo, hi = sctx.permitted["total_price"]
+    wide = S.search(cases, ctx.SPEC, sctx, ctx.SCORECARD, n_candidates=32, seed=42,
+                    permitted_range={"total_price": (lo, 3 * hi)})
+    assert wide.count() > 0 and wide.filter(F.col("total_price") > hi).count() == 0
 
 
 def test_search_is_partition_independent(found):

@@ -13,7 +13,7 @@ def test_signature(spark):
     o = {"education": "HS-grad", "hours_per_week": 40, "age": 30, "n": 9}
     c = {"education": "Bachelors", "hours_per_week": 45, "age": 30, "n": 9.0}
     df = spark.createDataFrame([(json.dumps(o), json.dumps(c))], "original_features string, counterfactual_features string")
-    assert df.select(explore.signature().alias("s")).first()["s"] == ["education", "hours_per_week"]
+    assert df.select(explore.signature(df).alias("s")).first()["s"] == ["education", "hours_per_week"]
 
 
 def test_coverage(spark):
