@@ -26,8 +26,8 @@ from pyspark.sql.types import BinaryType, StructField
 from lodestar.llm.common import add_columns
 
 # Pieces kept per task between batches, and leaves of one array of trees.
-CACHE_PIECES = 400_000
-TREE_LEAVES = 1 << 19
+CACHE_PIECES = 200_000
+TREE_LEAVES = 1 << 17
 _NONE = np.int64(1) << 62
 
 
