@@ -121,13 +121,14 @@ def anchors(docs: DataFrame, window: int, short: int) -> DataFrame:
 
 
 def full_windows(marked: DataFrame, window: int, short: int) -> DataFrame:
-    """One row per place of a marked anchor: h, id, th (hash of the row's
-    text), place, first (offset of the anchor in the first full window
-    whose anchor it is) and sigs, the hashes of these windows, the offset
-    falling by one each."""
+    """One row per marked anchor and surroundings of a document: h, id, th
+    (hash of the row's text), first (offset of the anchor in the first
+    full window whose anchor it is), sigs, the hashes of these windows,
+    the offset falling by one each, and places, where the anchor stands
+    so (a text that repeats itself gives one row, not one per place)."""
     schema = StructType([StructField("h", LongType()), StructField("id", LongType()),
-                         StructField("th", IntegerType()), StructField("place", IntegerType()),
-                         StructField("first", IntegerType()), StructField("sigs", ArrayType(IntegerType()))])
+                         StructField("th", IntegerType()), StructField("first", IntegerType()),
+                         StructField("sigs", ArrayType(IntegerType())), StructField("places", ArrayType(IntegerType()))])
     reach = window - short + 1
 
     def start():
@@ -148,10 +149,15 @@ def full_windows(marked: DataFrame, window: int, short: int) -> DataFrame:
                 use = np.flatnonzero(np.isin(h, np.array(m, dtype=np.int64)))
                 sig = (high >> _U(32)).astype(np.uint32).view(np.int32)
                 th = _text_hash(t)
+                seen: dict = {}
                 for u in use.tolist():
                     a, s = int(head[u]), int(size[u])
-                    for column, value in zip(out, (int(h[u]), i, th, int(place[u]), int(place[u]) - a,
-                                                   sig[a:a + s])):
+                    key = (int(h[u]), int(place[u]) - a, sig[a:a + s].tobytes())
+                    if key in seen:
+                        seen[key].append(int(place[u]))
+                        continue
+                    seen[key] = [int(place[u])]
+                    for column, value in zip(out, (key[0], i, th, key[1], sig[a:a + s], seen[key])):
                         column.append(value)
             return out if out[0] else None
         return step, lambda: None
@@ -160,15 +166,15 @@ def full_windows(marked: DataFrame, window: int, short: int) -> DataFrame:
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """(id, th, place, mask) of the windows whose words start in a smaller
+    """(id, th, places, mask) of the windows whose words start in a smaller
     document, among rows whose anchors are all below the group limit. Bit
-    o of mask: the window that begins o words before place."""
+    o of mask: the windows that begin o words before the places."""
     schema = StructType([StructField("id", LongType()), StructField("th", IntegerType()),
-                         StructField("place", IntegerType()), StructField("mask", LongType())])
+                         StructField("places", ArrayType(IntegerType())), StructField("mask", LongType())])
     names = schema.names
-    dealt = rows.select("h", "id", "th", "place", "first", "sigs").repartition("h").sortWithinPartitions("h")
+    dealt = rows.select("h", "id", "th", "first", "sigs", "places").repartition("h").sortWithinPartitions("h")
 
-    def judge(h, ids, th, place, first, sigs):
+    def judge(h, ids, th, first, sigs, places):
         size = np.array([len(s) for s in sigs])
         row = np.repeat(np.arange(len(h)), size)
         sig = np.concatenate(sigs)
@@ -182,20 +188,25 @@ def _compare(rows: DataFrame) -> DataFrame:
         mask = np.zeros(len(h), dtype=np.int64)
         np.bitwise_or.at(mask, r[gone], np.int64(1) << o[gone])
         hit = mask != 0
-        return pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (ids, th, place, mask)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(th[hit]), pa.array(
+            places[hit].tolist(), pa.list_(pa.int32())), pa.array(mask[hit])], names=names)
+
+    def arrays(column):
+        """The rows of a list column as an object array of arrays."""
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        ends = ends - ends[0]
+        out = np.empty(len(column), dtype=object)
+        for k in range(len(column)):
+            out[k] = flat[ends[k]:ends[k + 1]]
+        return out
 
     def run(batches):
         held: list = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            flat, ends = batch.column(5).flatten().to_numpy(zero_copy_only=False), batch.column(5).offsets.to_numpy()
-            ends = ends - ends[0]
-            sigs = np.empty(batch.num_rows, dtype=object)
-            for k in range(batch.num_rows):
-                sigs[k] = flat[ends[k]:ends[k + 1]]
-            held.append((*cols, sigs))
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            held.append((*cols, arrays(batch.column(4)), arrays(batch.column(5))))
             if sum(len(c[0]) for c in held) >= GROUP_ROWS:
                 whole = [np.concatenate(c) for c in zip(*held)]
                 cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
@@ -224,31 +235,32 @@ def _aggregate(rows: DataFrame) -> DataFrame:
     known = each.select(*around, "o", "sig").join(least, window).groupBy(*around).agg(
         F.collect_list(F.struct("o", "low")).alias("lows"))
     mask = F.expr("aggregate(lows, 0L, (m, x) -> m | if(id > x.low, shiftleft(1L, x.o), 0L))")
-    return rows.join(known, around).select("id", "th", "place", mask.alias("mask")).where("mask <> 0")
+    return rows.join(known, around).select("id", "th", "places", mask.alias("mask")).where("mask <> 0")
 
 
 def _apply(df: DataFrame, window: int) -> DataFrame:
     """n_words, n_removed and kept from text and the removed windows."""
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType()),
               StructField("kept", StringType())]
-    base = without(df, "th", "place", "mask")
+    base = without(df, "th", "places", "mask")
     schema = StructType([*base.schema.fields, *fields])
-    at = [df.columns.index(c) for c in ("text", "th", "place", "mask")]
+    at = [df.columns.index(c) for c in ("text", "th", "places", "mask")]
     keep = [df.columns.index(c) for c in base.columns]
 
-    def one(text, th, place, mask):
+    def one(text, th, places, mask):
         words = _words(text)
         if not th:
             return len(words), 0, b" ".join(words).decode("utf-8")
-        own = np.array(th) == _text_hash(text)
-        edge = np.zeros(len(words) + 1, dtype=np.int64)
-        for p, m in zip(np.array(place)[own].tolist(), np.array(mask)[own].tolist()):
-            while m:
+        own = _text_hash(text)
+        edge = [0] * (len(words) + window + 1)
+        for t, where, m in zip(th, places, mask):
+            while t == own and m:
                 o = (m & -m).bit_length() - 1
-                edge[p - o] += 1
-                edge[min(p - o + window, len(words))] -= 1
+                for p in where:
+                    edge[p - o] += 1
+                    edge[p - o + window] -= 1
                 m &= m - 1
-        cover = np.cumsum(edge[:-1]) > 0
+        cover = np.cumsum(edge)[:len(words)] > 0
         return len(words), int(cover.sum()), b" ".join([w for w, c in zip(words, cover.tolist()) if not c]).decode("utf-8")
 
     def run(batches):
@@ -285,10 +297,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
     if not frequent.isEmpty():
         rows = materialise(full_windows(known.join(frequent, "id"), window, short), "frequent")
         gone = gone.unionByName(_aggregate(rows))
-    removed = gone.groupBy("id").agg(F.collect_list(F.struct("th", "place", "mask")).alias("g")).select(
-        "id", F.col("g.th").alias("th"), F.col("g.place").alias("place"), F.col("g.mask").alias("mask"))
+    removed = gone.groupBy("id").agg(F.collect_list(F.struct("th", "places", "mask")).alias("g")).select(
+        "id", F.col("g.th").alias("th"), F.col("g.places").alias("places"), F.col("g.mask").alias("mask"))
     loses = known.join(removed, "id", "left")
-    nothing = [F.lit(None).cast(removed.schema[c].dataType).alias(c) for c in ("th", "place", "mask")]
+    nothing = [F.lit(None).cast(removed.schema[c].dataType).alias(c) for c in ("th", "places", "mask")]
     whole = docs.where("id IS NULL").select("id", "text", *nothing)
-    return _apply(loses.select("id", "text", "th", "place", "mask").unionByName(whole), window).select(
+    return _apply(loses.select("id", "text", "th", "places", "mask").unionByName(whole), window).select(
         F.col("id").alias(id_col), "n_words", "n_removed", "kept")
