@@ -21,7 +21,7 @@ split. On level 2 anchors of at most ``group_limit`` documents are
 compared within one task each; more frequent ones are aggregated by
 (anchor, window) instead and joined back, so no group is held in memory.
 
-Hashes: anchors 64 bit, full windows 32 bit more under the same anchor.
+Hashes: anchors 64 bit, full windows 64 bit more under the same anchor.
 
 Defined cases: null and empty texts keep nothing and lose nothing;
 windows of one document alone are not repeats; documents without an id
@@ -128,7 +128,7 @@ def full_windows(marked: DataFrame, window: int, short: int) -> DataFrame:
     so (a text that repeats itself gives one row, not one per place)."""
     schema = StructType([StructField("h", LongType()), StructField("id", LongType()),
                          StructField("th", IntegerType()), StructField("first", IntegerType()),
-                         StructField("sigs", ArrayType(IntegerType())), StructField("places", ArrayType(IntegerType()))])
+                         StructField("sigs", ArrayType(LongType())), StructField("places", ArrayType(IntegerType()))])
     reach = window - short + 1
 
     def start():
@@ -147,7 +147,7 @@ def full_windows(marked: DataFrame, window: int, short: int) -> DataFrame:
                 place = at[head]
                 h = low[place].view(np.int64)
                 use = np.flatnonzero(np.isin(h, np.array(m, dtype=np.int64)))
-                sig = (high >> _U(32)).astype(np.uint32).view(np.int32)
+                sig = high.view(np.int64)
                 th = _text_hash(t)
                 seen: dict = {}
                 for u in use.tolist():

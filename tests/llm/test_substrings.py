@@ -1,6 +1,8 @@
 import hashlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import substrings
 from lodestar.llm.catalog import op8_substrings
@@ -49,3 +51,21 @@ def test_no_survivors_and_empty(spark):
     assert substrings.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         substrings.dedup(shared(spark), window=13, short=14)
+
+
+def test_windows_are_told_apart_by_64_bits(spark, monkeypatch):
+    """Full windows whose hashes agree in the upper 32 bits only."""
+    longer = substrings._longer
+
+    def upper_equal(h, short, window):
+        out = longer(h, short, window)
+        return out & np.uint64(0xFFFFFFFF) if window == 13 else out
+
+    monkeypatch.setattr(substrings, "_longer", upper_equal)
+    docs = spark.createDataFrame([(i, f"left{i} " + "a b c d e f g h i j k l" + f" right{i}") for i in range(3)],
+                                 "doc_id long, text string")
+    marked = docs.selectExpr("doc_id AS id", "text")
+    marks = [r.h for r in substrings.anchors(marked, 13, 5).select("h").distinct().collect()]
+    rows = substrings.full_windows(marked.withColumn("marks", F.array(*[F.lit(h) for h in marks])), 13, 5)
+    assert rows.count() >= 3
+    assert substrings._compare(rows).count() == substrings._aggregate(rows).count() == 0
