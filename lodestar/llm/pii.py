@@ -1,17 +1,20 @@
 """Personal data: patterns, and the terms that give them away.
 
 Information-theoretic sanitisation. Pattern matches are the protected
-entities. A term near an entity tells about it as much as their
-co-occurrence in the corpus says: with document frequencies, the
-pointwise mutual information log(N n(e,t) / (n(e) n(t))) is the part of
+entities. A term in a text with an entity tells about it as much as their
+co-occurrence in the corpus says: with document frequencies, all of them
+over whole texts and, for terms, outside all matches, the pointwise mutual information log(N n(e,t) / (n(e) n(t))) is the part of
 the entity's information content log(N / n(e)) that the term discloses.
-Terms that disclose at least ``remove_at`` of it are removed beside that
-entity, those from ``generalise_at`` on are generalised. A pair needs
+Terms that disclose at least ``remove_at`` of it are removed wherever they
+stand in texts with that entity, those from ``generalise_at`` on are
+generalised. A pair needs
 ``min_support`` documents, since one joint occurrence estimates nothing.
 
 All counts cover all documents. Terms are counted per task before the
-shuffle; entity-term pairs come only from texts that hold an entity, and
-only those texts are shuffled when the findings are joined back.
+shuffle; entity-term pairs come only from texts that hold an entity of
+``min_support`` documents (another can have no pair), are aggregated per
+task and salted by entity where they meet its count, and only texts with
+an entity are shuffled when the findings are joined back.
 
 Defined cases: null and empty texts have no spans; repeated rows are
 treated alike; extra columns are kept; an empty table gives an empty
@@ -40,6 +43,7 @@ KINDS = tuple(PATTERNS)
 _REGEX = {k: re.compile(p) for k, p in PATTERNS.items()}
 _TERM = re.compile(r"[^\W\d_]{3,}")
 COUNT_TERMS = 300_000
+SALTS = 32
 
 
 def _luhn(digits: str) -> bool:
@@ -90,38 +94,47 @@ def find(t: str | None) -> list[tuple[str, int, int]]:
     return spans
 
 
-def _near(t: str, spans, reach: int):
-    """(entity kind, entity, term, start, end) of the terms within
-    ``reach`` characters of a span, outside all spans."""
-    out = []
-    for kind, a, b in spans:
-        entity = t[a:b] if kind == "email" else "".join(c for c in t[a:b] if c.isdigit() or kind == "ip")
-        lo, hi = max(0, a - reach), min(len(t), b + reach)
-        for m in _TERM.finditer(t, lo, hi):
-            s, e = m.span()
-            whole = (s > lo or s == 0 or not t[s - 1].isalpha()) and (e < hi or e == len(t) or not t[e].isalpha())
-            if whole and all(e <= x or s >= y for _, x, y in spans):
-                out.append((kind, entity, m.group().lower(), s, e))
-    return out
+def _terms(t: str, spans):
+    """Matches of the terms of a text outside all spans."""
+    taken = sorted((a, b) for _, a, b in spans)
+    k = end = 0
+    for m in _TERM.finditer(t):
+        while k < len(taken) and taken[k][0] < m.end():
+            end = max(end, taken[k][1])
+            k += 1
+        if end <= m.start():
+            yield m
+
+
+def _term_set(t: str, spans) -> set[str]:
+    found = {m.group() for m in _terms(t, spans)} if spans else set(_TERM.findall(t))
+    return {x.lower() for x in found}
+
+
+def _context(t: str, spans):
+    """The distinct entities (kind, entity, no term) of a text, then its
+    distinct terms (no kind, no entity, term)."""
+    entities = {(kind, t[a:b] if kind == "email" else "".join(c for c in t[a:b] if c.isdigit() or kind == "ip"))
+                for kind, a, b in spans}
+    return [(*e, None) for e in sorted(entities)] + [(None, None, x) for x in sorted(_term_set(t, spans))]
 
 
 _SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()),
                     StructField("end", LongType())])
 _CONTEXT = StructType([StructField("kind", StringType()), StructField("entity", StringType()),
-                       StructField("term", StringType()), StructField("start", LongType()),
-                       StructField("end", LongType())])
+                       StructField("term", StringType())])
 
 
-def scan(df: DataFrame, text: str = "text", reach: int = 60) -> DataFrame:
+def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with base (spans by kind, then start) and context (the
-    terms beside them). Map only."""
+    entities and terms of a text with spans, else empty). Map only."""
     fields = [StructField("base", ArrayType(_SPAN)), StructField("context", ArrayType(_CONTEXT))]
     span_names, context_names = _SPAN.names, _CONTEXT.names
 
     def start():
         def work(texts):
             base = [find(t) for t in texts]
-            near = [_near(t, s, reach) if s else [] for t, s in zip(texts, base)]
+            near = [_context(t, s) if s else [] for t, s in zip(texts, base)]
             return [[[dict(zip(span_names, s)) for s in b] for b in base],
                     [[dict(zip(context_names, c)) for c in n] for n in near]]
         return work
@@ -130,7 +143,8 @@ def scan(df: DataFrame, text: str = "text", reach: int = 60) -> DataFrame:
 
 
 def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): the documents of the corpus that hold each term."""
+    """(term, n): the documents of the corpus that hold each term outside
+    all spans."""
     out = StructType([StructField("term", StringType()), StructField("n", LongType())])
 
     def start():
@@ -144,58 +158,89 @@ def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
         def step(texts):
             for t in texts:
                 if t:
-                    counts.update(set(_TERM.findall(t.lower())))
+                    counts.update(_term_set(t, find(t)))
             return flush() if len(counts) > COUNT_TERMS else None
         return step, flush
 
     return emit_rows(df.select(text), out, start).groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _pairs(contexts: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row per document (key), entity of ``entities`` (with its other
+    columns) and term that it holds."""
+    salted = entities.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    uses = contexts.select("key", F.explode("context").alias("c")).where("c.kind IS NOT NULL") \
+        .select("key", "c.kind", "c.entity").distinct() \
+        .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    own = uses.join(salted, ["kind", "entity", "salt"]).groupBy("key").agg(
+        F.collect_list(F.struct(*entities.columns)).alias("own"))
+    terms = contexts.select("key", F.expr("transform(filter(context, c -> c.term IS NOT NULL), c -> c.term)").alias("terms"))
+    return terms.join(own, "key").select("key", "terms", F.explode("own").alias("e")).select(
+        "key", "e.*", F.explode("terms").alias("term"))
+
+
 def disclosing(df: DataFrame, contexts: DataFrame, text: str = "text", generalise_at: float = 0.5,
                remove_at: float = 0.8, min_support: int = 3) -> DataFrame:
     """(kind, entity, term, action) of the pairs at or over a disclosure
     threshold. ``contexts``: one ``context`` array per document that
-    holds an entity."""
+    holds an entity, and the ``key`` of its text if at hand."""
     total = df.count()
-    entities = contexts.select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(
-        c["kind"].alias("kind"), c["entity"].alias("entity"))))).alias("e")).select("e.*") \
-        .groupBy("kind", "entity").agg(F.count("*").alias("ne"))
-    pairs = contexts.select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(
-        c["kind"].alias("kind"), c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p")).select("p.*") \
-        .groupBy("kind", "entity", "term").agg(F.count("*").alias("net")).where(F.col("net") >= min_support)
-    # an entity with n(e) = N carries no information: nothing can disclose it
+    if "key" not in contexts.columns:
+        contexts = contexts.withColumn("key", F.sha2(F.to_json("context"), 256))
+    # a pair has at most the documents of its entity; an entity with
+    # n(e) = N carries no information: nothing can disclose it
+    entities = contexts.select(F.explode("context").alias("c")).where("c.kind IS NOT NULL").groupBy(
+        F.col("c.kind").alias("kind"), F.col("c.entity").alias("entity")).agg(F.count("*").alias("ne")) \
+        .where((F.col("ne") >= min_support) & (F.col("ne") < total))
+    pairs = _pairs(contexts, entities).groupBy("kind", "entity", "ne", "term").agg(F.count("*").alias("net")) \
+        .where(F.col("net") >= min_support)
     share = F.log(F.lit(float(total)) * F.col("net") / (F.col("ne") * F.col("n"))) / F.log(F.lit(float(total)) / F.col("ne"))
-    return pairs.join(entities, ["kind", "entity"]).where(F.col("ne") < total).join(term_counts(df, text), "term") \
+    return pairs.join(term_counts(df, text), "term") \
         .withColumn("share", share).where(F.col("share") >= generalise_at) \
         .select("kind", "entity", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")
                 .alias("action"))
 
 
 def sanitise(df: DataFrame, text: str = "text", generalise_at: float = 0.5, remove_at: float = 0.8,
-             min_support: int = 3, reach: int = 60) -> DataFrame:
+             min_support: int = 3) -> DataFrame:
     """``df`` with base, spans (base ones and, as kinds ``generalise``
     and ``remove``, disclosing terms; both arrays by kind as listed, then
     start) and clean, the text with every span replaced."""
     columns = df.columns
-    found = scan(df, text, reach)
+    found = scan(df, text)
     held = materialise(found.where(F.size("context") > 0).select(F.sha2(text, 256).alias("key"), "context"), "pii")
-    telling = disclosing(df, held.select("context"), text, generalise_at, remove_at, min_support)
-    extra = held.dropDuplicates(["key"]).select("key", F.explode("context").alias("c")).select("key", "c.*") \
-        .join(telling, ["kind", "entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct(
-            F.col("action").alias("kind"), "start", "end"))).alias("more"))
-    # only texts with terms beside an entity meet the join
-    plain = found.where(F.size("context") == 0).withColumn("more", F.lit(None).cast(ArrayType(_SPAN)))
+    telling = materialise(disclosing(df, held, text, generalise_at, remove_at, min_support), "telling")
+    extra = _pairs(held.dropDuplicates(["key"]), telling.select("kind", "entity").distinct()) \
+        .join(telling, ["kind", "entity", "term"]).groupBy("key").agg(
+            F.collect_set(F.struct("term", "action")).alias("told"))
+    # only texts with an entity meet the join
+    plain = found.where(F.size("context") == 0).withColumn("told", F.lit(None).cast(extra.schema["told"].dataType))
     full = found.where(F.size("context") > 0)
     full = full.join(extra, F.sha2(F.col(text), 256) == extra.key, "left").drop("key")
-    both = plain.unionByName(full)
-    # a term beside two entities keeps the stronger action
-    more = F.coalesce("more", F.array().cast(ArrayType(_SPAN)))
-    more = F.filter(more, lambda s: (s["kind"] == "remove") | ~F.exists(more, lambda o: (
-        o["kind"] == "remove") & (o["start"] == s["start"])))
-    marked = both.withColumn("spans", F.concat("base", more))
+    marked = _mark(plain.unionByName(full), text)
     return _redact(marked, text).select(*[F.col(f"`{c}`") for c in columns if c.lower() not in _OUT], *_OUT)
 
 
+def _mark(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with spans: base, then every place of the terms in told. A
+    term told of by two entities keeps the stronger action."""
+    told = F.struct(F.col(text).alias("t"), F.col("base").alias("b"), F.col("told").alias("told"))
+    df = df.withColumn("__told", F.when(F.size("told") > 0, told))
+
+    def start():
+        def more(p):
+            if p is None:
+                return []
+            action = dict(sorted((x["term"], x["action"]) for x in p["told"]))  # remove comes last
+            spans = [(s["kind"], s["start"], s["end"]) for s in p["b"]]
+            places = ((action.get(m.group().lower()), *m.span()) for m in _terms(p["t"], spans))
+            return [dict(zip(_SPAN.names, x)) for x in sorted(x for x in places if x[0])]
+        return lambda rows: [[more(p) for p in rows]]
+
+    return add_columns(df, "__told", [StructField("__more", ArrayType(_SPAN))], start).withColumn(
+        "spans", F.concat("base", "__more"))
+
+
 _OUT = ("base", "spans", "clean")
 
 

@@ -96,3 +96,26 @@ def test_clean_replaces_all_spans_and_keeps_the_rest(spark):
 
 def test_empty_table(spark):
     assert pii.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_terms_far_from_the_entity_are_counted_and_marked_in_whole_texts(spark):
+    gap = " filler" * 20
+    rows = [(i, f"Zorro wrote.{gap} his address is zorro@x.org{gap} and so did Zorro, number {i}") for i in range(6)]
+    rows += [(i, f"nobody wrote.{gap} number {i}") for i in range(6, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert all("Zorro" not in got[i].clean for i in range(6))
+    assert [sum(s.kind == "remove" and got[0].text[s.start:s.end] == "Zorro" for s in got[i].spans)
+            for i in range(6)] == [2] * 6
+    assert all(got[i].clean == got[i].text for i in range(6, 40))
+
+
+def test_counts_are_of_documents_and_outside_spans(spark):
+    """n(e) = 6, of which 3 hold no term; n(e,t) = n(t) = 3: one in two
+    documents of N = 40 discloses all; a term inside an address is none."""
+    rows = [(i, "zorro@x.org Quixote" if i < 3 else "zorro@x.org") for i in range(6)]
+    rows += [(i, "12 quixotes@quixote.com" if i < 30 else "34") for i in range(6, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.term: r.n for r in pii.term_counts(df).collect()} == {"quixote": 3}
+    got = pii.disclosing(df, pii.scan(df).where("size(context) > 0").select("context")).collect()
+    assert [(r.entity, r.term, r.action) for r in got] == [("zorro@x.org", "quixote", "remove")]
