@@ -114,3 +114,19 @@ def test_forbidden_destination_rejected(spark, found):
     cases, sctx, cf = found
     assert cf.filter(F.col("segment") == "FURNITURE").count() == 0
     assert cf.filter(F.col("sum_qty") > 300).count() == 0
+
+
+def test_registered_random_search_makes_all_trials(spark, monkeypatch):
+    """30 trials, and the refit has the parameters of the best one."""
+    from lodestar.plans import catalog
+    fitted = []
+
+    def fit(df, spec, family, params=None, scale=False):
+        fitted.append(params)
+        return None, None, len(fitted)
+
+    monkeypatch.setattr(catalog.mdl, "fit", fit)
+    monkeypatch.setattr(catalog.mdl, "evaluate", lambda scorer, *a: {"f1": 1.0 if scorer == 29 else 0.5})
+    got = catalog.m12_random_search(spark, SMALL).collect()
+    assert sorted(r.trial for r in got if r.kind == "trial") == [float(i) for i in range(30)]
+    assert len(fitted) == 31 and fitted[30] == fitted[28]
