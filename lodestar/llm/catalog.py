@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, mixing, pii, quality, secret_scan, simhash, substrings, topk, toxicity
+from lodestar.llm import bpe, chat, divergence, mixing, negatives, pii, quality, secret_scan, simhash, substrings, topk, toxicity
 from lodestar.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -85,6 +85,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secrets": op2_secrets,
@@ -96,6 +105,8 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
+    "op11_negatives": op11_negatives,
+    "op13_divergence": op13_divergence,
 }
 
 _OP2 = r"""
@@ -166,6 +177,47 @@ z AS (SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
 SELECT doc_id, n_words, n_removed, sha256(coalesce(list_aggregate(kept, 'string_agg', ' '), '')) AS kept_sha256 FROM z
 """
 
+_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT r, lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS total FROM c GROUP BY ALL HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+e AS (SELECT lang, source, term, sum(n)::BIGINT AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+h AS (SELECT g.lang, g.source, coalesce(sum(e.n), 0) + 5 * coalesce(any_value(v.v), 0) AS whole
+  FROM g LEFT JOIN e USING (lang, source) LEFT JOIN v USING (lang) GROUP BY g.lang, g.source),
+f AS (SELECT h.lang, h.source, k.term, coalesce(e.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(e.n, 0) + 5)) // h.whole::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.total + 5)) // (v.n + 5 * v.v)::HUGEINT AS q
+  FROM h JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN e ON e.lang = h.lang AND e.source = h.source AND e.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+  FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM f WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM y)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM z WHERE part = 'pair' OR rank <= 50
+"""
+
 # Left out where SQL lacks the hash, the vocabulary or the fitted model
 # that the query names: those are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -173,4 +225,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_topk": _OP3,
     "op7_chat": _OP7,
     "op8_substrings": _OP8,
+    "op11_negatives": _OP11,
+    "op13_divergence": _OP13,
 }

@@ -8,14 +8,16 @@ value is known. The last pass keeps scores over it and, of the ties, the
 smallest ids.
 
 The queries are a stated set, so every (query block, candidate block)
-pair is scored once per pass; a block of vectors is bounded and its
-scores never leave the task. A task sends only the buckets that hold its
-own k best, since the kth best of all is no smaller than its own.
+pair is scored once per pass; candidate blocks are stored once, in lots
+that the query blocks are copied to, and scores never leave the task. A
+pair sends only the buckets that hold its own k best, since the kth best
+of all is no smaller than its own.
 
 Defined cases: vectors that are null, hold a null or a non-finite
 component, or have no id take no part; shorter vectors count as padded
-with zeros; a query's own row is left out by id; other rows that repeat
-an id or a vector are candidates of their own; a query with fewer
+with zeros; a query's own row is left out by id; a query id on several
+rows is one query (the least vector); other rows that repeat an id or a
+vector are candidates of their own; extra columns are ignored; a query with fewer
 candidates gets all of them; an empty table gives an empty table; scores
 beyond 64 bits are clipped to them.
 """
@@ -23,86 +25,26 @@ beyond 64 bits are clipped to them.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from lodestar.llm.common import arrow_map, materialise
+from lodestar.llm.blocks import best_of, cut, lots_for, meet, quantised, scored
+from lodestar.llm.common import materialise
 
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 2048
-# Candidate blocks that meet one query block in one join key.
-LOT_BLOCKS = 4
 BUCKETS = 1024
-_EXACT = float(1 << 53)
 _LOW = -(1 << 63)
 
 
-def quantised(df: DataFrame, id_col: str, vector: str, scale: float = 256.0) -> DataFrame:
-    """(id, v): vectors with all components finite, as floor(scale * x)."""
-    usable = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.forall(
-        vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
-    # floor() of a double would be clipped to 64 bits; the remainder keeps it a double
-    def down(x):
-        y = x.cast("double") * scale
-        r = y % 1.0
-        return F.when(r < 0, y - r - 1.0).otherwise(y - r)
-    return df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, down).alias("v"))
-
-
-def _blocks(rows: DataFrame, key: Column, name: str) -> DataFrame:
-    """(name, ids, vs): vectors of one block in one row."""
-    return rows.groupBy(key.alias(name)).agg(F.collect_list(F.struct("id", "v")).alias("m")) \
-        .select(name, F.col("m.id").alias(f"{name}_ids"), F.col("m.v").alias(f"{name}_vs"))
-
-
-def _matrix(vectors: pa.ListArray) -> np.ndarray:
-    """Vectors as rows, shorter ones padded with zeros."""
-    ends = vectors.offsets.to_numpy()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    size = np.diff(ends)
-    width = int(size.max(initial=0))
-    if (size == width).all():
-        return flat.reshape(len(size), width)
-    out = np.zeros((len(size), width))
-    out[np.arange(width) < size[:, None]] = flat
-    return out
-
-
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    width = min(q.shape[1], c.shape[1])
-    q, c = q[:, :width], c[:, :width]
-    top = max(1, width) * np.abs(q).max(initial=0) * np.abs(c).max(initial=0)
-    if top < _EXACT:
-        return (q @ c.T).astype(np.int64)
-    whole = [[int(x) for x in row] for row in c.tolist()]
-    return np.array([[min(max(sum(int(a) * b for a, b in zip(row, other)), _LOW), -_LOW - 1) for other in whole]
-                     for row in q.tolist()], dtype=np.int64).reshape(len(q), len(c))
-
-
-def _scored(pairs: DataFrame, schema: StructType, pick) -> DataFrame:
-    """Rows that ``pick(query ids, candidate ids, scores, low, width)``
-    makes of each pair of blocks."""
-    names = schema.names
-
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                qi, qv, low, width, ci, cv = [batch.column(i)[r].values for i in range(6)]
-                q, c = _matrix(qv), _matrix(cv)
-                qi, low, width, ci = (x.to_numpy(zero_copy_only=False) for x in (qi, low, width, ci))
-                for o in range(0, len(qi), 256):
-                    s = slice(o, o + 256)
-                    out = pick(qi[s], ci, _scores(q[s], c), low[s], width[s])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
-
-    return arrow_map(pairs.select("q_ids", "q_vs", "lows", "widths", "c_ids", "c_vs"), run, schema)
+def _arrays(columns) -> list[np.ndarray]:
+    return [x.to_numpy(zero_copy_only=False) for x in columns]
 
 
 def _histogram(k: int):
-    def pick(qi, ci, scores, low, width):
+    def pick(scores, queries, candidates):
+        (qi, low, width), (ci,) = _arrays(queries), _arrays(candidates)
         n = len(qi)
         bucket = np.clip((scores - low[:, None]) // width[:, None], -1, BUCKETS)
         own = ci[None, :] == qi[:, None]
@@ -116,14 +58,10 @@ def _histogram(k: int):
 
 
 def _survivors(k: int):
-    def pick(qi, ci, scores, low, width):
-        rows, cols = np.nonzero((scores >= low[:, None]) & (ci[None, :] != qi[:, None]))
-        s = scores[rows, cols]
-        order = np.lexsort((ci[cols], -s, rows))
-        rows, cols, s = rows[order], cols[order], s[order]
-        first = np.searchsorted(rows, rows)
-        best = np.arange(len(rows)) - first < k
-        return qi[rows[best]], ci[cols[best]], s[best]
+    def pick(scores, queries, candidates):
+        (qi, low, _), (ci,) = _arrays(queries), _arrays(candidates)
+        rows, cols = best_of(scores, (scores >= low[:, None]) & (ci[None, :] != qi[:, None]), ci, k)
+        return qi[rows], ci[cols], scores[rows, cols]
     return pick
 
 
@@ -134,14 +72,13 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     spark = df.sparkSession
     tagged = df.select(id_col, vector, is_query.alias("__query"))
     rows = materialise(quantised(tagged, id_col, vector, scale), "vectors")
-    asked = materialise(quantised(tagged.where("__query"), id_col, vector, scale).dropDuplicates(["id"]), "queries")
+    asked = materialise(quantised(tagged.where("__query"), id_col, vector, scale).groupBy("id").agg(
+        F.min("v").alias("v")), "queries")
     n_queries, n_rows = asked.count(), rows.count()
     schema = StructType([StructField("query_id", LongType()), StructField("rank", IntegerType()),
                          StructField("id", LongType()), StructField("score", LongType())])
     if not n_queries or not n_rows:
         return spark.createDataFrame([], schema)
-    n_q, n_c = -(-n_queries // QUERY_BLOCK), -(-n_rows // CANDIDATE_BLOCK)
-    n_lots = -(-n_c // LOT_BLOCKS)
     # no score exceeds the product of the norms
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     longest = rows.agg(F.max(norm)).first()[0] or 0.0
@@ -149,22 +86,17 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     state = asked.select("id", (-limit).alias("low"), F.ceil((2 * limit + 1) / F.lit(BUCKETS)).cast("long")
                          .alias("width"))
     state = materialise(state, "interval")
-    # dealt by id and vector, so rows that share either spread
-    spread = F.pmod(F.xxhash64("id", "v"), F.lit(n_c))
-    candidates = materialise(_blocks(rows, spread, "c").withColumn("lot", (F.col("c") % n_lots).cast("int")).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).repartition("c", "q"), "blocks")
-
-    def pairs():
-        now = asked.join(state, "id").withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int"))
-        blocks = now.groupBy("q").agg(F.collect_list(F.struct("id", "v", "low", "width")).alias("m")).select(
-            "q", F.col("m.id").alias("q_ids"), F.col("m.v").alias("q_vs"), F.col("m.low").alias("lows"),
-            F.col("m.width").alias("widths"))
-        return candidates.join(blocks, "q")
+    candidates = materialise(cut(rows, CANDIDATE_BLOCK, "c"), "blocks")
+    lots = lots_for(candidates)
+
+    def passed(schema, pick):
+        now = asked.join(state, "id").select("id", "v", "low", "width")
+        return scored(meet(cut(now, QUERY_BLOCK, "q"), candidates, lots), ["id", "low", "width"], [], schema, pick)
 
     counted = StructType([StructField("id", LongType()), StructField("bucket", LongType()),
                           StructField("n", LongType())])
     while True:
-        sums = _scored(pairs(), counted, _histogram(k)).groupBy("id", "bucket").agg(F.sum("n").alias("n"))
+        sums = passed(counted, _histogram(k)).groupBy("id", "bucket").agg(F.sum("n").alias("n"))
         running = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("bucket")))
         # scores over the interval fall in its last bucket + 1 and were counted in earlier passes
         kth = sums.withColumn("upto", running).where(F.col("upto") >= k).groupBy("id") \
@@ -181,5 +113,5 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     found = StructType([StructField("query_id", LongType()), StructField("id", LongType()),
                         StructField("score", LongType())])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return _scored(pairs(), found, _survivors(k)).withColumn("rank", F.row_number().over(best)).where(
+    return passed(found, _survivors(k)).withColumn("rank", F.row_number().over(best)).where(
         F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
