@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, divergence, mixing, negatives, pii, quality, secret_scan, simhash, substrings, topk, toxicity
+from lodestar.llm import bpe, chat, divergence, mixing, negatives, pii, quality, secret_scan, simhash, substrings, topk, toxicity, warc
 from lodestar.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -90,6 +90,12 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"))
+    return warc.resolve(warc.read(spark, warc.deduplicate(spark, archive))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -106,6 +112,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
     "op11_negatives": op11_negatives,
+    "op12_warc": op12_warc,
     "op13_divergence": op13_divergence,
 }
 
@@ -193,6 +200,18 @@ n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, scor
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """
 
+_OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS kept,
+  row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS place FROM p),
+b AS (SELECT *, list_transform(range(4), lambda i: ('0x' || s[10 * i + 1:10 * i + 10])::BIGINT) AS parts FROM g)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(flatten(list_transform(parts, lambda x: list_transform(range(8),
+    lambda j: ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[1 + (x >> (35 - 5 * j)) % 32]))), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN kept END AS refers_to FROM b
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -226,5 +245,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat": _OP7,
     "op8_substrings": _OP8,
     "op11_negatives": _OP11,
+    "op12_warc": _OP12,
     "op13_divergence": _OP13,
 }

@@ -20,7 +20,8 @@ zeros; an anchor id on several rows is one anchor (least label, then
 least vector); rows with the anchor's id are no partners of it, other
 rows that repeat an id or vector are partners of their own; an anchor
 without positives, or a positive without negatives, gives no row; a
-negative positive score has an empty window; an empty table gives an
+negative positive score has an empty window; scores beyond 64 bits are
+clipped to them; an empty table gives an
 empty table; extra columns are ignored.
 """
 
