@@ -193,29 +193,29 @@ def revisits(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.col("record_id") != F.col("kept.record_id")).select("record_id", "kept")
 
 
-def deduplicate(spark: SparkSession, source: str, path: str | None = None, min_bytes: int = 0, seed: int = 1 << 40) -> str:
+def _fresh(record_id: Column) -> Column:
+    """The id that a record has in the archive written next."""
+    hexes = F.md5(F.concat(F.lit("fresh "), record_id))
+    return F.regexp_replace(hexes, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def deduplicate(spark: SparkSession, source: str, path: str | None = None, min_bytes: int = 0) -> str:
     """Write the archive anew: payloads that repeat become revisit
-    records; the new archive's folder."""
+    records; the new archive's folder. Payloads are shuffled only where
+    the list of revisits is too large for Spark to broadcast it."""
     heads = materialise(read(spark, source), "heads")
     gone = materialise(revisits(heads, min_bytes), "revisits")
-    # ids of the new archive, drawn once: a revisit names its response by it
-    fresh = materialise(heads.select("record_id", F.uuid(F.lit(seed)).alias("fresh")), "fresh")
-    often = gone.groupBy("kept.record_id").agg(F.count(F.lit(1)).alias("n"))
-    named = often.join(fresh, "record_id").select(F.col("record_id").alias("target"), F.col("fresh").alias("target_fresh"), "n")
-    named = materialise(named, "named")
-    marked = _joined(gone.withColumn("target", F.col("kept.record_id")), named, ["target"], heads.count()).drop("target")
-    plan = materialise(fresh.join(marked, "record_id", "left"), "plan")
-    all_records = read(spark, source, payloads=True).select("record_id", "page_id", "uri", "date", "payload",
-                                                            "payload_bytes", "payload_digest")
-    rows = all_records.join(plan, "record_id")
+    records = read(spark, source, payloads=True).select("record_id", "page_id", "uri", "date", "payload",
+                                                        "payload_bytes", "payload_digest")
+    rows = records.join(gone, "record_id", "left")
     again = F.col("kept").isNotNull()
     payload = F.when(~again, F.col("payload").cast("string")).otherwise(F.lit(""))
     fields = {"WARC-Date": F.col("date"), "WARC-Target-URI": F.col("uri"), "X-Page-Id": F.col("page_id"),
               "WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("payload_digest")),
               "WARC-Profile": F.when(again, PROFILE),
-              "WARC-Refers-To": F.when(again, F.concat(F.lit("<urn:uuid:"), F.col("target_fresh"), F.lit(">"))),
+              "WARC-Refers-To": F.concat(F.lit("<urn:uuid:"), _fresh(F.col("kept.record_id")), F.lit(">")),
               "WARC-Refers-To-Target-URI": F.col("kept.uri"), "WARC-Refers-To-Date": F.col("kept.date")}
-    record = _record(F.when(again, "revisit").otherwise("response"), F.col("fresh"), fields,
+    record = _record(F.when(again, "revisit").otherwise("response"), _fresh(F.col("record_id")), fields,
                      _block(payload, F.col("payload_bytes")))
     return _save(rows.select(record.alias("value")), path or scratch_path(spark, "warc"))
 
