@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lodestar.functions.columns import uniform_draw
+from lodestar.sources.files import stored
 
 
 def _matrix(vectors) -> "np.ndarray":
@@ -130,17 +132,246 @@ def assign(points: DataFrame, centres: list, column: str = "vector") -> DataFram
     return points.mapInArrow(run, schema)
 
 
+# Rounds of oversampling, and candidates a round in expectation per centre.
+SEED_ROUNDS, OVERSAMPLING = 3, 2
+# Rows whose distances to all centres of all restarts are held at once.
+DISTANCE_CELLS = 1 << 21
+
+
+def _slices(batches, n_centres: int):
+    """(id hash, vectors) in slices of bounded distance tables."""
+    import numpy as np
+    for batch in batches:
+        step = max(1, DISTANCE_CELLS // max(1, n_centres))
+        for o in range(0, batch.num_rows, step):
+            part = batch.slice(o, step)
+            yield part.column(0).to_numpy(zero_copy_only=False), np.ascontiguousarray(_matrix(part.column(1)))
+
+
+def _square_distances(x: "np.ndarray", centres: "np.ndarray"):
+    import numpy as np
+    d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ centres.T) + (centres * centres).sum(axis=1)[None, :]
+    return np.maximum(d, 0.0)
+
+
+def _draws(ids: "np.ndarray", seed: int):
+    """Uniform draws in [0, 1) from id hashes and a seed."""
+    import numpy as np
+    with np.errstate(over="ignore"):
+        z = ids.view(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _added(parts: DataFrame, shape: tuple) -> "np.ndarray":
+    """Sum of the arrays that tasks hand on as bytes, one row a task; many
+    of them are added up in a tree of tasks, not on the driver."""
+    import numpy as np
+    arrays = parts.rdd.map(lambda r: np.frombuffer(r[0]))
+    total = arrays.treeReduce(lambda a, b: a + b) if arrays.getNumPartitions() > 64 else sum(arrays.collect())
+    return np.asarray(total, dtype=float).reshape(shape) if np.ndim(total) else np.zeros(shape)
+
+
+class Restarts:
+    """K-Means from many starts, of one or of several k, with one pass over
+    the points for all of them at every step.
+
+    Seeding is k-means||: from one point per start, each round takes a
+    point with a probability in proportion to its squared distance to the
+    candidates so far (draws are hashes of the id, so they do not depend on
+    partitions); candidates are weighted by the points nearest to them and
+    reduced to k by weighted k-means++ on the driver. A Lloyd pass hands on
+    partial sums per (start, centre); starts that have settled take no part
+    in the next pass. Candidates and centres are model-sized; points stay
+    where they are."""
+
+    def __init__(self, points: DataFrame, starts: list[tuple[int, int]], id_col: str = "id", column: str = "vector"):
+        self.points = points.select(F.xxhash64(id_col).alias("h"), F.col(column).alias("v"))
+        self.starts, self.id_col, self.column, self.source = starts, id_col, column, points
+
+    def _run(self, work, shape: tuple):
+        """``work(slices, out)`` adds to an array of ``shape`` per task."""
+        import numpy as np
+        import pyarrow as pa
+        n_centres = max(shape[0], 1)
+
+        def run(batches):
+            out = np.zeros(shape)
+            work(_slices(batches, n_centres), out)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["a"])
+
+        return _added(self.points.mapInArrow(run, "a binary"), shape)
+
+    def _nearest_of(self, centres: list) -> tuple:
+        """All starts' centres in one table, and where each start's are."""
+        import numpy as np
+        ends = np.cumsum([0, *map(len, centres)])
+        return np.concatenate(centres), ends
+
+    def _first(self) -> list:
+        """Per start, the point of the smallest draw."""
+        import numpy as np
+        import pyarrow as pa
+        seeds = [seed for _, seed in self.starts]
+
+        def run(batches):
+            best: dict = {}
+            for h, x in _slices(batches, len(seeds)):
+                for r, seed in enumerate(seeds):
+                    if len(h):
+                        u = _draws(h, seed)
+                        i = int(u.argmin())
+                        best[r] = min(best.get(r, (2.0, ())), (float(u[i]), tuple(x[i].tolist())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([b[0] for b in best.values()], pa.float64()),
+                                              pa.array([b[1] for b in best.values()], pa.list_(pa.float64()))], names=["r", "u", "v"])
+
+        rows = self.points.mapInArrow(run, "r int, u double, v array<double>").groupBy("r").agg(
+            F.min(F.struct("u", "v")).alias("b")).collect()
+        found = {r["r"]: np.array([r["b"]["v"]]) for r in rows}
+        if not found:
+            raise ValueError("no points to cluster")
+        return [found[r] for r in range(len(seeds))]
+
+    def _costs(self, centres: list):
+        table, ends = self._nearest_of(centres)
+
+        def work(slices, out):
+            for _, x in slices:
+                d = _square_distances(x, table)
+                for r in range(len(ends) - 1):
+                    out[r] += d[:, ends[r]:ends[r + 1]].min(axis=1).sum()
+        return self._run(work, (len(centres),))
+
+    def _drawn(self, centres: list, costs, number: int) -> list:
+        """Candidates of one more round, per start."""
+        import numpy as np
+        import pyarrow as pa
+        table, ends = self._nearest_of(centres)
+        starts, per = self.starts, OVERSAMPLING
+
+        def run(batches):
+            for h, x in _slices(batches, len(table)):
+                d = _square_distances(x, table)
+                rows, vs = [], []
+                for r, (k, seed) in enumerate(starts):
+                    if costs[r] > 0:
+                        near = d[:, ends[r]:ends[r + 1]].min(axis=1)
+                        taken = np.nonzero(_draws(h, seed * 1_000_003 + number + 1) * costs[r] < per * k * near)[0]
+                        rows += [r] * len(taken)
+                        vs += x[taken].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(vs, pa.list_(pa.float64()))],
+                                                 names=["r", "v"])
+
+        # in expectation OVERSAMPLING * k rows per start
+        found = self.points.mapInArrow(run, "r int, v array<double>").distinct().orderBy("r", "v").collect()
+        out = [list(map(tuple, c.tolist())) for c in centres]
+        for row in found:
+            if tuple(row["v"]) not in out[row["r"]]:
+                out[row["r"]].append(tuple(row["v"]))
+        return [np.array(c) for c in out]
+
+    def _weights(self, centres: list):
+        import numpy as np
+        table, ends = self._nearest_of(centres)
+
+        def work(slices, out):
+            for _, x in slices:
+                d = _square_distances(x, table)
+                for r in range(len(ends) - 1):
+                    at = d[:, ends[r]:ends[r + 1]].argmin(axis=1)
+                    out[ends[r]:ends[r + 1]] += np.bincount(at, minlength=ends[r + 1] - ends[r])
+        weights = self._run(work, (len(table),))
+        return [weights[a:b] for a, b in zip(ends, ends[1:])]
+
+    def seeds(self) -> list:
+        """k centres per start."""
+        import random
+        import numpy as np
+        candidates = self._first()
+        for number in range(SEED_ROUNDS):
+            candidates = self._drawn(candidates, self._costs(candidates), number)
+        out = []
+        for (k, seed), c, w in zip(self.starts, candidates, self._weights(candidates)):
+            rng = random.Random(seed)
+            chosen: list[int] = []
+            near = np.ones(len(c))
+            while len(chosen) < k and (w * near).sum() > 0:
+                mass = np.cumsum(w * near)
+                chosen.append(int(np.searchsorted(mass, rng.random() * mass[-1], side="right").clip(0, len(c) - 1)))
+                d = _square_distances(c, c[chosen[-1:]])[:, 0]
+                d[(c == c[chosen[-1]]).all(axis=1)] = 0.0
+                near = d if len(chosen) == 1 else np.minimum(near, d)
+            centres = c[chosen]
+            if len(chosen) < k:
+                # fewer candidates than centres: distinct points in hash order fill up
+                more = initial_centres(self.source, k, self.id_col, self.column, seed)
+                have = {tuple(v) for v in centres.tolist()}
+                centres = np.array([*centres.tolist(), *[v for v in more if tuple(v) not in have]])[:k]
+            out.append(centres)
+        return out
+
+    def fit(self, max_iter: int = 300, tol: float = 1e-12) -> list[tuple[float, LloydResult]]:
+        """(inertia, result) per start. A start settles when no centre
+        moves by more than ``tol`` of the centres' scale (squared)."""
+        import numpy as np
+        centres = self.seeds()
+        done: dict[int, tuple[float, LloydResult]] = {}
+        for step in range(1, max_iter + 1):
+            open_ = [r for r in range(len(centres)) if r not in done]
+            if not open_:
+                break
+            table, ends = self._nearest_of([centres[r] for r in open_])
+            width = table.shape[1]
+
+            def work(slices, out):
+                for _, x in slices:
+                    d = _square_distances(x, table)
+                    for i in range(len(ends) - 1):
+                        part = d[:, ends[i]:ends[i + 1]]
+                        at = part.argmin(axis=1)
+                        hot = np.zeros((len(x), part.shape[1]))
+                        hot[np.arange(len(x)), at] = 1.0
+                        rows = slice(ends[i], ends[i + 1])
+                        out[rows, :width] += hot.T @ x
+                        out[rows, width] += hot.sum(axis=0)
+                        out[ends[i], width + 1] += part[np.arange(len(x)), at].sum()
+
+            sums = self._run(work, (len(table), width + 2))
+            for i, r in enumerate(open_):
+                part = sums[ends[i]:ends[i + 1]]
+                n = part[:, width]
+                # an empty cluster keeps its centre
+                moved = np.where(n[:, None] > 0, part[:, :width] / np.maximum(n, 1.0)[:, None], centres[r])
+                scale = max(float((moved * moved).sum(axis=1).max()), 1e-300)
+                still = float(((moved - centres[r]) ** 2).sum(axis=1).max()) <= tol * scale
+                if still or step == max_iter:
+                    done[r] = (float(part[0, width + 1]), LloydResult(moved.tolist(), step, still))
+                centres[r] = moved
+        return [done[r] for r in range(len(self.starts))]
+
+
 def kmeans(points: DataFrame, k: int, id_col: str = "id", column: str = "vector", seed: int = 42, n_init: int = 10,
            max_iter: int = 300) -> LloydResult:
-    """C1 on stored vectors: ``n_init`` converged Lloyd runs from different
-    seeds, the one of least inertia (ties: first)."""
-    best = None
-    for i in range(n_init):
-        fit = lloyd(points, initial_centres(points, k, id_col, column, seed + i), max_iter, column)
-        cost = inertia(assign(points.select(column), fit.centres, column)).first()[0]
-        if best is None or cost < best[0]:
-            best = (cost, fit)
-    return best[1]
+    """C1 on stored vectors: ``n_init`` starts at once, the one of least
+    inertia (ties: first)."""
+    return best_of_k(points, [k], id_col, column, seed, n_init, max_iter)[k]
+
+
+def best_of_k(points: DataFrame, ks, id_col: str = "id", column: str = "vector", seed: int = 42, n_init: int = 10,
+              max_iter: int = 300) -> dict[int, LloydResult]:
+    """The best of ``n_init`` starts for each k, all fitted together."""
+    ks = list(ks)
+    n = points.count()
+    for k in ks:
+        _check_k(n, k)
+    starts = [(k, seed + i) for k in ks for i in range(n_init)]
+    fits = Restarts(points, starts, id_col, column).fit(max_iter)
+    best: dict = {}
+    for (k, _), (cost, fit) in zip(starts, fits):
+        if k not in best or cost < best[k][0]:
+            best[k] = (cost, fit)
+    return {k: fit for k, (_, fit) in best.items()}
 
 
 def inertia(assigned: DataFrame) -> DataFrame:
@@ -150,7 +381,7 @@ def inertia(assigned: DataFrame) -> DataFrame:
 
 def sizes(assigned: DataFrame) -> DataFrame:
     """Size and share per cluster (share = size / total), by size desc."""
-    total = F.sum("size").over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy(F.lit(1)))
+    total = F.sum("size").over(Window.partitionBy(F.lit(1)))
     counts = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     # k rows: the global window is over k rows only
     return counts.withColumn("share", F.col("size") / total).orderBy(F.col("size").desc(), "cluster_id")
@@ -192,6 +423,74 @@ def silhouette(assigned: DataFrame, column: str = "vector") -> DataFrame:
     return per.select(F.coalesce(F.nanvl(s, F.lit(0.0)), F.lit(0.0)).alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
+# Points of a block, and blocks that one copy of another block meets.
+TILE_ROWS, LOT_TILES = 2048, 32
+
+
+def euclidean_silhouette(assigned: DataFrame, column: str = "vector") -> DataFrame:
+    """C4 (Euclidean): the mean over points of (b - a) / max(a, b), from the
+    mean distances to the own and the nearest other cluster. NaN with one
+    cluster; a point alone in its cluster counts 0.
+
+    Plain distances have no closed form, so every point meets every other:
+    the work is quadratic in the points. It is dealt out in tiles, block by
+    block of points; a tile hands on one sum per (point, cluster), never a
+    pair, and a block is copied once per lot of blocks that it meets."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+    spark = assigned.sparkSession
+    counts = {r["cluster_id"]: r["count"] for r in assigned.groupBy("cluster_id").count().collect()}
+    ids = sorted(counts)
+    if len(ids) < 2:
+        return spark.createDataFrame([(float("nan"),)], "silhouette double")
+    place, tile = {c: i for i, c in enumerate(ids)}, TILE_ROWS
+
+    def cut(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for o in range(0, batch.num_rows, tile):
+                part = batch.slice(o, tile)
+                at = np.array([place[c] for c in part.column(1).to_pylist()], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number], pa.int64()), pa.array([part.num_rows], pa.int32()), pa.array([at.tobytes()], pa.binary()),
+                    pa.array([_matrix(part.column(0)).tobytes()], pa.binary())], names=["tile", "n", "at", "x"])
+                number += 1
+
+    tiles = stored(assigned.select(F.transform(column, lambda v: v.cast("double")), "cluster_id").mapInArrow(
+        cut, "tile long, n int, at binary, x binary"), "tiles")
+    n_tiles = tiles.count()
+    lots = max(1, min(n_tiles, max(spark.sparkContext.defaultParallelism, -(-n_tiles // LOT_TILES))))
+    copies = tiles.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    others = tiles.select(F.pmod(F.xxhash64("tile"), F.lit(lots)).cast("int").alias("lot"), F.col("n").alias("m"),
+                          F.col("at").alias("other_at"), F.col("x").alias("y"))
+    met = copies.join(others, "lot").select("tile", "n", "at", "x", "m", "other_at", "y")
+    k = len(ids)
+
+    def measure(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["x"]).reshape(r["n"], -1)
+                y = np.frombuffer(r["y"]).reshape(r["m"], -1)
+                centre = y.mean(axis=0) if len(y) else 0.0
+                hot = np.zeros((r["m"], k))
+                hot[np.arange(r["m"]), np.frombuffer(r["other_at"], dtype=np.int32)] = 1.0
+                sums = np.sqrt(_square_distances(x - centre, y - centre)) @ hot
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(r["n"], r["tile"])), pa.array(np.arange(r["n"], dtype=np.int32)),
+                    pa.array(np.frombuffer(r["at"], dtype=np.int32)), *[pa.array(sums[:, j]) for j in range(k)]],
+                    names=["tile", "row", "own", *[f"s{j}" for j in range(k)]])
+
+    schema = "tile long, row int, own int, " + ", ".join(f"s{j} double" for j in range(k))
+    per = met.mapInArrow(measure, schema).groupBy("tile", "row", "own").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
+    own = [F.when(F.col("own") == j, F.col(f"s{j}") / max(1, counts[c] - 1)) for j, c in enumerate(ids)]
+    near = [F.when(F.col("own") != j, F.col(f"s{j}") / counts[c]) for j, c in enumerate(ids)]
+    alone = F.col("own").isin([j for j, c in enumerate(ids) if counts[c] == 1])
+    a, b = F.coalesce(*own), F.least(*near)
+    s = F.when(alone | (F.greatest(a, b) == 0), 0.0).otherwise((b - a) / F.greatest(a, b))
+    return per.agg(F.avg(s).alias("silhouette"))
+
+
 def _sq_norm(x: Column, width: int) -> Column:
     acc = F.lit(0.0)
     for i in range(width):
@@ -199,34 +498,16 @@ def _sq_norm(x: Column, width: int) -> Column:
     return acc
 
 
-def kmeans_mllib(points: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300,
-                 features: str = "features"):
-    """MLlib KMeans restarted ``n_init`` times (seed, seed+1, ...),
-    keeping the lowest training cost (MLlib has no n_init)."""
-    from pyspark.ml.clustering import KMeans
-    n = points.count()
-    _check_k(n, k)
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features,
-                       predictionCol="cluster_id").fit(points)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1]
-
-
-def k_sweep(points: DataFrame, ks=range(2, 11), seed: int = 42, n_init: int = 3, features: str = "features",
+def k_sweep(points: DataFrame, ks=range(2, 11), id_col: str = "id", seed: int = 42, n_init: int = 3,
             column: str = "vector", max_iter: int = 50):
-    """Per k: silhouette, inertia, min and max cluster size (one row each)."""
+    """Per k: silhouette, inertia, min and max cluster size (one row
+    each). All starts of all k are fitted together."""
     rows = []
-    for k in ks:
-        model = kmeans_mllib(points, k, seed=seed, n_init=n_init, features=features, max_iter=max_iter)
-        centres = [list(map(float, c)) for c in model.clusterCenters()]
-        assigned = assign(points, centres, column)
+    for k, fit in best_of_k(points, ks, id_col, column, seed, n_init, max_iter).items():
+        assigned = assign(points, fit.centres, column)
         sil = silhouette(assigned, column).first()["silhouette"]
-        ine = inertia(assigned).first()["inertia"]
-        sz = assigned.groupBy("cluster_id").count().agg(F.min("count").alias("lo"), F.max("count").alias("hi")).first()
-        rows.append((int(k), float(sil), float(ine), int(sz["lo"]), int(sz["hi"])))
+        per = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("sq_distance").alias("d"))
+        sz = per.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("d").alias("d")).first()
+        rows.append((int(k), float(sil), float(sz["d"]), int(sz["lo"]), int(sz["hi"])))
     return points.sparkSession.createDataFrame(
         rows, "k int, silhouette double, inertia double, min_size bigint, max_size bigint")

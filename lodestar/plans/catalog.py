@@ -634,7 +634,9 @@ def s10_report_json(spark, sf_dir):
 
 # ------------------------------------------------------------- MLlib (rows)
 from lodestar.operators import attribution as attr  # noqa: E402
+from lodestar.operators import boosting as boost  # noqa: E402
 from lodestar.operators import model as mdl  # noqa: E402
+from lodestar.operators import tuning  # noqa: E402
 
 def _forest(spark, sf_dir):
     split = ctx.materialise(_split(spark, sf_dir))
@@ -652,21 +654,21 @@ def m01_random_forest(spark, sf_dir):
 
 @register("m02_boosted_trees")
 def m02_boosted_trees(spark, sf_dir):
-    """M2: depth-wise boosted trees with the default settings."""
-    return _boosted(spark, sf_dir, "boosted_depthwise")
+    """M2: depth-wise regularised boosted trees with the default settings."""
+    return _boosted(spark, sf_dir, "newton_depthwise")
 
 
 def _boosted(spark, sf_dir, family):
     split = ctx.materialise(_split(spark, sf_dir))
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-    _, _, scorer = mdl.fit(train, ctx.SPEC, family)
+    _, _, scorer = boost.fit(train, ctx.SPEC, family)
     return rounded(scorer.score(test).select("case_id", "target", "prediction", "p1"))
 
 
 @register("m03_leafwise_trees")
 def m03_leafwise_trees(spark, sf_dir):
-    """M3: boosted trees of 31 leaves (as the depth that holds them)."""
-    return _boosted(spark, sf_dir, "boosted_leafwise")
+    """M3: leaf-wise boosted trees of 31 leaves."""
+    return _boosted(spark, sf_dir, "newton_leafwise")
 
 
 @register("m11_feature_importance")
@@ -699,6 +701,39 @@ def m12_random_search(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "kind string, trial double, value double"))
 
 
+@register("m12_adaptive_search")
+def m12_adaptive_search(spark, sf_dir):
+    """M12 + M13 + M14: 30 adaptive trials on tune/validation, best trial
+    refit on all training rows and scored on test (long rows)."""
+    split = ctx.materialise(_split(spark, sf_dir))
+    train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter(F.col("is_test"))
+    tv = prep.stratified_split(train, "case_id", "target", 0.2, 42, salt=prep.TUNE_SALT)
+    goal = tuning.Objective(tv.filter(~F.col("is_test")), tv.filter(F.col("is_test")), ctx.SPEC, "newton_depthwise")
+    trials = tuning.search(goal, TRIALS)
+    _, _, scorer = boost.fit(train, ctx.SPEC, goal.family, tuning.best(trials).params)
+    rows = [("stopped" if t.stopped else "trial", float(t.number), t.score) for t in trials] + \
+           [("test_" + k, 0.0, float(v) if v is not None else None) for k, v in mdl.evaluate(scorer, test).items()]
+    return rounded(spark.createDataFrame(rows, "kind string, trial double, value double"))
+
+
+@register("m11_boosted_importance")
+def m11_boosted_importance(spark, sf_dir):
+    """M11 on the leaf-wise trees: each feature's share of the gain."""
+    split = ctx.materialise(_split(spark, sf_dir))
+    fm, model, _ = boost.fit(split.filter(~F.col("is_test")), ctx.SPEC, "newton_leafwise")
+    rows = sorted(zip(fm.names, model.importances()), key=lambda r: (-r[1], r[0]))
+    return rounded(spark.createDataFrame(rows, "feature string, importance double"))
+
+
+@register("h5_tree_base")
+def h5_tree_base(spark, sf_dir):
+    """H5 for trees: per class, the expected probability of the forest that
+    h1_tree_shap explains (base plus a case's values is its p1)."""
+    _, _, _, _, model, _ = _forest(spark, sf_dir)
+    base = attr.tree_base(attr.leaf_paths(mdl.forest_trees(spark, model)))
+    return rounded(spark.createDataFrame([(0, 1.0 - base), (1, base)], "class int, base_value double"))
+
+
 @register("h1_tree_shap")
 def h1_tree_shap(spark, sf_dir):
     """H1 + H4-H6: exact path-dependent tree SHAP of the fitted forest for
@@ -748,32 +783,39 @@ def h3_permutation_shap(spark, sf_dir):
                                          n_permutations=4, seed=42))
 
 
+def _embedding_points(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
+
+
 @register("c1_kmeans_mllib")
 def c1_kmeans_mllib(spark, sf_dir):
-    """C1 + C3 + C4 + C6 on the embeddings table: MLlib K-Means (k=10,
-    restarts), sizes, inertia and the exact squared-Euclidean silhouette."""
+    """C1 + C3 + C4 + C6 on the embeddings table: K-Means (k=10, ten
+    k-means|| starts at once), sizes, inertia and both silhouettes."""
+    from lodestar.operators import cluster as clu
+    emb = ctx.materialise(_embedding_points(spark, sf_dir))
+    fit = clu.kmeans(emb, 10, id_col="vec_id", seed=42, n_init=10, max_iter=300)
+    lab = ctx.materialise(clu.assign(emb, fit.centres))
+    both = {"silhouette": F.lit(clu.silhouette(lab).first()["silhouette"]),
+            "silhouette_euclidean": F.lit(clu.euclidean_silhouette(lab).first()["silhouette"]),
+            "inertia": F.lit(clu.inertia(lab).first()["inertia"])}
+    return rounded(clu.sizes(lab).withColumns(both))
+
+
+@register("c4_euclidean_silhouette")
+def c4_euclidean_silhouette(spark, sf_dir):
+    """C4: the Euclidean silhouette of the embeddings by their label."""
     from lodestar.operators import cluster as clu
-    from pyspark.ml.functions import array_to_vector
-    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
-    emb = ctx.materialise(emb.withColumn("features", array_to_vector("vector")))
-    model = clu.kmeans_mllib(emb, 10, seed=42, n_init=10, max_iter=300)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    lab = clu.assign(emb, centres)
-    sil = clu.silhouette(lab).first()["silhouette"]
-    ine = clu.inertia(lab).first()["inertia"]
-    return rounded(clu.sizes(lab).withColumns({"silhouette": F.lit(sil), "inertia": F.lit(ine)}))
+    lab = _embedding_points(spark, sf_dir).where("label IS NOT NULL").withColumnRenamed("label", "cluster_id")
+    return rounded(clu.euclidean_silhouette(lab))
 
 
 @register("c7_k_sweep")
 def c7_k_sweep(spark, sf_dir):
     """K from 2 to 10 on the embeddings: silhouette, inertia, min/max size."""
     from lodestar.operators import cluster as clu
-    from pyspark.ml.functions import array_to_vector
-    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
-    emb = ctx.materialise(emb.withColumn("features", array_to_vector("vector")))
-    return rounded(clu.k_sweep(emb, range(2, 11), seed=42, n_init=10, max_iter=300))
+    emb = ctx.materialise(_embedding_points(spark, sf_dir))
+    return rounded(clu.k_sweep(emb, range(2, 11), id_col="vec_id", seed=42, n_init=10, max_iter=300))
 
 
 

@@ -732,3 +732,19 @@ ORACLE.update({
     "q08_changed_features_json": q_q07, "q12_latest_event": q_q12e,
     "d01_document_features": q_d01,
 })
+
+
+def q_euclidean_silhouette() -> str:
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS r, label AS c, list_transform(embedding, lambda v: v::DOUBLE) AS v
+  FROM embeddings WHERE label IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM p GROUP BY c),
+s AS (SELECT a.r, a.c AS own, b.c, sum(list_distance(a.v, b.v)) AS d FROM p a JOIN p b ON a.r <> b.r GROUP BY ALL),
+m AS (SELECT s.r, any_value(o.n) AS own_n, sum(d) FILTER (s.c = own) / any_value(o.n - 1) AS a,
+    min(d / n.n) FILTER (s.c <> own) AS b
+  FROM s JOIN n ON n.c = s.c JOIN n o ON o.c = s.own GROUP BY s.r)
+SELECT {r6('avg(CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette
+FROM m"""
+
+
+ORACLE["c4_euclidean_silhouette"] = q_euclidean_silhouette
