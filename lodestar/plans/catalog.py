@@ -783,6 +783,32 @@ def h3_permutation_shap(spark, sf_dir):
                                          n_permutations=4, seed=42))
 
 
+@register("h3_kernel_shap")
+def h3_kernel_shap(spark, sf_dir):
+    """H3: kernel SHAP of the scorecard over all coalitions, for the shared
+    sample of 100 test cases (P8) against 50 training rows."""
+    from lodestar.operators import kernel_shap as ks
+    split = ctx.materialise(_split(spark, sf_dir))
+    sample = prep.sample_cases(split.filter(F.col("is_test")), "case_id", 100, seed=42)
+    background = ctx.materialise(prep.sample_cases(split.filter(~F.col("is_test")), "case_id", 50, seed=42))
+    return rounded(ks.kernel_shap(ctx.materialise(sample), background, ctx.SCORECARD, list(ctx.SPEC.features)))
+
+
+@register("x08_diverse_counterfactuals")
+def x08_diverse_counterfactuals(spark, sf_dir):
+    """X4 + X8: per run, every case's flipping candidates with superfluous
+    changes taken back, five of them spread apart."""
+    from lodestar.operators import diverse
+    cases = ctx.materialise(ctx.clean_cases(spark, sf_dir))
+    sctx, out = ctx.search_context(cases), None
+    for run_id, _, seed, _ in ctx.RUNS:
+        part = diverse.search(cases, ctx.SPEC, sctx, ctx.SCORECARD, n_candidates=ctx.N_CANDIDATES, seed=seed,
+                              total_cfs=ctx.TOTAL_CFS).withColumn("run_id", F.lit(run_id))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out.select("run_id", "case_id", "cf_rank", "cand", "original_class", "target_class", "distance",
+                              "n_changed", *ctx.SPEC.features))
+
+
 def _embedding_points(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         "vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
