@@ -858,6 +858,21 @@ def t01_streaming_scores(spark, sf_dir):
 
 
 # ------------------------------------------------------------ more operators
+@register("q12_latest_stream")
+def q12_latest_stream(spark, sf_dir):
+    """Q12 as a stateful stream: all events, dealt to files that arrive one
+    by one out of order; the state's latest value per (user, event type)."""
+    from lodestar.streaming import latest as st
+    keys = ["user_id", "event_type"]
+    root = files.scratch_path(spark, "latest")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(*keys, "ts", "event_id", "value")
+    ev.repartition(4, "event_id").write.parquet(root + "/in")
+    source = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(root + "/in")
+    changes = st.newest(source, keys, "ts", "event_id", "value")
+    st.run(changes, root + "/out", root + "/check")
+    return rounded(st.latest(spark, root + "/out", keys, changes.schema))
+
+
 @register("x03_search_context")
 def x03_search_context(spark, sf_dir):
     """Per numeric feature training bounds, range max(max-min, 1)

@@ -748,3 +748,4 @@ FROM m"""
 
 
 ORACLE["c4_euclidean_silhouette"] = q_euclidean_silhouette
+ORACLE["q12_latest_stream"] = ORACLE["q12_latest_event"]
