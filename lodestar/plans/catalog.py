@@ -865,12 +865,14 @@ def q12_latest_stream(spark, sf_dir):
     from lodestar.streaming import latest as st
     keys = ["user_id", "event_type"]
     root = files.scratch_path(spark, "latest")
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(*keys, "ts", "event_id", "value")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(*keys, F.col("ts").cast("timestamp").alias("ts"),
+                                                               "event_id", "value")
     ev.repartition(4, "event_id").write.parquet(root + "/in")
     source = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(root + "/in")
     changes = st.newest(source, keys, "ts", "event_id", "value")
     st.run(changes, root + "/out", root + "/check")
-    return rounded(st.latest(spark, root + "/out", keys, changes.schema))
+    found = st.latest(spark, root + "/out", keys, changes.schema)
+    return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 @register("x03_search_context")

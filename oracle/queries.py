@@ -749,3 +749,30 @@ FROM m"""
 
 ORACLE["c4_euclidean_silhouette"] = q_euclidean_silhouette
 ORACLE["q12_latest_stream"] = ORACLE["q12_latest_event"]
+
+
+def q_kernel_shap() -> str:
+    """Shapley values as a weighted sum of the worths of all coalitions."""
+    from math import factorial
+
+    from oracle.prefix import draw_sql, hash_base_sql, margin_sql
+    feats, n = NUMERIC + CATEGORICAL, len(NUMERIC + CATEGORICAL)
+    u = draw_sql(hash_base_sql(["case_id", "42", "3"]), 0)
+    mixed = ", ".join(f"CASE WHEN (m >> {i}) & 1 = 1 THEN s.{c} ELSE b.{c} END AS {c}" for i, c in enumerate(feats))
+    joins = "[" + ", ".join(f"{factorial(k - 1) * factorial(n - k) / factorial(n)!r}::DOUBLE" if k else "0.0"
+                            for k in range(n + 1)) + "]"
+    parts = " UNION ALL ".join(
+        f"SELECT case_id, '{c}' AS feature_name, sum(v * CASE WHEN (m >> {i}) & 1 = 1 THEN w[bit_count(m) + 1] "
+        f"ELSE -w[bit_count(m) + 2] END) AS shap_value FROM v, weights GROUP BY case_id" for i, c in enumerate(feats))
+    value = "CASE feature_name " + " ".join(f"WHEN '{c}' THEN {c}" for c in NUMERIC) + " END"
+    return with_prefix(cases_cte(), split_cte("cases", "sp", 1),
+                       f"s AS (SELECT * FROM sp WHERE is_test ORDER BY {u}, case_id LIMIT 100)",
+                       f"b AS (SELECT * FROM sp WHERE NOT is_test ORDER BY {u}, case_id LIMIT 50)",
+                       f"x AS (SELECT s.case_id, m::INTEGER AS m, {mixed} FROM s, b, range({2 ** n}) t(m))",
+                       f"v AS (SELECT case_id, m, avg(1.0 / (1.0 + exp(-({margin_sql()})))) AS v FROM x GROUP BY ALL)",
+                       f"weights AS (SELECT {joins} AS w)", f"p AS ({parts})") + f"""
+SELECT p.case_id AS instance_id, feature_name, {r6(value)} AS feature_value, {r6('shap_value')} AS shap_value
+FROM p JOIN s ON s.case_id = p.case_id"""
+
+
+ORACLE["h3_kernel_shap"] = q_kernel_shap
