@@ -235,10 +235,10 @@ def r16_rule_sentences(spark, sf_dir):
 from lodestar.operators import report as rep  # noqa: E402
 
 
-def _artifacts(spark, sf_dir, need=("cfs", "clusters", "rules", "shap", "metrics")):
+def _artifacts(spark, sf_dir, need=("cfs", "clusters", "rules", "shap", "metrics"), steps=ctx.LLOYD_STEPS):
     out = {}
     if {"clusters", "rules"} & set(need):
-        d = ctx.distilled(spark, sf_dir)
+        d = ctx.distilled(spark, sf_dir, steps=steps)
         out["cfs"] = d["counterfactuals"]
         out["clusters"] = ctx.cluster_table(d["labelled"])
         out["rules"] = ctx.rules_table(d["rules"])
@@ -425,7 +425,23 @@ def v09_model_metrics(spark, sf_dir):
 @register("v10_report")
 def v10_report(spark, sf_dir):
     """The assembled long report for every run."""
-    a = _artifacts(spark, sf_dir)
+    return _report(spark, sf_dir, _artifacts(spark, sf_dir))
+
+
+@register("v10_converged_report")
+def v10_converged_report(spark, sf_dir):
+    """V10 + V5 + S6-S8: the report of clusters that ten starts converged
+    to, with rules and assignments stored and read back."""
+    a = _artifacts(spark, sf_dir, steps=None)
+    root = files.scratch_path(spark, "store")
+    store.replace_run(a["rules"], root, "global_rules")
+    store.replace_run(a["clusters"], root, "counterfactual_clusters")
+    a["rules"] = store.read(spark, root, "global_rules").select(*a["rules"].columns)
+    a["clusters"] = store.read(spark, root, "counterfactual_clusters").select(*a["clusters"].columns)
+    return _report(spark, sf_dir, a)
+
+
+def _report(spark, sf_dir, a):
     sections = {"run": rep.header(a["rules"]), "corpus": rep.corpus_metrics(a["cfs"]),
                 "clusters": rep.cluster_metrics(a["clusters"], silhouettes=ctx.silhouettes(a["labelled"])),
                 "shap": rep.shap_metrics(a["shap"]), "rules": rep.rule_metrics(a["rules"]),
