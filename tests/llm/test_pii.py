@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from lodestar.llm import pii
 from lodestar.llm.catalog import op9_pii
 from tests.llm.brute import documents
@@ -119,3 +121,13 @@ def test_counts_are_of_documents_and_outside_spans(spark):
     assert {r.term: r.n for r in pii.term_counts(df).collect()} == {"quixote": 3}
     got = pii.disclosing(df, pii.scan(df).where("size(context) > 0").select("context")).collect()
     assert [(r.entity, r.term, r.action) for r in got] == [("zorro@x.org", "quixote", "remove")]
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(1, "write to a@b.co today", "k", 2.0, "c", "t"), (2, "nothing here", "k", 3.0, "c", "t"), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, told double, context string, known string")
+    df = df.withColumns({"__told": F.lit(1), "row": F.lit("r"), "Spans": F.lit(7)})
+    got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert (got[1].key, got[1].told, got[1].context, got[1].known, got[1]["__told"], got[1].row) == ("k", 2.0, "c", "t", 1, "r")
+    assert got[1].clean == "write to [EMAIL] today" and got[2].clean == "nothing here" and got[3].clean is None
+    assert [tuple(s) for s in got[1].spans] == [("email", 9, 15)] and got[3].spans == []

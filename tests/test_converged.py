@@ -1,6 +1,7 @@
 """Converged clusters, by what must hold of them."""
 
 import pytest
+
 from lodestar.operators import cluster as clu
 from lodestar.plans import context as ctx
 
