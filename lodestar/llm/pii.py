@@ -206,64 +206,52 @@ def sanitise(df: DataFrame, text: str = "text", generalise_at: float = 0.5, remo
     """``df`` with base, spans (base ones and, as kinds ``generalise``
     and ``remove``, disclosing terms; both arrays by kind as listed, then
     start) and clean, the text with every span replaced."""
-    columns = df.columns
-    found = scan(df, text)
-    held = materialise(found.where(F.size("context") > 0).select(F.sha2(text, 256).alias("key"), "context"), "pii")
-    telling = materialise(disclosing(df, held, text, generalise_at, remove_at, min_support), "telling")
+    # the input's columns travel in a struct: no name of theirs meets one of these
+    columns = [c for c in df.columns if c.lower() not in _OUT]
+    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row") if columns else F.struct(
+        F.lit(0).alias("none")).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = scan(inner, "text")
+    held = materialise(found.where(F.size("context") > 0).select(F.sha2("text", 256).alias("key"), "context"), "pii")
+    telling = materialise(disclosing(inner.select("text"), held, "text", generalise_at, remove_at, min_support), "telling")
     extra = _pairs(held.dropDuplicates(["key"]), telling.select("kind", "entity").distinct()) \
         .join(telling, ["kind", "entity", "term"]).groupBy("key").agg(
             F.collect_set(F.struct("term", "action")).alias("told"))
-    # only texts with an entity meet the join
-    plain = found.where(F.size("context") == 0).withColumn("told", F.lit(None).cast(extra.schema["told"].dataType))
-    full = found.where(F.size("context") > 0)
-    full = full.join(extra, F.sha2(F.col(text), 256) == extra.key, "left").drop("key")
-    marked = _mark(plain.unionByName(full), text)
-    return _redact(marked, text).select(*[F.col(f"`{c}`") for c in columns if c.lower() not in _OUT], *_OUT)
-
-
-def _mark(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with spans: base, then every place of the terms in told. A
-    term told of by two entities keeps the stronger action."""
-    told = F.struct(F.col(text).alias("t"), F.col("base").alias("b"), F.col("told").alias("told"))
-    df = df.withColumn("__told", F.when(F.size("told") > 0, told))
-
-    def start():
-        def more(p):
-            if p is None:
-                return []
-            action = dict(sorted((x["term"], x["action"]) for x in p["told"]))  # remove comes last
-            spans = [(s["kind"], s["start"], s["end"]) for s in p["b"]]
-            places = ((action.get(m.group().lower()), *m.span()) for m in _terms(p["t"], spans))
-            return [dict(zip(_SPAN.names, x)) for x in sorted(x for x in places if x[0])]
-        return lambda rows: [[more(p) for p in rows]]
-
-    return add_columns(df, "__told", [StructField("__more", ArrayType(_SPAN))], start).withColumn(
-        "spans", F.concat("base", "__more"))
+    # texts without an entity stay as they are; only those with one meet the join
+    plain = found.where(F.size("context") == 0).select("row", "base", F.col("base").alias("spans"), F.col("text").alias("clean"))
+    full = found.where(F.size("context") > 0).select("row", "text", "base", F.sha2("text", 256).alias("key"))
+    whole = plain.unionByName(_rewrite(full.join(extra, "key", "left")).select("row", *_OUT))
+    return whole.select(*[F.col("row").getField(c).alias(c) for c in columns], *_OUT)
 
 
 _OUT = ("base", "spans", "clean")
 
 
-def _redact(df: DataFrame, text: str) -> DataFrame:
-    """Replace spans from the end on; overlapping ones as one."""
-    pair = F.struct(F.col(text).alias("t"), F.col("spans").alias("s"))
-    df = df.withColumn("__pair", F.when(F.size("spans") > 0, pair))
+def _rewrite(df: DataFrame) -> DataFrame:
+    """``df`` (text, base, told) with spans, base and then every place of
+    the terms in told, and clean. A term told of by two entities keeps the
+    stronger action; overlapping spans are replaced as one."""
+    known = F.struct(F.col("text").alias("t"), F.col("base").alias("b"), F.col("told").alias("told"))
+    put = {"remove": "", "generalise": "[TERM]", **{k: f"[{k.upper()}]" for k in KINDS}}
+    names = _SPAN.names
 
     def start():
-        def clean(p):
-            if p is None:
-                return None
-            t, out, at = p["t"], [], 0
-            for s in sorted(p["s"], key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    out += [t[at:s["start"]], "" if s["kind"] == "remove" else
-                            "[TERM]" if s["kind"] == "generalise" else f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            return "".join(out) + t[at:]
-        return lambda pairs: [[clean(p) for p in pairs]]
-
-    return add_columns(df, "__pair", [StructField("__clean", StringType())], start).withColumn(
-        "clean", F.when(F.size("spans") > 0, F.col("__clean")).otherwise(F.col(text)))
+        def rewritten(p):
+            t, spans = p["t"], [(s["kind"], s["start"], s["end"]) for s in p["b"]]
+            action = dict(sorted((x["term"], x["action"]) for x in p["told"] or []))  # remove comes last
+            if action:
+                places = ((action.get(m.group().lower()), *m.span()) for m in _terms(t, spans))
+                spans = spans + sorted(x for x in places if x[0])
+            out, at = [], 0
+            for kind, first, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+                if first >= at:
+                    out += [t[at:first], put[kind]]
+                at = max(at, end)
+            return [dict(zip(names, x)) for x in spans], "".join(out) + t[at:]
+
+        return lambda rows: list(zip(*map(rewritten, rows)))
+
+    return add_columns(df.withColumn("known", known), "known", [
+        StructField("spans", ArrayType(_SPAN)), StructField("clean", StringType())], start)
 
 
 def listed(spans: str) -> Column:
