@@ -1,20 +1,24 @@
 """Personal data: patterns, and the terms that give them away.
 
 Information-theoretic sanitisation. Pattern matches are the protected
-entities. A term in a text with an entity tells about it as much as their
-co-occurrence in the corpus says: with document frequencies, all of them
-over whole texts and, for terms, outside all matches, the pointwise mutual information log(N n(e,t) / (n(e) n(t))) is the part of
-the entity's information content log(N / n(e)) that the term discloses.
-Terms that disclose at least ``remove_at`` of it are removed wherever they
-stand in texts with that entity, those from ``generalise_at`` on are
-generalised. A pair needs
-``min_support`` documents, since one joint occurrence estimates nothing.
+entities. A term (three or more letters or digits) in a text with an
+entity tells about it as much as their co-occurrence in the corpus says:
+with document frequencies, all of them over whole texts and, for terms,
+outside all matches, the pointwise mutual information
+log(N (n(e,t) - d) / (n(e) n(t))) is the part of the entity's information
+content log(N / n(e)) that the term discloses. The discount d takes from
+each joint count what chance may have added: a pair seen once counts half,
+so that in a small corpus it proves little, and in a large one an entity
+of a single document has disclosing terms like any other. Terms that
+disclose at least ``remove_at`` are removed wherever they stand in texts
+with that entity, those from ``generalise_at`` on are generalised.
 
 All counts cover all documents. Terms are counted per task before the
-shuffle; entity-term pairs come only from texts that hold an entity of
-``min_support`` documents (another can have no pair), are aggregated per
-task and salted by entity where they meet its count, and only texts with
-an entity are shuffled when the findings are joined back.
+shuffle; entity-term pairs come only from texts that hold an entity, are
+aggregated per task and salted for frequent entities where they meet
+their count, and only texts with an entity are shuffled when the findings
+are joined back. Entities of a single document have equal counts with
+each of its terms; the least one of a document speaks for all of them.
 
 Defined cases: null and empty texts have no spans; repeated rows are
 treated alike; extra columns are kept; an empty table gives an empty
@@ -41,9 +45,11 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 _REGEX = {k: re.compile(p) for k, p in PATTERNS.items()}
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]{3,}")
 COUNT_TERMS = 300_000
 SALTS = 32
+# An entity with more than this share of all uses is salted; there are fewer than 1 / share of them.
+HOT_SHARE = 0.001
 
 
 def _luhn(digits: str) -> bool:
@@ -165,36 +171,50 @@ def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return emit_rows(df.select(text), out, start).groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _entities(contexts: DataFrame) -> DataFrame:
+    """(kind, entity, ne): the documents that hold each entity."""
+    return contexts.select(F.explode("context").alias("c")).where("c.kind IS NOT NULL").groupBy(
+        F.col("c.kind").alias("kind"), F.col("c.entity").alias("entity")).agg(F.count("*").alias("ne"))
+
+
 def _pairs(contexts: DataFrame, entities: DataFrame) -> DataFrame:
     """One row per document (key), entity of ``entities`` (with its other
-    columns) and term that it holds."""
-    salted = entities.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    columns) and term that it holds; with ``ne``, entities of one document
+    are represented by the least one."""
+    counted = _entities(contexts)
+    total = counted.agg(F.coalesce(F.sum("ne"), F.lit(0))).first()[0]
+    # fewer than 1 / HOT_SHARE rows
+    hot = F.broadcast(counted.where(F.col("ne") > total * HOT_SHARE).select("kind", "entity", F.lit(True).alias("hot")))
+    salted = entities.join(hot, ["kind", "entity"], "left").withColumn("salt", F.explode(
+        F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
     uses = contexts.select("key", F.explode("context").alias("c")).where("c.kind IS NOT NULL") \
-        .select("key", "c.kind", "c.entity").distinct() \
-        .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        .select("key", "c.kind", "c.entity").distinct().join(hot, ["kind", "entity"], "left") \
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+                    .otherwise(F.lit(0))).drop("hot")
     own = uses.join(salted, ["kind", "entity", "salt"]).groupBy("key").agg(
         F.collect_list(F.struct(*entities.columns)).alias("own"))
+    if "ne" in entities.columns:
+        single = F.slice(F.array_sort(F.filter("own", lambda e: e["ne"] == 1)), 1, 1)
+        own = own.withColumn("own", F.concat(F.filter("own", lambda e: e["ne"] > 1), single))
     terms = contexts.select("key", F.expr("transform(filter(context, c -> c.term IS NOT NULL), c -> c.term)").alias("terms"))
     return terms.join(own, "key").select("key", "terms", F.explode("own").alias("e")).select(
         "key", "e.*", F.explode("terms").alias("term"))
 
 
 def disclosing(df: DataFrame, contexts: DataFrame, text: str = "text", generalise_at: float = 0.5,
-               remove_at: float = 0.8, min_support: int = 3) -> DataFrame:
+               remove_at: float = 0.8, discount: float = 0.5) -> DataFrame:
     """(kind, entity, term, action) of the pairs at or over a disclosure
-    threshold. ``contexts``: one ``context`` array per document that
-    holds an entity, and the ``key`` of its text if at hand."""
+    threshold; of the entities that one document alone holds, its least.
+    ``contexts``: one ``context`` array per document that holds an entity,
+    and the ``key`` of its text if at hand."""
     total = df.count()
     if "key" not in contexts.columns:
         contexts = contexts.withColumn("key", F.sha2(F.to_json("context"), 256))
-    # a pair has at most the documents of its entity; an entity with
-    # n(e) = N carries no information: nothing can disclose it
-    entities = contexts.select(F.explode("context").alias("c")).where("c.kind IS NOT NULL").groupBy(
-        F.col("c.kind").alias("kind"), F.col("c.entity").alias("entity")).agg(F.count("*").alias("ne")) \
-        .where((F.col("ne") >= min_support) & (F.col("ne") < total))
-    pairs = _pairs(contexts, entities).groupBy("kind", "entity", "ne", "term").agg(F.count("*").alias("net")) \
-        .where(F.col("net") >= min_support)
-    share = F.log(F.lit(float(total)) * F.col("net") / (F.col("ne") * F.col("n"))) / F.log(F.lit(float(total)) / F.col("ne"))
+    # an entity with n(e) = N carries no information: nothing can disclose it
+    entities = _entities(contexts).where(F.col("ne") < total)
+    pairs = _pairs(contexts, entities).groupBy("kind", "entity", "ne", "term").agg(F.count("*").alias("net"))
+    joint = F.col("net") - F.lit(discount)
+    share = F.log(F.lit(float(total)) * joint / (F.col("ne") * F.col("n"))) / F.log(F.lit(float(total)) / F.col("ne"))
     return pairs.join(term_counts(df, text), "term") \
         .withColumn("share", share).where(F.col("share") >= generalise_at) \
         .select("kind", "entity", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")
@@ -202,7 +222,7 @@ def disclosing(df: DataFrame, contexts: DataFrame, text: str = "text", generalis
 
 
 def sanitise(df: DataFrame, text: str = "text", generalise_at: float = 0.5, remove_at: float = 0.8,
-             min_support: int = 3) -> DataFrame:
+             discount: float = 0.5) -> DataFrame:
     """``df`` with base, spans (base ones and, as kinds ``generalise``
     and ``remove``, disclosing terms; both arrays by kind as listed, then
     start) and clean, the text with every span replaced."""
@@ -212,7 +232,7 @@ def sanitise(df: DataFrame, text: str = "text", generalise_at: float = 0.5, remo
         F.lit(0).alias("none")).alias("row"), F.col(f"`{text}`").alias("text"))
     found = scan(inner, "text")
     held = materialise(found.where(F.size("context") > 0).select(F.sha2("text", 256).alias("key"), "context"), "pii")
-    telling = materialise(disclosing(inner.select("text"), held, "text", generalise_at, remove_at, min_support), "telling")
+    telling = materialise(disclosing(inner.select("text"), held, "text", generalise_at, remove_at, discount), "telling")
     extra = _pairs(held.dropDuplicates(["key"]), telling.select("kind", "entity").distinct()) \
         .join(telling, ["kind", "entity", "term"]).groupBy("key").agg(
             F.collect_set(F.struct("term", "action")).alias("told"))

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -131,3 +133,45 @@ def test_clashing_columns_are_kept(spark):
     assert (got[1].key, got[1].told, got[1].context, got[1].known, got[1]["__told"], got[1].row) == ("k", 2.0, "c", "t", 1, "r")
     assert got[1].clean == "write to [EMAIL] today" and got[2].clean == "nothing here" and got[3].clean is None
     assert [tuple(s) for s in got[1].spans] == [("email", 9, 15)] and got[3].spans == []
+
+
+def test_entities_of_one_document_have_disclosing_terms(spark):
+    rows = [(i, f"person{i}@x.org and neighbour{i} wrote about it") for i in range(100)]
+    got = {r.doc_id: r.clean for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "[EMAIL] and  wrote about it" for i in range(100)}
+
+
+def test_spans_of_a_whole_table_equal_a_plain_count(spark):
+    """Document frequencies counted one by one, without Spark."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    base = {i: brute(t) for i, t in texts.items()}
+
+    def terms(i):
+        taken = [(a, b) for _, a, b in base[i]]
+        return [m for m in re.finditer(r"[^\W_]{3,}", texts[i])
+                if not any(a < m.end() and m.start() < b for a, b in taken)]
+
+    def entities(i):
+        return {(k, texts[i][a:b] if k == "email" else re.sub(r"[^0-9.]" if k == "ip" else r"[^0-9]", "", texts[i][a:b]))
+                for k, a, b in base[i]}
+
+    n_term, n_entity, joint = Counter(), Counter(), Counter()
+    for i in texts:
+        held = {m.group().lower() for m in terms(i)}
+        n_term.update(held)
+        n_entity.update(entities(i))
+        joint.update((e, t) for e in entities(i) for t in held)
+    n = len(texts)
+
+    def action(i, term):
+        shares = [math.log(n * (joint[e, term] - 0.5) / (n_entity[e] * n_term[term])) / math.log(n / n_entity[e])
+                  for e in entities(i)]
+        return "remove" if max(shares) >= 0.8 else "generalise" if max(shares) >= 0.5 else None
+
+    added = 0
+    for r in op9_pii(spark, SF).select("doc_id", "spans").collect():
+        more = sorted((action(r.doc_id, m.group().lower()), *m.span()) for m in terms(r.doc_id)
+                      if base[r.doc_id] and action(r.doc_id, m.group().lower()))
+        assert r.spans == text_of(base[r.doc_id] + more)
+        added += len(more)
+    assert added
