@@ -13,7 +13,8 @@ the sample differ by label (log-likelihood ratio), at most
 
 Defined cases: null, empty or evidence-free texts score the leak (the
 sample's rate of toxic documents without evidence); null labels are
-ignored; a doc_id labelled more than once is toxic if any label says so;
+ignored; a doc_id labelled more than once is toxic if any label says so,
+and trains with one of its texts;
 without usable labels all score 0; repeated rows score alike; extra
 columns are kept; an empty table gives an empty table.
 """
@@ -35,7 +36,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"[^.!?\n]+")
 # Words counted per task before the counts are handed to the shuffle.
 COUNT_WORDS = 300_000
-SAMPLE_SLOTS = 1 << 20
+SAMPLE_SLOTS = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -53,13 +54,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_sample(docs: DataFrame, marks: DataFrame, label: str, id_col: str, text: str,
                     max_train: int) -> DataFrame:
     """(text, label) of about ``max_train`` labelled rows at most, chosen
-    by a hash of the id; only their ids and labels are broadcast."""
+    by a hash of the id; only their ids and labels are broadcast. Of rows
+    that share an id the one whose text has the least hash is taken."""
     ids = marks.where(F.col(label).isNotNull()).where(~held_out(id_col)) \
         .groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("label"))
     share = min(1.0, max_train / max(1, ids.count()))
     chosen = ids.where(F.pmod(F.xxhash64(id_col, F.lit("train")), F.lit(SAMPLE_SLOTS)) < int(share * SAMPLE_SLOTS))
-    return docs.select(id_col, text).join(F.broadcast(chosen), id_col) \
-        .select(F.col(text).alias("text"), "label").where("text IS NOT NULL")
+    rows = docs.select(id_col, F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), id_col)
+    return rows.groupBy(id_col).agg(F.min(F.struct(F.xxhash64("text").alias("at"), "text", "label")).alias("row")) \
+        .select("row.text", "row.label")
 
 
 def _evidence(sample: DataFrame, max_words: int, min_ratio: float) -> list[str]:

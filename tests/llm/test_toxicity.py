@@ -56,3 +56,14 @@ def test_awkward_rows_and_labels(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.0}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.score(empty, toxicity.fit(empty, marks)).count() == 0
+
+
+def test_sample_holds_one_row_of_an_id(spark):
+    """A third of all rows share an id; copies and texts of their own."""
+    docs, marks = planted(spark, 300)
+    own = spark.range(150).selectExpr("3L doc_id", "concat('text ', id % 50) text")
+    sample = toxicity.training_sample(docs.unionByName(own), marks, "toxic", "doc_id", "text", 10_000)
+    ids = marks.where(~toxicity.held_out()).count()
+    assert sample.count() == ids
+    few = toxicity.training_sample(docs.unionByName(own), marks, "toxic", "doc_id", "text", 40).count()
+    assert 15 <= few <= 80
