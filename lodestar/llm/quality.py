@@ -146,10 +146,11 @@ def _gain(p0, n0, p1, n1) -> float:
     return p1 * (log2(p1 / (p1 + n1)) - log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
-def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 4, bins: int = 32,
-          precision: float = 0.9, least_cover: int = 5) -> list[Rule]:
+def learn(labelled: DataFrame, max_conditions: int = 4, bins: int = 32, precision: float = 0.9,
+          least_cover: int = 5) -> list[Rule]:
     """Rules that reject. ``labelled``: COUNTS, good (0 or 1) and part
-    (0, 1: grow; 2: prune)."""
+    (0, 1: grow; 2: prune). Covering ends where no grown rule reaches the
+    precision; each rule takes rows of the pruning part out, so it does."""
     names = list(features())
     rows = materialise(labelled.select("good", "part", *[c.alias(k) for k, c in features().items()]), "labelled")
     cols = {k: F.col(k) for k in names}
@@ -194,7 +195,7 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 4, bins
 
     rules: list[Rule] = []
     open_ = F.lit(True)
-    while len(rules) < max_rules:
+    while True:
         rule: Rule = ()
         grow = open_ & (F.col("part") < 2)
         while len(rule) < max_conditions:

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lodestar.llm import quality
 from lodestar.llm.catalog import op5_quality
 from tests.llm.brute import WORD, documents
@@ -82,3 +84,15 @@ def test_good_documents_stay(spark):
 
 def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Arrow|Pandas", quality.statistics(documents(spark))._jdf.queryExecution().toString())
+
+
+def test_covering_goes_on_while_rules_hold(spark):
+    """Twelve kinds of bad text, each between two good ones: a rule each."""
+    rows = [(20 + 10 * v, 5 * (20 + 10 * v), 0, 0, 0, 0, 0, 1 - v % 2, i % 3) for v in range(24) for i in range(36)]
+    labelled = spark.createDataFrame(
+        rows, ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                              "n_upper", "n_marks")) + ", good int, part int")
+    rules = quality.learn(labelled)
+    assert len(rules) == 12
+    said = quality.verdict(rules, quality.features(), False, True)
+    assert labelled.where(said != (F.col("good") == 1)).count() == 0
