@@ -1,5 +1,7 @@
 """MLlib-backed operators: tree SHAP local accuracy, importances, search space."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +36,24 @@ def test_search_space_and_errors():
         mdl.draw_params("unknown", 1)
     with pytest.raises(ValueError):
         mdl.estimator("unknown")
+
+
+def test_tree_shap_tables_are_the_polynomial():
+    """Looked-up values of a leaf are those of the polynomial, for shares
+    of zero, values on a threshold, NaN and infinities, too."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    grid = np.array([-math.inf, 0.1, 0.3, 0.5, 0.9, math.inf])
+    for d in (1, 2, 5, 9, 12):
+        n, width = 7, 14
+        feats = np.array([rng.permutation(width)[:d] for _ in range(n)])
+        at = np.sort(np.array([[rng.choice(6, 2, replace=False) for _ in range(d)] for _ in range(n)]), axis=2)
+        z = rng.choice([0.0, 0.2, 0.5, 1.0], size=(n, d))
+        group = (feats, grid[at[:, :, 0]], grid[at[:, :, 1]], z, rng.normal(size=n))
+        x = rng.choice([0.0, 0.1, 0.3, 0.4, 0.9, 1.0, math.nan, math.inf, -math.inf], size=(50, width))
+        wanted = np.zeros(x.shape)
+        attr._add_phi(wanted, x, *group)
+        cuts, short = attr._ranked([group], width)
+        found = np.zeros(x.T.shape)
+        attr._add_tabulated(found, attr._value_ranks(x, cuts), *short[0])
+        assert np.abs(found.T - wanted).max() < 1e-9
