@@ -11,6 +11,8 @@ candidate number); equal ones are picked once.
 Both work on the search's partitioning by case: variants are exploded in
 place, choices are windows over one case's candidates, of which there are
 at most ``n_candidates``. So neither shuffles and no group is unbounded.
+With a scorecard ``search`` does the same on arrays inside the search's
+tasks (``candidates.Candidates.thinned`` and ``spread``).
 """
 
 from __future__ import annotations
@@ -67,11 +69,31 @@ def spread(found: DataFrame, spec: CaseSpec, ctx: S.SearchContext, k: int = 5) -
 
 
 def search(cases: DataFrame, spec: CaseSpec, ctx: S.SearchContext, scorer, n_candidates: int = 64, seed: int = 42,
-           total_cfs: int = 5, max_varied: int = 3) -> DataFrame:
+           total_cfs: int = 5, max_varied: int = 3, facts: S.CaseFacts | None = None) -> DataFrame:
     """The search with all flipping candidates of a case thinned and k of
-    them spread apart; n_changed counts the features that differ."""
-    pool = S.search(cases, spec, ctx, scorer, n_candidates=n_candidates, seed=seed, total_cfs=n_candidates, strict=True,
-                    max_varied=max_varied)
-    picked = spread(thin(pool, spec, ctx, scorer, max_varied - 1), spec, ctx, total_cfs)
-    feats = [c for c in spec.features if c in picked.columns]
+    them spread apart; n_changed counts the features that differ.
+
+    Where the search has its candidates as arrays, they are thinned and
+    spread as arrays, too, and only the picked ones become rows; cases
+    whose key repeats compete by it, so they go row by row."""
+    facts = facts or S.case_facts(cases, spec)
+    options = {"n_candidates": n_candidates, "seed": seed, "strict": True, "max_varied": max_varied}
+    arrays = S.in_batches(cases, spec, scorer, list(spec.actionable), facts)
+    once, rest = (cases, None) if arrays else (None, cases)
+    if arrays and facts.repeated:
+        often = cases.groupBy(F.col(spec.key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        same = F.col(spec.key).eqNullSafe(F.col("__key"))
+        once, rest = cases.join(often, same, "left_anti"), cases.join(often, same, "left_semi")
+    parts = []
+    if once is not None:
+        parts.append(S.search(once, spec, ctx, scorer, total_cfs=total_cfs, thin=max_varied - 1,
+                              facts=S.CaseFacts(facts.rows, False, False), **options))
+    if rest is not None:
+        pool = S.search(rest, spec, ctx, scorer, total_cfs=n_candidates, facts=facts, **options)
+        parts.append(spread(thin(pool, spec, ctx, scorer, max_varied - 1), spec, ctx, total_cfs))
+    feats = [c for c in spec.features if c in parts[-1].columns]
+    columns = [spec.key, "cand", "original_class", "target_class", "distance", "orig", *feats, "cf_rank"]
+    picked = parts[0].select(*columns)
+    for part in parts[1:]:
+        picked = picked.unionByName(part.select(*columns))
     return picked.withColumn("n_changed", changed(spec, feats))
