@@ -17,3 +17,42 @@ def test_covered_cases_are_never_broadcast(spark):
     left = S.uncovered(cases, found, "case_id")
     assert sorted(left.collect(), key=str) == [(3,), (3,), (None,)]
     assert "Broadcast" not in executed(left)
+
+
+def test_clustering_matrix_parses_each_text_once(spark, monkeypatch):
+    from lodestar.operators import encode as enc
+    from lodestar.plans import context as ctx
+    parsed = []
+    monkeypatch.setattr(ctx, "kept", lambda df, name, kept=ctx.kept: parsed.append((name, df)) or kept(df, name))
+    rows = ctx.parsed_records(spark, "/root/testdata/sf0.001", ctx.RUNS[:1])
+    encoder, encoded = ctx.encoded_run(rows, "run-a")
+    # the stored sides are structs, and what is made of them reads no text
+    assert [n for n, _ in parsed] == ["cases", "parsed"]
+    assert "id" not in parsed[-1][1].columns
+    assert "json" not in encoded._jdf.queryExecution().optimizedPlan().toString()
+    text = ctx.counterfactual_table(spark, "/root/testdata/sf0.001", ctx.RUNS[:1]).drop("original", "counterfactual")
+    want, again = ctx.encoded_run(text, "run-a")
+    assert (encoder.ranges, encoder.vocabulary) == (want.ranges, want.vocabulary)
+    assert sorted(encoded.select("id", "vector").collect()) == sorted(again.select("id", "vector").collect())
+
+
+def test_read_pairs_is_the_lenient_parse(spark):
+    from pyspark.errors import PySparkException
+    import pytest
+    from lodestar.operators import encode as enc
+    texts = [('{"x": 5, "c": "A"}', '{"x": " 7.5 ", "c": null}'), ('{"x": null, "c": " A b"}', '{"x": "1d", "c": 3}'),
+             ('{"c": {"y": 1}}', '{"x": "-2e1"}'), ('{"x": [1], "c": "A", "z": 1}', '{}')]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, original_features string, counterfactual_features string")
+    by_map = enc.parse_pairs(df)
+    read = enc.read_pairs(df, ["x"], ["c"])
+    found = [enc.fit_encoder(p, ["x"], ["c"], absent=a) for p, a in ((by_map, False), (read, True))]
+    assert found[0].ranges == found[1].ranges == {"x": 27.5} and found[0].vocabulary == found[1].vocabulary
+    vectors = [sorted(e.transform(p).select("id", "vector", "tokens").collect()) for e, p in zip(found, (by_map, read))]
+    assert vectors[0] == vectors[1]
+    # a key that is not there counts for no range, a null that is there counts as 0
+    far = spark.createDataFrame([('{"x": 50}', '{"x": 60}'), ('{"c": "A"}', '{"x": 70}')], "original_features string, counterfactual_features string")
+    assert enc.fit_encoder(enc.read_pairs(far, ["x"], ["c"]), ["x"], ["c"], absent=True).ranges == {"x": 20.0}
+    for bad in ("[1]", "no", None):
+        broken = spark.createDataFrame([(bad, "{}")], "original_features string, counterfactual_features string")
+        with pytest.raises(PySparkException):
+            enc.read_pairs(broken, ["x"], ["c"]).select("o_map", "c_map").collect()
