@@ -56,3 +56,84 @@ def test_read_pairs_is_the_lenient_parse(spark):
         broken = spark.createDataFrame([(bad, "{}")], "original_features string, counterfactual_features string")
         with pytest.raises(PySparkException):
             enc.read_pairs(broken, ["x"], ["c"]).select("o_map", "c_map").collect()
+
+
+def pairs(spark):
+    import math
+    from lodestar.operators import encode as enc
+    values = [0.0, 1.0, 1.0 + 1e-7, -3.5, math.nan, math.inf, None]
+    words = ["A", " A b", "A_b", None, "None", " C"]
+    rows = [(i, (values[i % 7], float(i % 3), words[i % 6], "x"), (values[i * 5 % 7], 1.0, words[i * i % 6], "xy"[i % 2])) for i in range(84)]
+    side = "struct<n:double,m:double,c:string,d:string>"
+    df = enc.typed_pairs(spark.createDataFrame(rows, f"id long, original {side}, counterfactual {side}"))
+    return df, enc.fit_encoder(df, ["n", "m"], ["c", "d"])
+
+
+def same(a, b):
+    import numpy as np
+    return np.array_equal(np.asarray(a, dtype=float), np.asarray(b, dtype=float), equal_nan=True)
+
+
+def test_vectors_made_in_tasks_are_the_encoders(spark):
+    import numpy as np
+    from dataclasses import replace
+    df, encoder = pairs(spark)
+    rows = encoder.coded()
+    points = df.select("id", "o_map", "c_map").withColumns(encoder.side_columns())
+    want = {r["id"]: r for r in encoder.transform(df).collect()}
+    batch = points.toArrow().combine_chunks().to_batches()[0]
+    x, where, table = rows.read([batch.column(c) for c in rows.columns])
+    ids = batch.column("id").to_pylist()
+    assert len(table) < len(x) and same(np.concatenate([x, table[where]], axis=1), [want[i]["vector"] for i in ids])
+    made = {r["id"]: r["vector"] for r in encoder.from_sides(points.drop("o_map", "c_map")).collect()}
+    assert all(same(made[i], want[i]["vector"]) for i in ids)
+    # stored rows: deltas and the pattern, from which flags and tokens come
+    from lodestar.operators import cluster as clu
+    centres = [[0.0] * encoder.width, [1.0] * encoder.width]
+    stored = clu.assign_coded(points.drop("o_map", "c_map").repartition(3), centres, rows)
+    for r in stored.withColumns(rows.fields()).collect():
+        w = want[r["id"]]
+        assert all(same([r[c]], [w[c]]) for c in encoder.columns()) and r["tokens"] == w["tokens"]
+    back = stored.toArrow().combine_chunks().to_batches()[0]
+    again = replace(rows, stored=True)
+    x, where, table = again.read([back.column(c) for c in again.columns])
+    assert same(np.concatenate([x, table[where]], axis=1), [want[i]["vector"] for i in back.column("id").to_pylist()])
+    # too large a vocabulary for codes
+    assert replace(encoder, vocabulary=[str(i) for i in range(501)]).coded() is None
+
+
+def test_clusters_of_coded_rows_are_those_of_vectors(spark):
+    import numpy as np
+    from dataclasses import replace
+    from lodestar.operators import cluster as clu
+    from lodestar.operators import encode as enc
+    finite = " AND ".join(f"coalesce(NOT isnan({s}.n) AND abs({s}.n) < 9, true)" for s in ("o_map", "c_map"))
+    df = pairs(spark)[0].where(finite)
+    encoder = enc.fit_encoder(df, ["n", "m"], ["c", "d"])
+    rows, encoded = encoder.coded(), encoder.transform(df).select("id", "vector").cache()
+    points = df.select("id", *[c.alias(n) for n, c in encoder.side_columns().items()]).cache()
+    first = clu.initial_centres(encoded, 3)
+    assert clu.initial_centres(points, 3, make=encoder.from_sides) == first
+    slow, fast = clu.lloyd(encoded, first, 4), clu.lloyd(points, first, 4, rows=rows)
+    assert np.allclose(slow.centres, fast.centres, atol=1e-12)
+    for n_init in (1, 3):
+        a, b = clu.kmeans(encoded, 3, n_init=n_init), clu.kmeans(points, 3, n_init=n_init, rows=rows, make=encoder.from_sides)
+        assert a.steps == b.steps and np.allclose(a.centres, b.centres, atol=1e-12)
+    a, b = clu.assign(encoded, slow.centres), clu.assign_coded(points, slow.centres, rows)
+    key = lambda r: r["id"]
+    for u, v in zip(sorted(a.collect(), key=key), sorted(b.collect(), key=key), strict=True):
+        assert (u["id"], u["cluster_id"]) == (v["id"], v["cluster_id"]) and abs(u["sq_distance"] - v["sq_distance"]) < 1e-12
+    want, got = clu.silhouette(a).first()[0], clu.silhouette(b, rows=replace(rows, stored=True)).first()[0]
+    assert abs(want - got) < 1e-12
+
+
+def test_distillation_makes_no_vectors(spark, monkeypatch):
+    from lodestar.operators import cluster as clu
+    from lodestar.plans import context as ctx
+    read = []
+    monkeypatch.setattr(clu.Vectors, "read", lambda *a: read.append(a) or 1 / 0)
+    monkeypatch.setattr(clu, "_matrix", lambda *a: read.append(a) or 1 / 0)
+    d = ctx.distilled(spark, "/root/testdata/sf0.001", ctx.RUNS[:1])
+    assert d["rules"].count() == ctx.K
+    assert d["readers"]["run-a"].stored
+    assert ctx.silhouettes(d["labelled"], ctx.RUNS[:1], d["readers"]).count() == 1 and not read
