@@ -137,3 +137,40 @@ def test_distillation_makes_no_vectors(spark, monkeypatch):
     assert d["rules"].count() == ctx.K
     assert d["readers"]["run-a"].stored
     assert ctx.silhouettes(d["labelled"], ctx.RUNS[:1], d["readers"]).count() == 1 and not read
+
+
+def test_first_centres_make_vectors_of_the_list_only(spark):
+    from lodestar.operators import cluster as clu
+    points = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    made = []
+
+    def make(df):
+        made.append(df.count())
+        return df.withColumn("vector", F.array("v"))
+
+    assert clu.initial_centres(points, 3, make=make) == clu.initial_centres(make(points), 3)
+    assert made[0] == 3 * clu.FIRST_POINTS
+
+
+def test_signatures_make_no_value_text(spark):
+    from lodestar.operators import explore
+    rows = [((1.0, "a", None), (1.0, "b", 2)), ((2.0, "a", None), (3.0, "a", None)), ((None, "a", 1), (None, None, 1))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                               "id long, original struct<n:double,c:string,x:long>, counterfactual struct<n:double,c:string,y:long>")
+    got = df.select("id", explore.signature(df).alias("s"))
+    assert [r["s"] for r in sorted(got.collect())] == [["c", "y"], ["n"], ["c", "x", "y"]]
+    want = df.select("id", F.transform(explore._changes(df, union_keys=True), lambda x: x["feature"]).alias("s"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert "decimal" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_store_is_written_with_zstd(spark, tmp_path):
+    import glob
+    from lodestar.sources import store
+    df = spark.createDataFrame([(1, "m", "r")], "id long, model_name string, run_id string")
+    store.append(df, str(tmp_path), "a")
+    store.replace_run(df, str(tmp_path), "b")
+    for table in "ab":
+        (file,) = glob.glob(f"{tmp_path}/{table}/**/*.parquet", recursive=True)
+        assert file.endswith(".zstd.parquet")
+        assert store.read(spark, str(tmp_path), table).count() == 1
